@@ -22,21 +22,33 @@ from delaymart import schema as S
 
 
 def forest_pipeline(feature_cols: Sequence[str], num_trees: int = S.RF_NUM_TREES,
-                    max_depth: int = S.RF_MAX_DEPTH, seed: int = S.RF_SEED) -> Pipeline:
+                    max_depth: int = S.RF_MAX_DEPTH, seed: int = S.RF_SEED,
+                    max_memory_mb: int = 1024) -> Pipeline:
     """M4 + M5: vector assembler and forest regressor (other settings are
-    Spark's defaults: 32 bins, a third of the features per split, bootstrap)."""
+    Spark's defaults: 32 bins, a third of the features per split, bootstrap).
+
+    ``max_memory_mb`` only sets how many tree nodes share one pass over the
+    data (the trees do not change); 1 GiB lets the deep levels of 200 trees
+    go in one pass instead of several."""
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
     rf = RandomForestRegressor(featuresCol="features", labelCol=S.LABEL,
                                predictionCol="prediction", numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed)
+                               maxDepth=max_depth, seed=seed, maxMemoryInMB=max_memory_mb)
     return Pipeline(stages=[asm, rf])
 
 
+FIT_PARTITIONS = 4
+
+
 def fit_forest(train: DataFrame, feature_cols: Sequence[str], **kw) -> PipelineModel:
-    """M6. The rows are put in date order over a fixed number of partitions
-    first: the forest's bootstrap draws depend on row placement, so this
-    makes a refit on the same data give the same trees."""
-    ordered = train.repartitionByRange(4, "DATE").sortWithinPartitions("DATE")
+    """M6. The rows are hash-placed by date over a fixed number of partitions
+    and sorted by date inside each: the forest's bootstrap draws depend on
+    row placement, and this placement is a function of the rows alone, so a
+    refit on the same data gives the same trees however the input was
+    partitioned. A training set is
+    one entity's days (bounded by days x years), and the fit's time goes to
+    split search on the driver, so a few partitions are enough."""
+    ordered = train.repartition(FIT_PARTITIONS, "DATE").sortWithinPartitions("DATE")
     return forest_pipeline(feature_cols, **kw).fit(ordered)
 
 
