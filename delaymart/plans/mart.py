@@ -23,7 +23,7 @@ from delaymart.operators import anomaly, features, forecast, interpret, model, p
 from delaymart.operators.silver import read_silver, silver_frame, write_silver
 from delaymart.session import run_folder
 from delaymart.sinks.writers import write_parquet
-from delaymart.sources.bronze import read_bronze_csv, write_bronze_csv
+from delaymart.sources.bronze import bronze_header, read_bronze_csv, write_bronze_csv
 from delaymart.sources.fixtures import daily_raw
 
 _MARTS: dict[tuple, "DelayMart"] = {}
@@ -82,8 +82,10 @@ class DelayMart:
         return self._once("bronze", lambda: write_bronze_csv(self.bronze_rows(), self.path("bronze")))
 
     def bronze(self) -> DataFrame:
-        """S1 over the written Bronze tree."""
-        return read_bronze_csv(self.spark, self.bronze_path())
+        """S1 over the written Bronze tree (header read once per run)."""
+        path = self.bronze_path()
+        cols = self._once("bronze_header", lambda: bronze_header(self.spark, path))
+        return read_bronze_csv(self.spark, path, columns=cols)
 
     # -- Silver ------------------------------------------------------------
     def silver_unwritten(self) -> DataFrame:

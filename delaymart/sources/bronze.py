@@ -23,14 +23,15 @@ def bronze_header(spark: SparkSession, path: str) -> list[str]:
             .option("recursiveFileLookup", True).csv(path).columns)
 
 
-def read_bronze_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_bronze_csv(spark: SparkSession, path: str, strict: bool = True,
+                    columns: list[str] | None = None) -> DataFrame:
     """Recursive CSV scan with header; every column is text.
 
     ``strict`` (default) checks each file's header against the first one
     (``enforceSchema=false``): a file whose columns are in another order
     fails the read instead of being read by position into wrong columns.
     """
-    cols = bronze_header(spark, path)
+    cols = columns or bronze_header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
     return (spark.read.schema(schema)
             .option("header", True)
