@@ -60,19 +60,24 @@ def p95_outliers(silver: DataFrame, th: DataFrame,
 
 
 def anomalies(silver: DataFrame, by: Sequence[str] = (S.ENTITY,),
-              k: int = S.TOP_N_DAYS, accuracy: int = THRESHOLD_ACCURACY) -> DataFrame:
+              k: int = S.TOP_N_DAYS, accuracy: int = THRESHOLD_ACCURACY,
+              th: DataFrame | None = None) -> DataFrame:
     """U1 + P18: top-k by average, top-k by total, and p95 outliers, kept
     as separate rows (a day can appear once per reason), each graded by the
-    entity's p95 / p99."""
+    entity's p95 / p99.
+
+    The three branches read the same graded rows. Pass ``th`` (the output
+    of :func:`thresholds`, e.g. a written Gold table) so the sketch runs once;
+    otherwise each branch's plan aggregates it again from ``silver``."""
     S.require(silver, ["DATE", "TOTAL_DELAY_MIN", S.LABEL], "Silver")
-    th = thresholds(silver, by, accuracy)
     cols = silver.columns
+    th = th if th is not None else thresholds(silver, by, accuracy)
+    graded = (silver.join(th, list(by), "left")
+              .withColumn("severity", severity(S.LABEL, "p95", "p99")))
     parts = [
-        top_days(silver, S.LABEL, k, by).withColumn("anomaly_type", F.lit(S.ANOMALY_TOP_AVG)),
-        top_days(silver, "TOTAL_DELAY_MIN", k, by).withColumn("anomaly_type", F.lit(S.ANOMALY_TOP_TOTAL)),
-        p95_outliers(silver, th, by).withColumn("anomaly_type", F.lit(S.ANOMALY_P95)),
+        top_days(graded, S.LABEL, k, by).withColumn("anomaly_type", F.lit(S.ANOMALY_TOP_AVG)),
+        top_days(graded, "TOTAL_DELAY_MIN", k, by).withColumn("anomaly_type", F.lit(S.ANOMALY_TOP_TOTAL)),
+        graded.where(F.col(S.LABEL) >= F.col("p95")).withColumn("anomaly_type", F.lit(S.ANOMALY_P95)),
     ]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    graded = u.join(th, list(by), "left")
-    return graded.select(*cols, "anomaly_type",
-                         severity(S.LABEL, "p95", "p99").alias("severity"))
+    return u.select(*cols, "anomaly_type", "severity")

@@ -102,8 +102,11 @@ class DelayMart:
     def causes(self) -> DataFrame:
         return self.gold("causes", lambda: profile.causes_long(self.silver()))
 
+    def thresholds(self) -> DataFrame:
+        return self.gold("thresholds", lambda: anomaly.thresholds(self.silver()))
+
     def anomalies(self) -> DataFrame:
-        return self.gold("anomalies", lambda: anomaly.anomalies(self.silver()))
+        return self.gold("anomalies", lambda: anomaly.anomalies(self.silver(), th=self.thresholds()))
 
     # -- features, split, stub model ---------------------------------------
     def features(self) -> DataFrame:

@@ -226,8 +226,8 @@ def feature_table(spark, sf_dir):
 @query
 def anomaly_severity(spark, sf_dir):
     """P18 on every day: grade against the entity's p95 / p99."""
-    s = mart(spark, sf_dir).silver()
-    th = anomaly.thresholds(s)
+    m = mart(spark, sf_dir)
+    s, th = m.silver(), m.thresholds()
     return (s.join(th, S.ENTITY, "left")
             .select(S.ENTITY, "DATE", S.LABEL, "p95", "p99",
                     C.severity(S.LABEL, "p95", "p99").alias("severity")))
@@ -317,7 +317,7 @@ def causes_long_compat(spark, sf_dir):
 @query
 def anomaly_thresholds(spark, sf_dir):
     """A9."""
-    return anomaly.thresholds(mart(spark, sf_dir).silver())
+    return mart(spark, sf_dir).thresholds()
 
 
 @query
@@ -412,8 +412,8 @@ def top_total_delay(spark, sf_dir):
 @query
 def p95_outliers(spark, sf_dir):
     """U2."""
-    s = mart(spark, sf_dir).silver()
-    return anomaly.p95_outliers(s, anomaly.thresholds(s))
+    m = mart(spark, sf_dir)
+    return anomaly.p95_outliers(m.silver(), m.thresholds())
 
 
 @query
