@@ -86,3 +86,29 @@ def local_path(path: str) -> str | None:
     if "://" in path:
         return None
     return path if os.path.isabs(path) else None
+
+
+def scale_settings(input_bytes: int, partition_bytes: int = 256 << 20,
+                   scan_split_bytes: int = 512 << 20) -> dict[str, str]:
+    """Runtime SQL settings sized for an input of ``input_bytes``.
+
+    The heaviest shuffle is the per-order reduction of the line items, so
+    the initial shuffle partition count is input / ``partition_bytes`` (AQE
+    then merges small ones toward the same advisory size); scans split files
+    at ``scan_split_bytes``; a partition is treated as skewed above twice the
+    advisory size, so AQE splits it before it outgrows an executor."""
+    n = max(200, int(input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(scan_split_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int, **kw) -> dict[str, str]:
+    conf = scale_settings(input_bytes, **kw)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -253,3 +253,10 @@ def test_required_columns_raise(spark):
         profile.delay_profile(df)
     with pytest.raises(ValueError):
         anomaly.anomalies(df)
+
+
+def test_scale_settings():
+    from delaymart.session import scale_settings
+    conf = scale_settings(100 * (1 << 40))            # 100 TiB
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_settings(1 << 20)["spark.sql.shuffle.partitions"] == "200"
