@@ -38,15 +38,25 @@ class DelayMart:
     keyed by ``AIRPORT``. ``history`` and ``target_year`` drive the forecast.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, entity: str = "BUILDING",
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, entity: str = "BUILDING",
                  history: tuple[int, int] = (1998, 2001), target_year: int = 2026,
                  num_trees: int = S.RF_NUM_TREES, max_depth: int = S.RF_MAX_DEPTH,
-                 root: str | None = None):
-        self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+                 root: str | None = None, bronze_dir: str | None = None,
+                 entities: Sequence[str] | None = None):
+        """``sf_dir``: folder of the given tables, from which Bronze rows are
+        derived. ``bronze_dir``: an existing raw CSV tree to use instead.
+        ``entities``: keep only these codes in Silver (all by default).
+        ``root``: where the layers are written (default: a folder for this
+        run under the checkpoint dir)."""
+        if not sf_dir and not bronze_dir:
+            raise ValueError("give sf_dir (tables) or bronze_dir (CSV tree)")
+        self.spark, self.sf_dir = spark, (sf_dir or "").rstrip("/")
+        self.bronze_dir = bronze_dir
+        self.entities = list(entities) if entities else None
         self.entity, self.history, self.target_year = entity, history, target_year
         self.num_trees, self.max_depth = num_trees, max_depth
-        tag = "".join(ch if ch.isalnum() else "_" for ch in self.sf_dir).strip("_")
-        self.root = root or run_folder(spark, tag)
+        tag = "".join(ch if ch.isalnum() else "_" for ch in (self.sf_dir or bronze_dir)).strip("_")
+        self.root = (root or run_folder(spark, tag)).rstrip("/")
         self._done: dict[str, object] = {}
         self._lock = threading.RLock()
 
@@ -79,6 +89,8 @@ class DelayMart:
         return daily_raw(self.spark, self.sf_dir)
 
     def bronze_path(self) -> str:
+        if self.bronze_dir:
+            return self.bronze_dir
         return self._once("bronze", lambda: write_bronze_csv(self.bronze_rows(), self.path("bronze")))
 
     def bronze(self) -> DataFrame:
@@ -89,7 +101,7 @@ class DelayMart:
 
     # -- Silver ------------------------------------------------------------
     def silver_unwritten(self) -> DataFrame:
-        return silver_frame(self.bronze())
+        return silver_frame(self.bronze(), self.entities)
 
     def silver_path(self) -> str:
         return self._once("silver", lambda: write_silver(self.silver_unwritten(), self.path("silver")))
@@ -179,6 +191,14 @@ class DelayMart:
         return self.gold("interpretation",
                          lambda: interpret.importance_pct(self.feature_importance()))
 
+    def forest_validation_daily(self) -> DataFrame:
+        return self.gold("validation_daily", lambda: validate.check_join(
+            validate.validation_daily(self.silver(), self.forest_predictions_full())))
+
+    def forest_validation_monthly(self) -> DataFrame:
+        return self.gold("validation_monthly", lambda: validate.validation_monthly(
+            self.forest_validation_daily()))
+
     # -- forecast ----------------------------------------------------------
     def forecast_inputs(self, input_cols: Sequence[str] | None = None,
                         by_entity: str | None = None) -> DataFrame:
@@ -201,6 +221,10 @@ class DelayMart:
             return forecast.forecast_daily(model.stub_predict(fut, self.stub()))
         return self.gold("stub_forecast_daily", build)
 
+    def forest_forecast_monthly(self) -> DataFrame:
+        return self.gold("forecast_monthly", lambda: forecast.forecast_monthly(
+            self.forest_forecast_daily()))
+
 
 def mart(spark: SparkSession, sf_dir: str, **kw) -> DelayMart:
     return DelayMart.of(spark, sf_dir, **kw)

@@ -475,6 +475,19 @@ def model_metrics(spark, sf_dir):
     return mart(spark, sf_dir).forest_metrics()
 
 
+@query
+def model_validation_daily(spark, sf_dir):
+    """J1 + P19 on the forest's predictions for every day (raises if the
+    join is empty)."""
+    return mart(spark, sf_dir).forest_validation_daily()
+
+
+@query
+def model_validation_monthly(spark, sf_dir):
+    """A12 on the forest's predictions."""
+    return mart(spark, sf_dir).forest_validation_monthly()
+
+
 @query
 def feature_importance(spark, sf_dir):
     """M10."""
@@ -524,7 +537,7 @@ def forecast_daily(spark, sf_dir):
 @query
 def forecast_monthly(spark, sf_dir):
     """A13 with the forest."""
-    return forecast.forecast_monthly(mart(spark, sf_dir).forest_forecast_daily())
+    return mart(spark, sf_dir).forest_forecast_monthly()
 
 
 @query

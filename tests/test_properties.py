@@ -76,3 +76,17 @@ def test_anomaly_rows_equal_parts(spark):
     got = anomaly.anomalies(s).groupBy("AIRPORT").count().withColumnRenamed("count", "n")
     for r in got.join(outl, "AIRPORT").join(days, "AIRPORT").collect():
         assert r.n == min(30, r.days) * 2 + r["count"]
+
+
+def test_cli_over_a_raw_csv_tree(spark, tmp_dir):
+    """The steps run from a raw CSV tree with a single-entity filter, as
+    the original ETL did for one airport."""
+    from delaymart.__main__ import main
+    src = DelayMart.of(spark, SF_SMALL)
+    out = main(["--bronze", src.bronze_path(), "--out", tmp_dir + "/mart",
+                "--entities", "BUILDING", "--steps", "etl,eda,anomalies"])
+    silver = spark.read.parquet(out["silver"])
+    assert {r[0] for r in silver.select("AIRPORT").distinct().collect()} == {"BUILDING"}
+    overall = spark.read.parquet(out["eda/overall"]).first()
+    assert overall.airport == "BUILDING" and overall.days_count == silver.count()
+    assert spark.read.parquet(out["anomalies"]).count() > 0
