@@ -60,13 +60,15 @@ def apply_defaults(spark: SparkSession) -> None:
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for written layers: ``spark.checkpoint.dir`` if the
-    cluster names one, else the context's checkpoint dir, else (tests, local
-    runs only) a fresh temporary folder that we register as checkpoint dir."""
+    cluster names one, else the context's checkpoint dir. Only a local-mode
+    session (tests, one machine) may fall back to a fresh temporary folder,
+    which is then registered as its checkpoint dir; on a cluster a
+    machine-local folder would not be shared, so that is an error."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="delaymart-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
