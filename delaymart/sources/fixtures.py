@@ -9,9 +9,11 @@ CSV would have them. This is the heavy job of the library at scale: it reads
 2. ``orders`` meets ``customer`` on the customer key: AQE turns this into a
    broadcast join only when the measured customer side is under the
    broadcast threshold, else a sort-merge join whose hot keys AQE splits;
-3. the per-order rows join on the order key; the join output is already
-   partitioned by it, so the per-order step of the day aggregate adds no
-   exchange;
+3. the per-order rows join on the order key. At scale that is a
+   sort-merge join whose output is already partitioned by the order key, so
+   the per-order step of the day aggregate adds no exchange (when the
+   per-order side is under the broadcast threshold, as on small inputs, it
+   is broadcast instead and that step shuffles the joined rows once);
 4. the day aggregate runs partial-then-final, so a segment holding a third
    of all orders is still summed map-side before the shuffle.
 """
