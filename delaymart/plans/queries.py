@@ -320,6 +320,13 @@ def anomaly_thresholds(spark, sf_dir):
     return mart(spark, sf_dir).thresholds()
 
 
+@query
+def anomaly_thresholds_compat(spark, sf_dir):
+    """A9 with the original's 1 % relative error (sketch accuracy 100); an
+    approximation, so it has no exact oracle."""
+    return anomaly.thresholds(mart(spark, sf_dir).silver(), accuracy=100)
+
+
 @query
 def seasonal_baseline(spark, sf_dir):
     """A10."""

@@ -14,7 +14,8 @@ ROWS_ONLY = sorted(set(QUERIES) - set(oracle_sql()))
 def test_rows_only_set_is_the_forest():
     assert ROWS_ONLY and all(
         n.startswith(("model_", "forecast_", "feature_importance", "importance_pct",
-                      "report_feature_importance", "chart_top_features")) for n in ROWS_ONLY)
+                      "report_feature_importance", "chart_top_features",
+                      "anomaly_thresholds_compat")) for n in ROWS_ONLY)
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)

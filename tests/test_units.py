@@ -260,3 +260,31 @@ def test_scale_settings():
     conf = scale_settings(100 * (1 << 40))            # 100 TiB
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600
     assert scale_settings(1 << 20)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_dynamic_overwrite_keeps_other_months(spark, tmp_dir):
+    rows = [("a", "2024-01-01T00:00:00Z", "1", "1", "1", None),
+            ("a", "2024-02-01T00:00:00Z", "2", "2", "2", None)]
+    s = silver_frame(bronze_rows(spark, rows))
+    write_silver(s, tmp_dir + "/silver")
+    jan = silver_frame(bronze_rows(spark, [("a", "2024-01-01T00:00:00Z", "5", "5", "5", None)]))
+    write_silver(jan, tmp_dir + "/silver", dynamic=True)
+    back = {r.MONTH: r.ARR_TOTAL_FLIGHTS for r in read_silver(spark, tmp_dir + "/silver").collect()}
+    assert back == {1: 5.0, 2: 2.0}
+    write_silver(jan, tmp_dir + "/silver")              # static: whole tree replaced
+    assert read_silver(spark, tmp_dir + "/silver").count() == 1
+
+
+def test_stream_ingest_is_incremental(spark, tmp_dir):
+    from delaymart.streaming.ingest import ingest_available
+    bronze = tmp_dir + "/bronze"
+    write_bronze_csv(bronze_rows(spark, [("a", "2024-01-01T00:00:00Z", "1", "1", "1", None)]),
+                     bronze + "/day1")
+    silver, ckpt = tmp_dir + "/silver", tmp_dir + "/ckpt"
+    ingest_available(spark, bronze, silver, ckpt)
+    assert read_silver(spark, silver).count() == 1
+    write_bronze_csv(bronze_rows(spark, [("a", "2024-01-02T00:00:00Z", "2", "2", "2", None)]),
+                     bronze + "/day2")
+    ingest_available(spark, bronze, silver, ckpt)          # only the new file is read
+    got = sorted(r.DATE.day for r in read_silver(spark, silver).collect())
+    assert got == [1, 2]
