@@ -38,3 +38,14 @@ def read_bronze_csv(spark: SparkSession, path: str, strict: bool = True,
             .option("recursiveFileLookup", True)
             .option("enforceSchema", not strict)
             .csv(path))
+
+
+def read_bronze_layouts(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """S1 for a tree whose files come in more than one column layout: each
+    folder holds one layout and is read strictly with its own header; the
+    parts are unioned by column name, absent columns as null."""
+    parts = [read_bronze_csv(spark, f) for f in folders]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -288,3 +288,20 @@ def test_stream_ingest_is_incremental(spark, tmp_dir):
     ingest_available(spark, bronze, silver, ckpt)          # only the new file is read
     got = sorted(r.DATE.day for r in read_silver(spark, silver).collect())
     assert got == [1, 2]
+
+
+def test_mixed_layouts_union_by_name(spark, tmp_dir):
+    import os
+    from delaymart.sources.bronze import read_bronze_layouts
+    os.makedirs(tmp_dir + "/l1")
+    os.makedirs(tmp_dir + "/l2")
+    with open(tmp_dir + "/l1/a.csv", "w") as f:
+        f.write("APT_ICAO,FLT_DATE,FLT_ARR_1\nepwa,2024-01-01T00:00:00Z,3\n")
+    with open(tmp_dir + "/l2/b.csv", "w") as f:
+        f.write("FLT_DATE,APT_ICAO,DLY_APT_ARR_1\n2024-01-02T00:00:00Z,epwa,7\n")
+    df = read_bronze_layouts(spark, [tmp_dir + "/l1", tmp_dir + "/l2"])
+    got = {r.FLT_DATE[:10]: r for r in df.collect()}
+    assert got["2024-01-01"].FLT_ARR_1 == "3" and got["2024-01-01"].DLY_APT_ARR_1 is None
+    assert got["2024-01-02"].APT_ICAO == "epwa" and got["2024-01-02"].DLY_APT_ARR_1 == "7"
+    s = {r.DATE.day: r for r in silver_frame(df).collect()}
+    assert s[2].TOTAL_DELAY_MIN == 7.0 and s[1].AVG_ARR_DELAY_MIN is None
