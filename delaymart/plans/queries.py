@@ -20,8 +20,8 @@ from delaymart.functions import columns as C
 from delaymart.operators import anomaly, features, forecast, interpret, model, profile, report, validate
 from delaymart.operators.silver import dedup_daily, entity_filter, typed_bronze, year_range
 from delaymart.plans.mart import mart
-from delaymart.sinks.writers import read_report_csv, register_views, write_parquet, write_report_csv
-from delaymart.sources.calendar import calendar_parts, span_days
+from delaymart.sinks.writers import read_report_csv, register_views, write_report_csv
+from delaymart.sources.calendar import span_days
 from delaymart.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -14,8 +14,6 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from delaymart import schema as S  # noqa: E402
 from delaymart.operators import anomaly, features, forecast, profile, validate  # noqa: E402
 from delaymart.operators.silver import dedup_daily, entity_filter, year_range  # noqa: E402
