@@ -1,6 +1,6 @@
 """Command line: run the steps over a raw CSV tree or the given tables.
 
-    python -m delaymart --bronze /data/bronze --out /data/mart --entity EPWA \\
+    python -m delaymart --bronze /data/bronze --out /data/mart --entity EDDF \\
         --history 2022-2025 --target-year 2026
     python -m delaymart --tables /root/testdata/sf0.01 --out /tmp/mart \\
         --steps etl,eda,anomalies

@@ -38,7 +38,7 @@ def silver_frame(bronze: DataFrame, entities: Sequence[str] | None = None) -> Da
     """P1-P12 as one select: Bronze text rows to the Silver daily contract.
 
     ``entities`` keeps only those codes (the single-airport filter is
-    ``entities=["EPWA"]``); by default every non-empty code is kept, so one
+    ``entities=["EDDF"]``); by default every non-empty code is kept, so one
     run serves all entities.
     """
     S.require(bronze, ["APT_ICAO", "FLT_DATE"], "Bronze")

@@ -21,17 +21,17 @@ def bronze_rows(spark, rows, cols=None):
 
 
 def test_normalize_code(spark):
-    df = spark.createDataFrame([(" ep-wa\t",), ("Brand#13",), (None,)], "c string")
+    df = spark.createDataFrame([(" lk-pr\t",), ("Brand#13",), (None,)], "c string")
     got = [r[0] for r in df.select(C.normalize_code("c")).collect()]
-    assert got == ["EPWA", "BRAND13", None]
+    assert got == ["LKPR", "BRAND13", None]
 
 
 def test_null_code_dropped_and_entity_list(spark):
     b = bronze_rows(spark, [(None, "2024-01-01T00:00:00Z", "1", "1", "1", None),
-                            ("epwa", "2024-01-01T00:00:00Z", "1", "1", "1", None),
+                            ("lkpr", "2024-01-01T00:00:00Z", "1", "1", "1", None),
                             ("eddf", "2024-01-01T00:00:00Z", "1", "1", "1", None)])
-    assert sorted(r.AIRPORT for r in silver_frame(b).collect()) == ["EDDF", "EPWA"]
-    assert [r.AIRPORT for r in silver_frame(b, ["EPWA"]).collect()] == ["EPWA"]
+    assert sorted(r.AIRPORT for r in silver_frame(b).collect()) == ["EDDF", "LKPR"]
+    assert [r.AIRPORT for r in silver_frame(b, ["LKPR"]).collect()] == ["LKPR"]
 
 
 @pytest.mark.parametrize("text,expect", [
@@ -295,12 +295,12 @@ def test_mixed_layouts_union_by_name(spark, tmp_dir):
     os.makedirs(tmp_dir + "/l1")
     os.makedirs(tmp_dir + "/l2")
     with open(tmp_dir + "/l1/a.csv", "w") as f:
-        f.write("APT_ICAO,FLT_DATE,FLT_ARR_1\nepwa,2024-01-01T00:00:00Z,3\n")
+        f.write("APT_ICAO,FLT_DATE,FLT_ARR_1\nlkpr,2024-01-01T00:00:00Z,3\n")
     with open(tmp_dir + "/l2/b.csv", "w") as f:
-        f.write("FLT_DATE,APT_ICAO,DLY_APT_ARR_1\n2024-01-02T00:00:00Z,epwa,7\n")
+        f.write("FLT_DATE,APT_ICAO,DLY_APT_ARR_1\n2024-01-02T00:00:00Z,lkpr,7\n")
     df = read_bronze_layouts(spark, [tmp_dir + "/l1", tmp_dir + "/l2"])
     got = {r.FLT_DATE[:10]: r for r in df.collect()}
     assert got["2024-01-01"].FLT_ARR_1 == "3" and got["2024-01-01"].DLY_APT_ARR_1 is None
-    assert got["2024-01-02"].APT_ICAO == "epwa" and got["2024-01-02"].DLY_APT_ARR_1 == "7"
+    assert got["2024-01-02"].APT_ICAO == "lkpr" and got["2024-01-02"].DLY_APT_ARR_1 == "7"
     s = {r.DATE.day: r for r in silver_frame(df).collect()}
     assert s[2].TOTAL_DELAY_MIN == 7.0 and s[1].AVG_ARR_DELAY_MIN is None
