@@ -79,13 +79,12 @@ def data_range(silver: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
 
 def distinct_years(silver: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
     """D3: the distinct years per entity, flagging the last one (the test
-    year of the time split)."""
+    year of the time split). The last-year window runs on the aggregated
+    table (one row per entity and year), so its groups stay small."""
     years = silver.where(F.col("YEAR").isNotNull()).groupBy(*by, "YEAR").agg(
         F.count("*").alias("days_count"))
-    last = years.groupBy(*by).agg(F.max("YEAR").alias("_last"))
-    return (years.join(last, list(by))
-            .select(*by, "YEAR", "days_count",
-                    (F.col("YEAR") == F.col("_last")).alias("is_last_year")))
+    last = F.max("YEAR").over(Window.partitionBy(*by))
+    return years.select(*by, "YEAR", "days_count", (F.col("YEAR") == last).alias("is_last_year"))
 
 
 def cause_columns(silver: DataFrame, include_total: bool = False) -> list[str]:

@@ -65,12 +65,14 @@ def gold_roundtrip(spark, sf_dir):
 @query
 def calendar_grid(spark, sf_dir):
     """Every day from each entity's first to last day, with calendar
-    columns (Sunday=1), and whether Silver has that day."""
+    columns (Sunday=1), and whether Silver has that day (a semi and an anti
+    join, so copies of a day in Silver never multiply grid rows)."""
     s = mart(spark, sf_dir).silver()
     grid = span_days(s, [S.ENTITY])
-    have = s.select(S.ENTITY, "DATE").distinct().withColumn("has_data", F.lit(True))
-    return (grid.join(have, [S.ENTITY, "DATE"], "left")
-            .withColumn("has_data", F.coalesce("has_data", F.lit(False))))
+    keys = [S.ENTITY, "DATE"]
+    have = s.select(*keys)
+    return (grid.join(have, keys, "left_semi").withColumn("has_data", F.lit(True))
+            .unionByName(grid.join(have, keys, "left_anti").withColumn("has_data", F.lit(False))))
 
 
 @query
