@@ -104,3 +104,24 @@ def test_skewed_entity_top_k_is_exact(spark):
     df = df.withColumn(S.LABEL, F.col("v")).repartition(16)
     top = anomaly.top_days(df, S.LABEL, k=5).where("AIRPORT = 'HOT'").collect()
     assert sorted(r.v for r in top) == [2995.0, 2996.0, 2997.0, 2998.0, 2999.0]
+
+
+def test_bronze_derivation_at_scale_shape(spark):
+    """With broadcasts off (as for inputs far above the threshold) the joins
+    are sort-merge joins, the per-order stage reuses the order-key
+    partitioning (no exchange on segment/day/order), and the rows are the
+    same as with broadcasts."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = daily_raw(spark, SF_SMALL)
+        p = plan(df)
+        assert "SortMergeJoin" in p and "BroadcastHashJoin" not in p
+        assert not re.search(r"hashpartitioning\(c_mktsegment#\d+, d#\d+, o_orderkey", p)
+        smj = sorted(df.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert smj == sorted(daily_raw(spark, SF_SMALL).collect())
