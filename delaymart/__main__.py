@@ -30,13 +30,16 @@ def main(argv=None) -> dict[str, str]:
     ap.add_argument("--trees", type=int, default=None)
     ap.add_argument("--steps", default=",".join(STEPS))
     ap.add_argument("--master", default=None)
+    ap.add_argument("--rebuild", action="store_true",
+                    help="rebuild every layer even if an earlier run wrote it under --out")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
     lo, hi = (int(x) for x in a.history.split("-"))
     kw = {"num_trees": a.trees} if a.trees else {}
     m = DelayMart(spark, sf_dir=a.tables, bronze_dir=a.bronze, entity=a.entity,
                   entities=a.entities.split(",") if a.entities else None,
-                  history=(lo, hi), target_year=a.target_year, root=a.out, **kw)
+                  history=(lo, hi), target_year=a.target_year, root=a.out,
+                  reuse=not a.rebuild, **kw)
     out = run_steps(m, [s for s in a.steps.split(",") if s])
     print(json.dumps(out, indent=1))
     return out

@@ -42,12 +42,14 @@ class DelayMart:
                  history: tuple[int, int] = (1998, 2001), target_year: int = 2026,
                  num_trees: int = S.RF_NUM_TREES, max_depth: int = S.RF_MAX_DEPTH,
                  root: str | None = None, bronze_dir: str | None = None,
-                 entities: Sequence[str] | None = None):
+                 entities: Sequence[str] | None = None, reuse: bool = False):
         """``sf_dir``: folder of the given tables, from which Bronze rows are
         derived. ``bronze_dir``: an existing raw CSV tree to use instead.
         ``entities``: keep only these codes in Silver (all by default).
         ``root``: where the layers are written (default: a folder for this
-        run under the checkpoint dir)."""
+        run under the checkpoint dir). ``reuse``: take a layer already
+        written under ``root`` (by an earlier run) instead of rebuilding it,
+        as separate step runs joined by files do."""
         if not sf_dir and not bronze_dir:
             raise ValueError("give sf_dir (tables) or bronze_dir (CSV tree)")
         self.spark, self.sf_dir = spark, (sf_dir or "").rstrip("/")
@@ -55,6 +57,7 @@ class DelayMart:
         self.entities = list(entities) if entities else None
         self.entity, self.history, self.target_year = entity, history, target_year
         self.num_trees, self.max_depth = num_trees, max_depth
+        self.reuse = reuse
         tag = "".join(ch if ch.isalnum() else "_" for ch in (self.sf_dir or bronze_dir)).strip("_")
         self.root = (root or run_folder(spark, tag)).rstrip("/")
         self._done: dict[str, object] = {}
@@ -78,9 +81,28 @@ class DelayMart:
                 self._done[key] = fn()
             return self._done[key]
 
+    def _layer(self, key: str, path: str, probe: Callable[[str], object],
+               write: Callable[[], str]) -> str:
+        """Written once per run; with ``reuse``, a readable earlier copy at
+        ``path`` counts as written."""
+        def build():
+            if self.reuse:
+                try:
+                    probe(path)
+                    return path
+                except Exception:  # noqa: BLE001 - absent or unreadable: rebuild
+                    pass
+            return write()
+        return self._once(key, build)
+
+    def _probe_parquet(self, path: str):
+        return self.spark.read.parquet(path).schema
+
     def gold(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A Gold table, written once (K2) and read back (S3)."""
-        p = self._once(f"gold:{name}", lambda: write_parquet(build(), self.path("gold", name)))
+        path = self.path("gold", name)
+        p = self._layer(f"gold:{name}", path, self._probe_parquet,
+                        lambda: write_parquet(build(), path))
         return self.spark.read.parquet(p)
 
     # -- Bronze ------------------------------------------------------------
@@ -91,7 +113,9 @@ class DelayMart:
     def bronze_path(self) -> str:
         if self.bronze_dir:
             return self.bronze_dir
-        return self._once("bronze", lambda: write_bronze_csv(self.bronze_rows(), self.path("bronze")))
+        path = self.path("bronze")
+        return self._layer("bronze", path, lambda p: bronze_header(self.spark, p),
+                           lambda: write_bronze_csv(self.bronze_rows(), path))
 
     def bronze(self) -> DataFrame:
         """S1 over the written Bronze tree (header read once per run)."""
@@ -104,7 +128,9 @@ class DelayMart:
         return silver_frame(self.bronze(), self.entities)
 
     def silver_path(self) -> str:
-        return self._once("silver", lambda: write_silver(self.silver_unwritten(), self.path("silver")))
+        path = self.path("silver")
+        return self._layer("silver", path, self._probe_parquet,
+                           lambda: write_silver(self.silver_unwritten(), path))
 
     def silver(self) -> DataFrame:
         """The partitioned Silver table."""
@@ -157,15 +183,20 @@ class DelayMart:
                                  max_depth=self.max_depth)
             self._done["forest_model"] = m
             return model.save_model(m, self.path("model"))
-        return self._once("forest", build)
+        return self._layer("forest", self.path("model"),
+                           lambda p: self._done.setdefault("forest_loaded", model.load_model(p)),
+                           build)
 
     def forest(self) -> PipelineModel:
         """The fitted pipeline, loaded back from its saved folder."""
-        return self._once("forest_loaded", lambda: model.load_model(self.forest_path()))
+        path = self.forest_path()
+        return self._once("forest_loaded", lambda: model.load_model(path))
 
     def forest_fitted(self) -> PipelineModel:
+        """The pipeline as fitted in this run (the loaded one when an earlier
+        run's model was reused)."""
         self.forest_path()
-        return self._done["forest_model"]
+        return self._done.get("forest_model") or self.forest()
 
     def forest_predictions_full(self) -> DataFrame:
         return self.gold("predictions_full", lambda: model.prediction_table(

@@ -90,3 +90,31 @@ def test_cli_over_a_raw_csv_tree(spark, tmp_dir):
     overall = spark.read.parquet(out["eda/overall"]).first()
     assert overall.airport == "BUILDING" and overall.days_count == silver.count()
     assert spark.read.parquet(out["anomalies"]).count() > 0
+
+
+def test_cli_steps_in_separate_runs_reuse_layers(spark, tmp_dir):
+    """Steps run one call at a time (as separate scripts joined by files):
+    the later call reads the Silver the earlier one wrote."""
+    import os
+    from delaymart.__main__ import main
+    out = tmp_dir + "/mart"
+    first = main(["--tables", SF_SMALL, "--out", out, "--steps", "etl"])
+    marker = os.path.join(first["silver"], "_SUCCESS")
+    stamp = os.path.getmtime(marker)
+    second = main(["--tables", SF_SMALL, "--out", out, "--steps", "etl,eda"])
+    assert os.path.getmtime(marker) == stamp
+    assert spark.read.parquet(second["eda/monthly"]).count() > 0
+
+
+def test_cli_forecast_loads_earlier_model(spark, tmp_dir):
+    """A forecast run after a model run loads the saved pipeline (S4) instead
+    of fitting again."""
+    import os
+    from delaymart.__main__ import main
+    out = tmp_dir + "/mart"
+    first = main(["--tables", SF_SMALL, "--out", out, "--trees", "5", "--steps", "etl,model"])
+    meta = os.path.join(first["model"], "metadata", "_SUCCESS")
+    stamp = os.path.getmtime(meta)
+    second = main(["--tables", SF_SMALL, "--out", out, "--trees", "5", "--steps", "forecast"])
+    assert os.path.getmtime(meta) == stamp
+    assert spark.read.parquet(second["forecast_daily"]).count() == 365
