@@ -99,11 +99,13 @@ class DelayMart:
         return self.spark.read.parquet(path).schema
 
     def gold(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A Gold table, written once (K2) and read back (S3)."""
+        """A Gold table, written once (K2) and read back (S3). The read
+        DataFrame is kept for the run: the files do not change after the
+        write, so later queries skip listing them again."""
         path = self.path("gold", name)
         p = self._layer(f"gold:{name}", path, self._probe_parquet,
                         lambda: write_parquet(build(), path))
-        return self.spark.read.parquet(p)
+        return self._once(f"gold_df:{name}", lambda: self.spark.read.parquet(p))
 
     # -- Bronze ------------------------------------------------------------
     def bronze_rows(self) -> DataFrame:
@@ -118,10 +120,11 @@ class DelayMart:
                            lambda: write_bronze_csv(self.bronze_rows(), path))
 
     def bronze(self) -> DataFrame:
-        """S1 over the written Bronze tree (header read once per run)."""
+        """S1 over the written Bronze tree (header read and files listed once
+        per run)."""
         path = self.bronze_path()
         cols = self._once("bronze_header", lambda: bronze_header(self.spark, path))
-        return read_bronze_csv(self.spark, path, columns=cols)
+        return self._once("bronze_df", lambda: read_bronze_csv(self.spark, path, columns=cols))
 
     # -- Silver ------------------------------------------------------------
     def silver_unwritten(self) -> DataFrame:
@@ -133,8 +136,9 @@ class DelayMart:
                            lambda: write_silver(self.silver_unwritten(), path))
 
     def silver(self) -> DataFrame:
-        """The partitioned Silver table."""
-        return read_silver(self.spark, self.silver_path())
+        """The partitioned Silver table (listed once per run)."""
+        path = self.silver_path()
+        return self._once("silver_df", lambda: read_silver(self.spark, path))
 
     # -- Gold: profile and anomalies --------------------------------------
     def causes(self) -> DataFrame:
@@ -151,7 +155,7 @@ class DelayMart:
         return self.gold("features", lambda: features.feature_table(self.silver()))
 
     def feature_cols(self) -> list[str]:
-        return features.feature_columns(self.silver())
+        return self._once("feature_cols", lambda: features.feature_columns(self.silver()))
 
     def split(self) -> DataFrame:
         def build():
