@@ -86,18 +86,20 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> Da
     """M8 in the plan, per entity, in one aggregation pass:
     RMSE = sqrt(mean(err^2)), R2 = 1 - SSE / (n * var_pop(label))."""
     err = F.col("prediction") - F.col(S.LABEL)
+    sst = F.count("*") * F.var_pop(S.LABEL)        # 0 for a constant label: R2 is null
     return scored.groupBy(*by).agg(
         F.count("*").alias("n"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        (F.lit(1.0) - F.sum(err * err) / (F.count("*") * F.var_pop(S.LABEL))).alias("r2"))
+        (F.lit(1.0) - F.try_divide(F.sum(err * err), sst)).alias("r2"))
 
 
-def metrics_table(spark: SparkSession, rmse: float, r2: float, split_mode: str) -> DataFrame:
+def metrics_table(spark: SparkSession, rmse: float, r2: float | None, split_mode: str) -> DataFrame:
     """M9: RMSE, R2 and the split mode as rows (three literal rows)."""
     schema = T.StructType([T.StructField("metric", T.StringType()),
                            T.StructField("value", T.DoubleType()),
                            T.StructField("info", T.StringType())])
-    return spark.createDataFrame([("RMSE", float(rmse), ""), ("R2", float(r2), ""),
+    r2 = float(r2) if r2 is not None else None
+    return spark.createDataFrame([("RMSE", float(rmse), ""), ("R2", r2, ""),
                                   ("SPLIT_MODE", 0.0, split_mode)], schema)
 
 

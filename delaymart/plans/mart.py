@@ -213,9 +213,8 @@ class DelayMart:
     def forest_metrics(self) -> DataFrame:
         def build():
             scored = self.forest().transform(self.entity_split().where(F.col("is_test")))
-            rmse, r2 = model.evaluate(scored)
-            mode = self.entity_split().select("split_mode").first()[0]
-            return model.metrics_table(self.spark, rmse, r2, mode)
+            row = model.regression_metrics(scored, by=("split_mode",)).first()
+            return model.metrics_table(self.spark, row.rmse, row.r2, row.split_mode)
         return self.gold("metrics", build)
 
     def feature_importance(self) -> DataFrame:

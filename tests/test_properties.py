@@ -118,3 +118,11 @@ def test_cli_forecast_loads_earlier_model(spark, tmp_dir):
     second = main(["--tables", SF_SMALL, "--out", out, "--trees", "5", "--steps", "forecast"])
     assert os.path.getmtime(meta) == stamp
     assert spark.read.parquet(second["forecast_daily"]).count() == 365
+
+
+def test_in_plan_metrics_equal_spark_evaluator(small_forest):
+    from delaymart.operators import model
+    scored = small_forest.forest().transform(small_forest.entity_split().where(F.col("is_test")))
+    rmse, r2 = model.evaluate(scored)
+    row = model.regression_metrics(scored, by=()).first()
+    assert row.rmse == pytest.approx(rmse, rel=1e-9) and row.r2 == pytest.approx(r2, rel=1e-9)
