@@ -12,6 +12,7 @@ query downstream reads a small, partitioned, column-pruned table.
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
@@ -59,13 +60,15 @@ class DelayMart:
         self.num_trees, self.max_depth = num_trees, max_depth
         self.reuse = reuse
         tag = "".join(ch if ch.isalnum() else "_" for ch in (self.sf_dir or bronze_dir)).strip("_")
-        self.root = (root or run_folder(spark, tag)).rstrip("/")
+        self.root = (root or run_folder(spark, f"{tag}_{uuid.uuid4().hex[:8]}")).rstrip("/")
         self._done: dict[str, object] = {}
         self._lock = threading.RLock()
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str, **kw) -> "DelayMart":
-        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), tuple(sorted(kw.items())))
+        # One mart per session: it keeps DataFrames bound to that session.
+        key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"),
+               tuple(sorted(kw.items())))
         with _LOCK:
             if key not in _MARTS:
                 _MARTS[key] = cls(spark, sf_dir, **kw)
