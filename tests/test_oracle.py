@@ -53,3 +53,16 @@ def test_query_matches_oracle(spark, con, name):
 
 def test_every_query_has_a_docstring():
     assert all(fn.__doc__ for fn in QUERIES.values())
+
+
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+              "date": "DATE", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_types_match_oracle(spark, con, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    spark_types = {f.name.lower(): TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    sql_types = {r[0].lower(): r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert spark_types == sql_types
