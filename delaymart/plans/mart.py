@@ -119,8 +119,13 @@ class DelayMart:
         if self.bronze_dir:
             return self.bronze_dir
         path = self.path("bronze")
-        return self._layer("bronze", path, lambda p: bronze_header(self.spark, p),
-                           lambda: write_bronze_csv(self.bronze_rows(), path))
+
+        def write() -> str:
+            rows = self.bronze_rows()
+            write_bronze_csv(rows, path)
+            self._done["bronze_header"] = rows.columns     # known: no header read
+            return path
+        return self._layer("bronze", path, lambda p: bronze_header(self.spark, p), write)
 
     def bronze(self) -> DataFrame:
         """S1 over the written Bronze tree (header read and files listed once
