@@ -304,3 +304,11 @@ def test_mixed_layouts_union_by_name(spark, tmp_dir):
     assert got["2024-01-02"].APT_ICAO == "lkpr" and got["2024-01-02"].DLY_APT_ARR_1 == "7"
     s = {r.DATE.day: r for r in silver_frame(df).collect()}
     assert s[2].TOTAL_DELAY_MIN == 7.0 and s[1].AVG_ARR_DELAY_MIN is None
+
+
+def test_raw_year_columns_are_replaced_from_the_date(spark):
+    cols = ["APT_ICAO", "FLT_DATE", "YEAR", "MONTH_NUM", "FLT_ARR_1", "DLY_APT_ARR_A_1"]
+    b = bronze_rows(spark, [("lkpr", "2024-03-05T00:00:00Z", "2023", "x", "2", "4")], cols)
+    r = silver_frame(b).first()
+    assert (r.YEAR, r.MONTH, r.AVG_ARR_DELAY_MIN) == (2024, 3, 2.0)
+    assert "MONTH_NUM" not in silver_frame(b).columns
