@@ -8,7 +8,6 @@ create one ourselves.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -81,15 +80,6 @@ def run_folder(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark), "delaymart", app, *parts])
 
 
-def local_path(path: str) -> str | None:
-    """Plain filesystem path of a ``file:`` URI or bare path, else None."""
-    if path.startswith("file:"):
-        return path[len("file:"):].lstrip("/") and "/" + path[len("file:"):].lstrip("/")
-    if "://" in path:
-        return None
-    return path if os.path.isabs(path) else None
-
-
 def scale_settings(input_bytes: int, partition_bytes: int = 256 << 20,
                    scan_split_bytes: int = 512 << 20) -> dict[str, str]:
     """Runtime SQL settings sized for an input of ``input_bytes``.
