@@ -200,15 +200,21 @@ class DelayMart:
                            build)
 
     def forest(self) -> PipelineModel:
-        """The fitted pipeline, loaded back from its saved folder."""
+        """The pipeline to score with: the one fitted in this run, else the
+        saved one loaded back (S4), as a later run that reuses it does."""
+        self.forest_path()
+        fitted = self._done.get("forest_model")
+        return fitted if fitted is not None else self.forest_loaded()
+
+    def forest_loaded(self) -> PipelineModel:
+        """The pipeline read back from its saved folder."""
         path = self.forest_path()
         return self._once("forest_loaded", lambda: model.load_model(path))
 
     def forest_fitted(self) -> PipelineModel:
         """The pipeline as fitted in this run (the loaded one when an earlier
         run's model was reused)."""
-        self.forest_path()
-        return self._done.get("forest_model") or self.forest()
+        return self.forest()
 
     def forest_predictions_full(self) -> DataFrame:
         return self.gold("predictions_full", lambda: model.prediction_table(

@@ -527,7 +527,7 @@ def model_roundtrip(spark, sf_dir):
     """K3 + S4: the saved and reloaded pipeline predicts what the fitted one
     did, with the input columns read from the loaded model."""
     m = mart(spark, sf_dir)
-    fitted, loaded = m.forest_fitted(), m.forest()
+    fitted, loaded = m.forest_fitted(), m.forest_loaded()
     rows = m.entity_split()
     a = fitted.transform(rows).select(S.ENTITY, "DATE", F.col("prediction").alias("fitted_prediction"))
     b = loaded.transform(rows).select(S.ENTITY, "DATE", F.col("prediction").alias("loaded_prediction"))

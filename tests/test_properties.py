@@ -36,7 +36,7 @@ def test_forecast_has_every_day(small_forest):
 def test_saved_model_predicts_the_same(small_forest):
     rows = small_forest.entity_split()
     a = small_forest.forest_fitted().transform(rows).select("DATE", "prediction")
-    b = small_forest.forest().transform(rows).select("DATE", F.col("prediction").alias("p2"))
+    b = small_forest.forest_loaded().transform(rows).select("DATE", F.col("prediction").alias("p2"))
     assert a.join(b, "DATE").where(F.col("prediction") != F.col("p2")).count() == 0
 
 
