@@ -9,7 +9,9 @@ registered Spark queries.
 
 from __future__ import annotations
 
-# The fixture binding's cause columns (FIXTURES.md): the rest are absent.
+# ---------------------------------------------------------------------------
+# The fixture binding's columns and parameters (FIXTURES.md).
+# The cause columns present in the binding (the rest are absent):
 CAUSES = ["DLY_APT_ARR_A_1", "DLY_APT_ARR_C_1", "DLY_APT_ARR_D_1",
           "DLY_APT_ARR_E_1", "DLY_APT_ARR_G_1", "DLY_APT_ARR_NA_1"]
 REPORTED = [c for c in CAUSES if c != "DLY_APT_ARR_NA_1"]
@@ -24,6 +26,7 @@ TARGET = 2026
 PAIRS = [("A", "F", "DLY_APT_ARR_A_1"), ("A", "O", "DLY_APT_ARR_C_1"),
          ("N", "F", "DLY_APT_ARR_D_1"), ("N", "O", "DLY_APT_ARR_E_1"),
          ("R", "F", "DLY_APT_ARR_G_1"), ("R", "O", "DLY_APT_ARR_NA_1")]
+# ---------------------------------------------------------------------------
 
 _j = ",\n  ".join
 
