@@ -100,7 +100,7 @@ def metrics_table(spark: SparkSession, rmse: float, r2: float | None, split_mode
                            T.StructField("info", T.StringType())])
     r2 = float(r2) if r2 is not None else None
     return spark.createDataFrame([("RMSE", float(rmse), ""), ("R2", r2, ""),
-                                  ("SPLIT_MODE", 0.0, split_mode)], schema)
+                                  ("SPLIT_MODE", 0.0, split_mode)], schema).coalesce(1)
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
@@ -110,7 +110,7 @@ def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:
     imp = model.stages[-1].featureImportances.toArray().tolist()
     schema = T.StructType([T.StructField("feature", T.StringType()),
                            T.StructField("importance", T.DoubleType())])
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], schema)
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], schema).coalesce(1)
 
 
 # --- stub predictor ----------------------------------------------------------
