@@ -5,6 +5,9 @@ produced, none is shipped to the driver). The first query pays for deriving
 and writing Bronze and Silver from the raw tables, as a fresh pipeline run
 does. Shuffles start at one partition per core (AQE coalesces from there;
 at this input size more only adds task overhead). Prints one JSON line.
+
+Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
+(default 8), BENCH_QUERIES (comma-separated subset), BENCH_SHUFFLE_PARTITIONS.
 """
 
 from __future__ import annotations
