@@ -131,6 +131,24 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(part, first) + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def prefix_hashes(buf: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of the first ``n`` bytes from each start (words that long)."""
+    h = np.full(len(starts), n, U64)
+    for j, factor in enumerate(_powers(n)):
+        h += _BYTE_KEYS[buf[starts + j]] * factor
+    return mix(h)
+
+
+def sort_rows(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sort each h[at[i]:at[i+1]] in place; true where a value is its row's first of its kind."""
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        h[a:b].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][at[:-1] < len(h)]] = True
+    return new
+
+
 def window_hashes(wh: np.ndarray, first: np.ndarray, n: int,
                   whole_if_short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of every run of ``n`` words inside each row: (row, word index of

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from delaymart.llm.common import table
+from delaymart.llm.decontam import contaminated
 from delaymart.llm.exact import exact_dedup
 from delaymart.llm.mixing import mix
+from delaymart.llm.neardup import near_duplicates
+from delaymart.llm.quality import classify
 from delaymart.llm.sharding import shard, text_key
+from delaymart.llm.substrings import repeated_spans
 
 N_SHARDS = 40
 
@@ -28,12 +32,32 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the scorer's chance of being bad and the decision."""
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their near-duplicate component (5 words, 0.85)."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=85, rows=6)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the id that stays of their equal texts (A-Z lower-cased)."""
     out = exact_dedup(table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item it holds a copy of."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated spans of all documents, with where each occurred first."""
+    return repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words the mix takes of each."""
     out = mix(table(spark, sf_dir, "documents"))
@@ -42,6 +66,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
 }
