@@ -14,6 +14,29 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+# Near lines by their definition: equal variants at one place, or a line that is
+# another's variant, over the words themselves.
+OP5 = """
+WITH l AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS line_no,
+         unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM l),
+g AS (SELECT w, len(w) AS n, min(row(doc_id IS NULL, doc_id, line_no)) AS first FROM f WHERE len(w) > 0 GROUP BY w),
+v AS (SELECT w, n, first, place, list_concat(w[1:place - 1], w[place + 1:]) AS part
+      FROM (SELECT *, unnest(range(1, n + 1)) AS place FROM g WHERE n >= 5)),
+swap AS (SELECT w, min(first) OVER (PARTITION BY n, place, part) AS best FROM v),
+gap AS (SELECT v.w, min(g.first) AS best FROM v JOIN g ON v.part = g.w WHERE g.n >= 5 GROUP BY v.w
+        UNION ALL
+        SELECT g.w, min(v.first) FROM v JOIN g ON v.part = g.w WHERE g.n >= 5 GROUP BY g.w),
+b AS (SELECT w, min(best) AS best FROM (SELECT * FROM swap UNION ALL SELECT * FROM gap
+                                        UNION ALL SELECT w, first FROM g) GROUP BY w)
+SELECT doc_id, line_no, len(f.w)::INT AS n_words,
+       CASE WHEN len(f.w) > 0 THEN best[2] ELSE doc_id END AS keep_id,
+       (CASE WHEN len(f.w) > 0 THEN best[3] ELSE line_no END)::INT AS keep_line,
+       coalesce(best = row(doc_id IS NULL, doc_id, line_no), true) AS kept
+FROM f LEFT JOIN b ON f.w = b.w
+"""
+
 # The plain form of mixing.py: the same ranks over whole sources. ``level`` is
 # the water-filling level; a round takes the longest prefix, in rank order, of
 # the rows that are not taken yet and fit into what is left.
@@ -56,5 +79,6 @@ FROM d2
 
 ORACLE: dict[str, str] = {
     "op4_exact_dedup": OP4,
+    "op5_line_dedup": OP5,
     "op9_mix_sources": OP9,
 }

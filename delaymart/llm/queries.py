@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from delaymart.llm.common import table
 from delaymart.llm.decontam import contaminated
 from delaymart.llm.exact import exact_dedup
+from delaymart.llm.lines import near_lines
 from delaymart.llm.mixing import mix
 from delaymart.llm.neardup import near_duplicates
 from delaymart.llm.quality import classify
 from delaymart.llm.sharding import shard, text_key
 from delaymart.llm.substrings import repeated_spans
+from delaymart.llm.wrapper import main_text
 
 N_SHARDS = 40
 
@@ -48,6 +50,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of all documents with the earliest equal or near line."""
+    return near_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it holds a copy of."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,12 +71,19 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_html_extraction": op10_html_extraction,
 }
