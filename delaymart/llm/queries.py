@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from delaymart.llm.common import table
 from delaymart.llm.decontam import contaminated
 from delaymart.llm.exact import exact_dedup
+from delaymart.llm.licenses import licence_paragraphs
 from delaymart.llm.lines import near_lines
 from delaymart.llm.mixing import mix
 from delaymart.llm.neardup import near_duplicates
@@ -55,6 +56,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence paragraph of all documents with its family."""
+    return licence_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it holds a copy of."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
