@@ -3,7 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies
 them to the documents table, writing each result as Parquet under
 ``spark.checkpoint.dir`` and reading it back as the next stage's documents. All
-stages but the last return the columns of documents.
+stages but the last return the columns they got, whatever they are; the last
+adds ``shard`` and ``slot``. Names that begin with ``__`` are kept for the stages.
+
+Defined cases: documents without words are rejected by the classifier; of
+repeated rows one passes the near-duplicate stage; null ids and sources take
+part as values of their own; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,12 +24,11 @@ from delaymart.llm.quality import keep_good
 from delaymart.llm.sharding import shard, text_key
 
 N_SHARDS = 40
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-label classifier rejects go."""
-    return keep_good(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,31 +40,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = cut(found.where("kept").groupBy(F.col("doc_id").alias("__id")).count()
                 .where("count > 1").select("__id"), "repeated-ids")
     if again.isEmpty():
-        return docs.select(*COLUMNS)
+        return docs
     same = F.col("doc_id").eqNullSafe(F.col("__id"))
     once = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(again, same, "left_anti").unionByName(once).select(*COLUMNS)
+    return docs.join(again, same, "left_anti").unionByName(once)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it: never, once or twice."""
     taken = mix(docs).where("copies > 0").groupBy(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("copies"))
+        F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").cast("int").alias("__copies"))
     rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))
                      & F.col("source").eqNullSafe(F.col("__source")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in 40 shards of near-equal bytes, with their place in the shard."""
-    rows = docs.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
-    rows = rows.withColumn("key", text_key(F.col("text")))
-    return shard(rows, N_SHARDS, ["key", "doc_id"], "size").drop("key")
+    rows = docs.withColumn("__bytes", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long"))
+    rows = rows.withColumn("__key", text_key(F.col("text")))
+    return shard(rows, N_SHARDS, ["__key", "doc_id"], "__bytes").drop("__key", "__bytes")
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate),

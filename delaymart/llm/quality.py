@@ -249,10 +249,10 @@ def fit_scorer(features: list[np.ndarray], target: np.ndarray, steps: int = 80,
     return w, bias
 
 
-def _score_rows(batches: Iterator[pa.RecordBatch], text_col: str, weights: np.ndarray,
+def _score_rows(batches: Iterator[pa.RecordBatch], out: str, weights: np.ndarray,
                 bias: float) -> Iterator[pa.RecordBatch]:
     used = np.abs(weights) > 1e-3
-    for rows, buf, offs in pieces(batches, text_col):
+    for rows, buf, offs in pieces(batches):
         share = shares(buf, offs)
         row, f = _features(buf, offs, share)
         hit = used[f]
@@ -260,17 +260,15 @@ def _score_rows(batches: Iterator[pa.RecordBatch], text_col: str, weights: np.nd
         z = np.bincount(row, weights[f], len(share)) + bias
         score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         score[share[:, 0] == 0] = 1.0
-        cols = [rows.column(i) for i in range(rows.num_columns)]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=[*rows.schema.names, "p_bad"])
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score)], names=[*rows.schema.names, out])
 
 
 class QualityModel:
     """What the fits give: accuracies, share of bad, lexicon and scorer."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id",
-                 text_col: str = "text", sample: int = SAMPLE):
+    def __init__(self, docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", sample: int = SAMPLE):
         spark = docs.sparkSession
-        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        texts = docs.select(F.col(id_col).alias("id"), "text")
         if labels is None:
             human = spark.createDataFrame([], "label_id long, human int, toxic int")
         else:
@@ -312,15 +310,15 @@ class QualityModel:
         got = df.mapInArrow(run, "pattern long, features binary").collect()
         return [(r["pattern"], np.frombuffer(r["features"], np.int32).astype(np.int64)) for r in got]
 
-    def score(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """``df`` with p_bad, the scorer's chance that a document is bad."""
+    def score(self, df: DataFrame, out: str = "p_bad") -> DataFrame:
+        """``df`` with the scorer's chance that a document is bad, as ``out``."""
         weights, bias = self.weights, self.bias
-        df = df.drop("p_bad")
+        df = df.drop(out)
 
         def run(it):
-            return _score_rows(it, text_col, weights, bias)
+            return _score_rows(it, out, weights, bias)
 
-        return df.mapInArrow(run, df.withColumn("p_bad", F.lit(0.0)).schema)
+        return df.mapInArrow(run, df.withColumn(out, F.lit(0.0)).schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.5) -> DataFrame:
@@ -333,4 +331,4 @@ def classify(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.5)
 def keep_good(docs: DataFrame, labels: DataFrame | None, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
     model = QualityModel(docs, labels)
-    return model.score(docs).where(F.col("p_bad") < threshold).drop("p_bad")
+    return model.score(docs, "__p_bad").where(F.col("__p_bad") < threshold).drop("__p_bad")
