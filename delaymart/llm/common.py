@@ -170,7 +170,7 @@ def window_hashes(wh: np.ndarray, first: np.ndarray, n: int,
             hs = np.empty(len(short), U64)
             for k, r in enumerate(short):
                 w = wh[first[r]:first[r + 1]]
-                hs[k] = (w * factors[:len(w)]).sum(dtype=U64) + factors[n] * U64(len(w) + 1)
+                hs[k] = np.append(w * factors[:len(w)], factors[n:n + 1] * U64(len(w) + 1)).sum(dtype=U64)
             row = np.concatenate([row, short])
             at = np.concatenate([at, first[short]])
             h = np.concatenate([h, mix(hs)])

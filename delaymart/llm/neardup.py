@@ -12,17 +12,18 @@ their Jaccard similarity is at least ``percent`` / 100.
    element-wise maxima, so sketches of parts merge.
 3. Bands of ``rows`` registers are the candidate keys. A linked pair that agrees
    in no band has a chance of (1 - J^rows)^bands, below 1e-6 at the threshold.
-4. In each bucket all members are compared with one pivot, the smallest class,
-   never with each other. The similarity is first estimated jointly from both
-   sketches and set sizes by maximum likelihood; a pair is passed on if the
-   estimate is within ``SLACK`` (six standard errors) of the threshold, and
-   confirmed on the full sets.
-5. Confirmed links give components. A bucket goes on without its pivot while
-   its members lie in several components; members of the pivot's component
-   leave too, unless by the triangle inequality of the Jaccard distance one of
-   them could still be linked to a member outside. Rounds go on until no bucket
-   is left; every fourth round buckets are divided by a second band, which
-   thins out crowds that only share a passage.
+4. In each bucket all members are compared with a few pivots, never with each
+   other: at first with the smallest class. The similarity is first estimated
+   jointly from both sketches and set sizes by maximum likelihood; a pair is
+   passed on if the estimate is within ``SLACK`` (six standard errors) of the
+   threshold, and confirmed on the full sets. Confirmed links give components.
+5. A bucket whose members lie in several components goes on. Its outsiders, the
+   members outside its largest component, become pivots in turn, some each
+   round, and leave once they have met all other members. So every pair of
+   different components is compared (one of the two is an outsider), while in a
+   large group of copies, which soon is one component, almost nobody is. If many
+   outsiders remain after some rounds, a bucket is divided by the members' other
+   bands, which thins out crowds that only share a passage.
 
 The result is one row per document. Documents with a null id take part and
 count for no component's smallest id; rows that share id and text are alike in
@@ -46,6 +47,8 @@ from delaymart.llm.components import components
 REGISTERS = 180
 BASE, RATE, LEVELS = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
+PIVOTS, PAIRS_OF_SMALL = 4, 512
+DIVIDE_AFTER, CROWD = 8, 64
 _BLOCK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(977))
 _MUL = _RNG.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -227,6 +230,20 @@ class NearDuplicates:
         common = F.size(F.array_intersect("su", "sv"))
         return both.where(100 * common >= self.percent * (F.col("nu") + F.col("nv") - common)).select("u", "v")
 
+    def compare(self, pairs: DataFrame, classes: DataFrame, comp: DataFrame | None) -> DataFrame | None:
+        """The components with the links among ``pairs`` (u, v, nu, nv) added."""
+        fits = 100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")
+        est = self.estimates(pairs.where(fits).distinct(), classes)
+        close = cut(est.where(F.col("est") >= self.percent / 100 - SLACK).select("u", "v"), "pairs")
+        if close.isEmpty():
+            return comp
+        links = cut(self.confirm(close, classes), "confirmed")
+        if links.isEmpty():
+            return comp
+        if comp is not None:
+            links = links.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+        return cut(components(links), "components")
+
     def search(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """(sketches, classes, components of classes or None without links)."""
         rows = self.sketches()
@@ -234,70 +251,69 @@ class NearDuplicates:
             rows.where("n > 0").groupBy("n", "k1", "k2")
             .agg(F.min("id").alias("rep"), F.first("regs").alias("regs")), "cid"), "classes")
         band = self.bands(classes)
-        keys = band.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        active = cut(band.join(keys, "key"), "buckets")
-        t = self.percent / 100
-        links: DataFrame | None = None
-        tested: DataFrame | None = None
-        comp: DataFrame | None = None
+        keys = band.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cid", "n")).alias("p"))
+        first = cut(band.join(keys.where("c > 1").select("key", "p"), "key"), "buckets")
+        if first.isEmpty():
+            return rows, classes, None
+        others = first.where("cid > p.cid").select(F.col("p.cid").alias("u"), F.col("cid").alias("v"),
+                                                   F.col("p.n").alias("nu"), F.col("n").alias("nv"))
+        comp = self.compare(others, classes, None)
+        active = first.where("cid > p.cid").select("key", "cid", "n")
         step = 0
-        while not active.isEmpty():
+        while True:
             step += 1
-            if step % 4 == 0:
-                active = self._divide(active, classes)
-            pivots = active.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("p")).select(
-                "key", F.col("p.cid").alias("u"), F.col("p.n").alias("nu"))
-            members = cut(active.join(pivots, "key").where("cid > u").select(
-                "key", "u", "nu", F.col("cid").alias("v"), F.col("n").alias("nv")), "members")
-            fits = 100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")
-            est = self.estimates(members.where(fits).select("u", "v", "nu", "nv").distinct(), classes)
-            pairs = est.where(F.col("est") >= t - SLACK).select("u", "v")
-            if tested is not None:
-                pairs = pairs.join(tested, ["u", "v"], "left_anti")
-            pairs = cut(self._apart(pairs, comp), "pairs")
-            if not pairs.isEmpty():
-                new = cut(self.confirm(pairs, classes), "confirmed")
-                tested = pairs if tested is None else tested.unionByName(pairs)
-                if not new.isEmpty():
-                    links = new if links is None else links.unionByName(new)
-                    comp = cut(components(links), "components")
-            active = cut(self._go_on(members, est, comp, t), "buckets")
-        return rows, classes, comp
-
-    def _labels(self, df: DataFrame, comp: DataFrame | None, cols: list[str]) -> DataFrame:
-        for c in cols:
-            if comp is None:
-                df = df.withColumn(f"comp_{c}", F.col(c))
-            else:
-                df = (df.join(comp.select(F.col("node").alias(c), F.col("comp").alias("__c")), c, "left")
-                      .withColumn(f"comp_{c}", F.coalesce("__c", c)).drop("__c"))
-        return df
-
-    def _apart(self, pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-        return self._labels(pairs, comp, ["u", "v"]).where("comp_u != comp_v").select("u", "v")
-
-    def _go_on(self, members: DataFrame, est: DataFrame, comp: DataFrame | None, t: float) -> DataFrame:
-        """The buckets of the next round, without this round's pivots."""
-        sized = (members.join(est.select("u", "v", "est"), ["u", "v"], "left")
-                 .withColumn("j", F.coalesce("est", F.least("nu", "nv") / F.greatest("nu", "nv"))))
-        sized = self._labels(sized, comp, ["u", "v"]).withColumn("same", F.col("comp_u") == F.col("comp_v"))
-        outside = sized.where(~F.col("same")).groupBy("key").agg(F.max("j").alias("closest"))
-        kept = sized.join(outside, "key").where(
-            ~F.col("same") | (1 - F.col("closest") <= (1 - t) + (1 - F.col("j")) + SLACK / 2))
-        several = (kept.groupBy("key").agg(F.min("comp_v").alias("a"), F.max("comp_v").alias("b"))
-                   .where("a < b").select("key"))
-        return kept.join(several, "key", "left_semi").select("key", F.col("v").alias("cid"), F.col("nv").alias("n"))
-
-    def _divide(self, active: DataFrame, classes: DataFrame) -> DataFrame:
-        """Each bucket's members by each of their other bands."""
-        inside = active.select("cid").distinct()
+            active, several = self._open(active, comp)
+            if active.isEmpty():
+                return rows, classes, comp
+            if step % DIVIDE_AFTER == 0 and not several.where(F.col("outside") > CROWD).isEmpty():
+                active, several = self._open(self._divide(active, several, classes), comp)
+            pivots = cut(self._pivots(active, several), "pivots")
+            pairs = (active.join(pivots, "key").where("comp != comp_u")
+                     .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v"),
+                             F.when(F.col("u") < F.col("cid"), F.col("nu")).otherwise(F.col("n")).alias("nu"),
+                             F.when(F.col("u") < F.col("cid"), F.col("n")).otherwise(F.col("nu")).alias("nv")))
+            comp = self.compare(pairs, classes, comp)
+            done = pivots.select("key", F.col("u").alias("cid"))
+            active = active.select("key", "cid", "n").join(done, ["key", "cid"], "left_anti")
+
+    def _open(self, active: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The members (with their component) of buckets with more than one
+        component, and those buckets with their size and number of outsiders."""
+        if comp is None:
+            named = active.select("key", "cid", "n", F.col("cid").alias("comp"))
+        else:
+            named = (active.select("key", "cid", "n")
+                     .join(comp.select(F.col("node").alias("cid"), F.col("comp").alias("c")), "cid", "left")
+                     .select("key", "cid", "n", F.coalesce("c", "cid").alias("comp")))
+        named = cut(named, "labelled")
+        per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        several = per.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"))
+        several = cut(several.where(F.col("size") > F.col("main.c")).select(
+            "key", "size", (F.col("size") - F.col("main.c")).alias("outside"), F.col("main.comp").alias("main")),
+            "open-buckets")
+        return cut(named.join(several.select("key"), "key", "left_semi"), "active"), several
+
+    @staticmethod
+    def _pivots(active: DataFrame, several: DataFrame) -> DataFrame:
+        """About PIVOTS outsiders of each bucket (more of a small one), the
+        same ones in all buckets as far as possible."""
+        rank = F.pmod(F.xxhash64("cid", F.lit(29)), F.lit(1 << 40))
+        outside = active.join(several, "key").where("comp != main").withColumn("rank", rank)
+        least = outside.groupBy("key").agg(F.min("rank").alias("least"))
+        part = F.greatest(F.lit(float(PIVOTS)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
+        return (outside.join(least, "key").where((F.col("rank") == F.col("least")) | (F.col("rank") < part))
+                .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("comp_u")))
+
+    def _divide(self, active: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
+        """Crowded buckets' members by each of their other bands; the other buckets."""
+        crowded = several.where(F.col("outside") > CROWD).select("key")
+        crowd = active.join(crowded, "key", "left_semi").select("key", "cid", "n")
+        inside = crowd.select("cid").distinct()
         band = self.bands(classes.join(inside, "cid", "left_semi")).select(
             F.col("key").alias("other"), F.col("cid").alias("c"))
-        finer = (active.join(band, (F.col("cid") == F.col("c")) & (F.col("key") != F.col("other")))
+        finer = (crowd.join(band, (F.col("cid") == F.col("c")) & (F.col("key") != F.col("other")))
                  .select(F.xxhash64("key", "other").alias("key"), "cid", "n"))
-        finer = cut(finer, "finer")
-        keys = finer.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-        return cut(finer.join(keys, "key", "left_semi"), "buckets")
+        return active.join(crowded, "key", "left_anti").select("key", "cid", "n").unionByName(finer)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,

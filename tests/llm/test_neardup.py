@@ -93,3 +93,10 @@ def test_registers_merge_and_likelihood_estimates():
     assert (neardup.merge(regs[0], regs[1]) == regs[2]).all()
     est = neardup.likelihood_jaccard(regs[:1], regs[1:2], np.array([2000]), np.array([2500]))[0]
     assert abs(est - 0.5) < 0.15
+
+
+def test_divided_buckets_lose_no_link(rows, monkeypatch):
+    monkeypatch.setattr(neardup, "DIVIDE_AFTER", 1)
+    monkeypatch.setattr(neardup, "CROWD", 3)
+    data = make()
+    check(rows(data), data, 85, 6)
