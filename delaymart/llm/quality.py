@@ -146,17 +146,18 @@ def _human(col: pa.Array) -> np.ndarray:
 
 
 def _vote_rows(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(human, text) to votes as one base-3 number."""
+    """(id, text) to (id, votes as one base-3 number), without the human vote."""
     listed = np.zeros(1 << BITS, bool)
     listed[lexicon] = True
-    place = 3 ** np.arange(len(LABELLERS))
+    place = 3 ** np.arange(len(LABELLERS) - 1)
     for rows, buf, offs in pieces(batches):
         share = shares(buf, offs)
         row, f = _features(buf, offs, share)
         hit = listed[f]
         row, f = _once(row[hit], f[hit])
-        v = votes(share, np.bincount(row, minlength=len(share)), len(lexicon) > 0, _human(rows.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array((v * place).sum(axis=1))], names=["pattern"])
+        marks = np.bincount(row, minlength=len(share))
+        v = votes(share, marks, len(lexicon) > 0, np.full(len(share), NONE))[:, :-1]
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((v * place).sum(axis=1))], names=["id", "pattern"])
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -275,21 +276,26 @@ class QualityModel:
             bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
             human = (labels.where("quality is not null and toxic is not null").groupBy(F.col(id_col).alias("label_id"))
                      .agg(F.max(bad.cast("int")).alias("human"), F.max("toxic").cast("int").alias("toxic")))
-        labelled = texts.join(human, F.col("id") == F.col("label_id"), "left").select("id", "human", "toxic", "text")
-        n = texts.count()
-        u = F.pmod(F.xxhash64("id", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-        n_labels = human.count()
-        few = cut(labelled.where(F.col("human").isNotNull()).where(u < sample / max(n_labels, 1)), "labelled")
-        empty = np.zeros(0, np.int64)
+        n, n_labels = texts.count(), human.count()
+
+        def part(col: str, of: int):
+            """Whether an id is in a sample of about ``sample`` out of ``of``."""
+            return F.pmod(F.xxhash64(col, F.lit(41)), F.lit(1 << 30)) < (1 << 30) * (sample / max(of, 1))
+
+        # both samples of labels are of about ``sample`` rows, so they are broadcast
+        few = cut(texts.join(F.broadcast(human.where(part("label_id", n_labels))), F.col("id") == F.col("label_id"))
+                  .select("human", "text", "toxic"), "labelled")
+        drawn = texts.where(part("id", n)).join(F.broadcast(human.where(part("label_id", n))),
+                                                F.col("id") == F.col("label_id"), "left").select("human", "text")
 
         def sampled(lexicon):
             def run(it):
                 return _sample_rows(it, lexicon)
             return run
 
-        got = few.select("human", "text", "toxic")
-        feats = self._features(got.select("human", "text").where("toxic is null or toxic = 0"), sampled(empty))
-        toxic = self._features(got.where("toxic = 1").select("human", "text"), sampled(empty))
+        empty = np.zeros(0, np.int64)
+        feats = self._features(few.where("toxic = 0").select("human", "text"), sampled(empty))
+        toxic = self._features(few.where("toxic = 1").select("human", "text"), sampled(empty))
         self.lexicon = learn_lexicon(
             [f for _, f in feats + toxic], np.repeat([False, True], [len(feats), len(toxic)]))
         lexicon = self.lexicon
@@ -297,12 +303,15 @@ class QualityModel:
         def vote(it):
             return _vote_rows(it, lexicon)
 
-        counts = (labelled.select("human", "text").mapInArrow(vote, "pattern long")
-                  .groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect())
+        kind = texts.schema["id"].dataType.simpleString()
+        voted = cut(texts.mapInArrow(vote, f"id {kind}, pattern long"), "votes")
+        said = F.coalesce(F.col("human"), F.lit(NONE)) * 3 ** (len(LABELLERS) - 1)
+        counts = (voted.join(human, F.col("id") == F.col("label_id"), "left")
+                  .groupBy((F.col("pattern") + said).alias("pattern")).agg(F.count(F.lit(1)).alias("n")).collect())
         pattern = np.array([r["pattern"] for r in counts], np.int64)
         self.posterior, self.accuracy = expectation_maximisation(pattern, np.array([r["n"] for r in counts]))
         label = dict(zip(pattern.tolist(), self.posterior.tolist(), strict=True))
-        rows = self._features(labelled.where(u < sample / max(n, 1)).select("human", "text"), sampled(lexicon))
+        rows = self._features(drawn, sampled(lexicon))
         self.weights, self.bias = fit_scorer([f for _, f in rows], np.array([label[p] for p, _ in rows]))
 
     @staticmethod
