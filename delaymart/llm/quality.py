@@ -279,8 +279,8 @@ class QualityModel:
         n, n_labels = texts.count(), human.count()
 
         def part(col: str, of: int):
-            """Whether an id is in a sample of about ``sample`` out of ``of``."""
-            return F.pmod(F.xxhash64(col, F.lit(41)), F.lit(1 << 30)) < (1 << 30) * (sample / max(of, 1))
+            """Whether an id (not null) is in a sample of about ``sample`` out of ``of``."""
+            return F.col(col).isNotNull() & (F.pmod(F.xxhash64(col, F.lit(41)), F.lit(1 << 30)) < (1 << 30) * (sample / max(of, 1)))
 
         # both samples of labels are of about ``sample`` rows, so they are broadcast
         few = cut(texts.join(F.broadcast(human.where(part("label_id", n_labels))), F.col("id") == F.col("label_id"))
