@@ -4,21 +4,22 @@ A gear hash rolls over the lower-cased (A-Z) bytes (window ``REACH``). Chunks
 begin at words whose gear hash is the smallest of some ``window`` consecutive
 words: a choice that depends on nearby content alone, so an insertion moves the
 borders next to it and no others, and no chunk is longer than ``window`` words.
-A chunk's digest is a hash of its words, so white space does not matter.
+A digest is a hash of the words of two neighbouring chunks (short chunks alone
+often recur by chance), so white space does not matter.
 
-A digest that occurs more than once marks its chunks as repeated; maximal runs
-of repeated chunks with at least ``min_words`` words are the result. Two copies
-of a passage of L words share all its chunks but those at its ends, where the
-gear window and one chunk may reach outside: at least L - 2 * window - 3 words.
-With 11 words a chunk at most, every repeated passage of over 50 words is found
-as a run of 25 or more.
+A digest that occurs more than once marks its two chunks as repeated; maximal
+runs of repeated chunks with at least ``min_words`` words are the result. Two
+copies of a passage of L words share all its chunks but those at its ends, where
+the gear window and one chunk may reach outside: at least L - 2 * window - 3
+words. With 11 words a chunk at most, every repeated passage of over 50 words is
+found as a run of 25 or more.
 
 Digests are counted with partial sums, so a passage that a third of all texts
 share is one row per task; occurrences then join the repeated digests, and hot
 ones are split by the skew join.
 
 Defined cases: null and empty texts have no chunks; a text of fewer words than
-a window is one chunk; repetition within a text counts; the first occurrence is
+a window is one chunk, which is its own neighbour; repetition within a text counts; the first occurrence is
 the one with the smallest id (null last), then position; repeated rows repeat
 each other; an empty table gives no rows; other columns are not read.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaymart.llm.common import U64, cut, lowered, mix, pieces, small, with_row_id, word_hashes, words
+from delaymart.llm.common import U64, cut, lowered, mix, pieces, with_row_id, word_hashes, words
 
 WINDOW = 11
 MIN_WORDS = 25
@@ -99,35 +100,50 @@ def chunk(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW):
     return row, nth, n, starts[begin] - offs[row], ends[begin + n - 1] - offs[row], digest
 
 
+def pairs(buf: np.ndarray, offs: np.ndarray, window: int = WINDOW):
+    """Neighbouring chunks: (row, nth in row, words of the first, of the second,
+    from byte, to byte, digest of both)."""
+    row, nth, n, a, b, digest = chunk(buf, offs, window)
+    if not len(row):
+        return row, nth, n, n, a, b, digest
+    after = np.append(row[1:], -1) == row
+    alone = ~after & (nth == 0)
+    nxt = np.minimum(np.arange(len(row)) + 1, len(row) - 1)
+    both = np.where(after, mix(digest * U64(0x9E3779B97F4A7C15) + digest[nxt]), digest)
+    keep = after | alone
+    return (row[keep], nth[keep], n[keep], np.where(after, n[nxt], 0)[keep], a[keep],
+            np.where(after, b[nxt], b)[keep], both[keep])
+
+
 def _digests(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for _, buf, offs in pieces(batches):
-        d, n = np.unique(chunk(buf, offs, window)[-1], return_counts=True)
+        d, n = np.unique(pairs(buf, offs, window)[-1], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(d.view(np.int64)), pa.array(n)], names=["digest", "n"])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _pair_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for rows, buf, offs in pieces(batches):
-        row, nth, n, a, b, digest = chunk(buf, offs, window)
+        row, nth, n, m, a, b, digest = pairs(buf, offs, window)
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0).take(take), rows.column(1).take(take), pa.array(nth.astype(np.int32)),
-             pa.array(n.astype(np.int32)), pa.array(a), pa.array(b), pa.array(digest.view(np.int64))],
-            names=["id", "row", "nth", "words", "a", "b", "digest"])
+            [rows.column(0).take(take), rows.column(1).take(take), *[pa.array(x.astype(np.int32)) for x in (nth, n, m)],
+             pa.array(a), pa.array(b), pa.array(digest.view(np.int64))],
+            names=["id", "row", "nth", "words", "more", "a", "b", "digest"])
 
 
-def chunk_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, row, nth, words, a, b, digest) for every chunk of rows (id, row, text)."""
+def pair_rows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Every pair of neighbouring chunks of rows (id, row, text)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(it):
-        return _chunks(it, window)
+        return _pair_rows(it, window)
 
     return docs.select("id", "row", "text").mapInArrow(
-        run, f"id {kind}, row long, nth int, words int, a long, b long, digest long")
+        run, f"id {kind}, row long, nth int, words int, more int, a long, b long, digest long")
 
 
-def repeated_chunks(df: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """The chunks whose digest occurs more than once, with ``copies`` and
+def repeated_pairs(df: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """The pairs whose digest occurs more than once, with ``copies`` and
     ``first`` (id, byte) of the first occurrence."""
     docs = df.select(F.col(id_col).alias("id"), "text")
 
@@ -136,27 +152,27 @@ def repeated_chunks(df: DataFrame, id_col: str = "doc_id", window: int = WINDOW)
 
     counts = docs.select("text").mapInArrow(run, "digest long, n long").groupBy("digest").agg(
         F.sum("n").alias("copies")).where("copies > 1")
-    counts = cut(counts, "digests")
-    n = counts.count()
-    found = cut(chunk_rows(with_row_id(docs, "row"), window).join(small(counts, n, 32), "digest"), "repeated")
+    found = cut(pair_rows(with_row_id(docs, "row"), window).join(cut(counts, "digests"), "digest"), "repeated")
     firsts = found.groupBy("digest").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("a").alias("at"))).alias("first"))
-    return found.join(firsts, "digest")
+    return found.join(cut(firsts, "firsts"), "digest")
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", window: int = WINDOW,
                    min_words: int = MIN_WORDS) -> DataFrame:
     """Runs of repeated chunks with at least ``min_words`` words: id, from_byte,
     to_byte, n_words, later_words (in chunks that occurred before), first_id."""
-    rows = repeated_chunks(df, id_col, window)
+    rows = repeated_pairs(df, id_col, window)
     later = ~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.at") == F.col("a")))
-    rows = rows.select("id", "row", "nth", "words", "a", "b", "copies", later.alias("later"),
+    rows = rows.select("id", "row", "nth", "words", "more", "a", "b", "copies", later.alias("later"),
                        F.col("first.id").alias("first_id"))
     order = Window.partitionBy("row").orderBy("nth")
     rows = rows.withColumn("run", F.col("nth") - F.row_number().over(order))
+    late = F.when(F.col("later"), 1).otherwise(0)
     spans = rows.groupBy("row", "run").agg(
         F.min("id").alias("id"), F.min("a").alias("from_byte"), F.max("b").alias("to_byte"),
-        F.sum("words").alias("n_words"), F.sum(F.when(F.col("later"), F.col("words")).otherwise(0)).alias("later_words"),
+        (F.sum("words") + F.max_by("more", "nth")).alias("n_words"),
+        (F.sum(F.col("words") * late) + F.max_by(F.col("more") * late, "nth")).alias("later_words"),
         F.max("copies").alias("copies"), F.min("first_id").alias("first_id"))
     return spans.where(F.col("n_words") >= min_words).select(
         F.col("id").alias(id_col), "from_byte", "to_byte", "n_words", "later_words", "copies", "first_id")
