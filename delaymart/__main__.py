@@ -13,7 +13,8 @@ import json
 
 from delaymart.plans.jobs import STEPS, run_steps
 from delaymart.plans.mart import DelayMart
-from delaymart.session import build_session
+from delaymart.session import apply_scale_settings, build_session
+from delaymart.sinks.manifest import files_mark
 
 
 def main(argv=None) -> dict[str, str]:
@@ -22,24 +23,28 @@ def main(argv=None) -> dict[str, str]:
     src.add_argument("--bronze", help="raw CSV tree (header, any depth)")
     src.add_argument("--tables", help="folder of the given Parquet tables")
     ap.add_argument("--out", required=True, help="folder for silver/, gold/, model/, report/")
-    ap.add_argument("--entity", default="BUILDING", help="code the forest is trained for")
+    ap.add_argument("--entity", default=None, help="train the forest on this code only (default: all)")
     ap.add_argument("--entities", default=None,
                     help="comma-separated codes to keep in Silver (default: all)")
-    ap.add_argument("--history", default="1998-2001", help="forecast history years, A-B")
+    ap.add_argument("--history", default=None, help="forecast history years, A-B (default: the last four)")
     ap.add_argument("--target-year", type=int, default=2026)
     ap.add_argument("--trees", type=int, default=None)
     ap.add_argument("--steps", default=",".join(STEPS))
+    ap.add_argument("--fit-partitions", type=int, default=4, help="tasks of the forest's fit")
+    ap.add_argument("--leak-free", action="store_true", help="train on calendar features only")
     ap.add_argument("--master", default=None)
     ap.add_argument("--rebuild", action="store_true",
-                    help="rebuild every layer even if an earlier run wrote it under --out")
+                    help="rebuild every layer (default: the named steps', and upstream ones whose "
+                         "manifest does not match the input and parameters)")
     a = ap.parse_args(argv)
     spark = build_session(a.master)
-    lo, hi = (int(x) for x in a.history.split("-"))
+    apply_scale_settings(spark, files_mark(spark, a.tables or a.bronze)[1])
+    history = tuple(int(x) for x in a.history.split("-")) if a.history else None
     kw = {"num_trees": a.trees} if a.trees else {}
     m = DelayMart(spark, sf_dir=a.tables, bronze_dir=a.bronze, entity=a.entity,
                   entities=a.entities.split(",") if a.entities else None,
-                  history=(lo, hi), target_year=a.target_year, root=a.out,
-                  reuse=not a.rebuild, **kw)
+                  history=history, target_year=a.target_year, root=a.out,
+                  reuse=not a.rebuild, fit_partitions=a.fit_partitions, leak_free=a.leak_free, **kw)
     out = run_steps(m, [s for s in a.steps.split(",") if s])
     print(json.dumps(out, indent=1))
     return out

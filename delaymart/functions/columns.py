@@ -42,7 +42,7 @@ def to_day(c) -> Column:
 
 def iso_weekday(d) -> Column:
     """ISO weekday, Monday=1 .. Sunday=7."""
-    return ((F.dayofweek(_col(d)) + 5) % 7) + 1
+    return F.weekday(_col(d)) + 1
 
 
 def sunday_weekday(d) -> Column:
@@ -71,6 +71,11 @@ def guarded_ratio(num, den) -> Column:
     return F.when((den > 0) & num.isNotNull(), num / den)
 
 
+def rmse(error) -> Column:
+    """Root of the mean squared error, as an aggregate."""
+    return F.sqrt(F.avg(_col(error) * _col(error)))
+
+
 def severity(value, p95, p99) -> Column:
     """EXTREME at or above p99, HIGH at or above p95, else MODERATE
     (a null value or null thresholds give MODERATE)."""

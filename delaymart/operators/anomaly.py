@@ -41,15 +41,19 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column],
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def _day_order(measure: str) -> list[Column]:
-    # Nulls last; ties broken by date so the cut at k is reproducible.
-    return [F.col(measure).desc_nulls_last(), F.col("DATE").asc_nulls_last()]
+def _day_order(measure: str, columns: Sequence[str]) -> list[Column]:
+    # Nulls last; ties by date, then entity, then every other column, so the
+    # cut at k is reproducible even with duplicate days.
+    ties = ["DATE", *[c for c in columns if c == S.ENTITY]]
+    ties += [c for c in columns if c not in (measure, *ties)]
+    return [F.col(measure).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]]
 
 
 def top_days(silver: DataFrame, measure: str, k: int = S.TOP_N_DAYS,
              by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
-    """The k days with the largest ``measure`` per entity."""
-    return top_k(silver, k, _day_order(measure), by)
+    """The k days with the largest ``measure`` per entity (with no
+    ``by``: of all)."""
+    return top_k(silver, k, _day_order(measure, silver.columns), by)
 
 
 def p95_outliers(silver: DataFrame, th: DataFrame,
@@ -66,18 +70,23 @@ def anomalies(silver: DataFrame, by: Sequence[str] = (S.ENTITY,),
     as separate rows (a day can appear once per reason), each graded by the
     entity's p95 / p99.
 
-    The three branches read the same graded rows. Pass ``th`` (the output
-    of :func:`thresholds`, e.g. a written Gold table) so the sketch runs once;
-    otherwise each branch's plan aggregates it again from ``silver``."""
+    Silver is read once: each day becomes one row per reason it may count
+    for, and one ``row_number() <= k`` per (entity, reason) keeps the top days
+    (partial limit before the shuffle). An outlier's reason is kept whole: a
+    row id in its partition key makes each such row the first of its own."""
     S.require(silver, ["DATE", "TOTAL_DELAY_MIN", S.LABEL], "Silver")
     cols = silver.columns
     th = th if th is not None else thresholds(silver, by, accuracy)
     graded = (silver.join(th, list(by), "left")
               .withColumn("severity", severity(S.LABEL, "p95", "p99")))
-    parts = [
-        top_days(graded, S.LABEL, k, by).withColumn("anomaly_type", F.lit(S.ANOMALY_TOP_AVG)),
-        top_days(graded, "TOTAL_DELAY_MIN", k, by).withColumn("anomaly_type", F.lit(S.ANOMALY_TOP_TOTAL)),
-        graded.where(F.col(S.LABEL) >= F.col("p95")).withColumn("anomaly_type", F.lit(S.ANOMALY_P95)),
-    ]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.select(*cols, "anomaly_type", "severity")
+
+    def reason(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("anomaly_type"), value.cast("double").alias("value"))
+
+    reasons = F.array_compact(F.array(
+        reason(S.ANOMALY_TOP_AVG, F.col(S.LABEL)), reason(S.ANOMALY_TOP_TOTAL, F.col("TOTAL_DELAY_MIN")),
+        F.when(F.col(S.LABEL) >= F.col("p95"), reason(S.ANOMALY_P95, F.col(S.LABEL)))))
+    rows = graded.select(*cols, "severity", F.explode(reasons).alias("_why")).select(*cols, "severity", "_why.*")
+    rows = rows.withColumn("_own", F.when(F.col("anomaly_type") == S.ANOMALY_P95, F.monotonically_increasing_id()))
+    top = top_k(rows, k, _day_order("value", ["value", *cols]), [*by, "anomaly_type", "_own"])
+    return top.select(*cols, "anomaly_type", "severity")

@@ -25,18 +25,21 @@ def with_model_calendar(df: DataFrame) -> DataFrame:
     return df.withColumns(extra)
 
 
-def feature_columns(silver: DataFrame) -> list[str]:
-    """The candidate features that this Silver has (calendar ones always)."""
+def feature_columns(silver: DataFrame, leak_free: bool = False) -> list[str]:
+    """The candidate features that this Silver has (calendar ones always).
+    ``leak_free`` leaves out what the label is computed from: the flights and
+    every delay column (the original keeps them, so that is the default)."""
     avail = set(silver.columns) | set(S.CALENDAR_FEATURES)
-    return [c for c in S.CANDIDATE_FEATURES if c in avail]
+    names = S.CALENDAR_FEATURES if leak_free else S.CANDIDATE_FEATURES
+    return [c for c in names if c in avail]
 
 
-def feature_table(silver: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
+def feature_table(silver: DataFrame, by: Sequence[str] = (S.ENTITY,), leak_free: bool = False) -> DataFrame:
     """M1: entity, DATE, features as double with null as 0 (P16), the label
     as double; rows with a null date or label dropped (P17); one row per
     (entity, DATE) (D1)."""
     S.require(silver, list(by) + ["DATE", S.LABEL], "Silver")
-    cols = feature_columns(silver)
+    cols = feature_columns(silver, leak_free)
     df = with_model_calendar(silver)
     df = df.select(*by, "DATE",
                    *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols],

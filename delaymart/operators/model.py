@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from delaymart import schema as S
+from delaymart.functions.columns import rmse
 
 
 def forest_pipeline(feature_cols: Sequence[str], num_trees: int = S.RF_NUM_TREES,
                     max_depth: int = S.RF_MAX_DEPTH, seed: int = S.RF_SEED,
-                    max_memory_mb: int = 1024) -> Pipeline:
+                    max_memory_mb: int = 1024, bootstrap: bool = True,
+                    subset: str = "auto") -> Pipeline:
     """M4 + M5: vector assembler and forest regressor (other settings are
     Spark's defaults: 32 bins, a third of the features per split, bootstrap).
 
@@ -33,22 +34,20 @@ def forest_pipeline(feature_cols: Sequence[str], num_trees: int = S.RF_NUM_TREES
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
     rf = RandomForestRegressor(featuresCol="features", labelCol=S.LABEL,
                                predictionCol="prediction", numTrees=num_trees,
-                               maxDepth=max_depth, seed=seed, maxMemoryInMB=max_memory_mb)
+                               maxDepth=max_depth, seed=seed, maxMemoryInMB=max_memory_mb,
+                               bootstrap=bootstrap, featureSubsetStrategy=subset)
     return Pipeline(stages=[asm, rf])
 
 
-FIT_PARTITIONS = 4
-
-
-def fit_forest(train: DataFrame, feature_cols: Sequence[str], **kw) -> PipelineModel:
-    """M6. The rows are hash-placed by date over a fixed number of partitions
-    and sorted by date inside each: the forest's bootstrap draws depend on
-    row placement, and this placement is a function of the rows alone, so a
-    refit on the same data gives the same trees however the input was
-    partitioned. A training set is
-    one entity's days (bounded by days x years), and the fit's time goes to
-    split search on the driver, so a few partitions are enough."""
-    ordered = train.repartition(FIT_PARTITIONS, "DATE").sortWithinPartitions("DATE")
+def fit_forest(train: DataFrame, feature_cols: Sequence[str], partitions: int = 4,
+               by: Sequence[str] = (S.ENTITY,), **kw) -> PipelineModel:
+    """M6. The rows are hash-placed by entity and date over ``partitions`` and
+    sorted inside each: the forest's bootstrap draws depend on row placement,
+    and this placement is a function of the rows and ``partitions`` alone, so
+    a refit gives the same trees however the input was partitioned. Raise
+    ``partitions`` with the number of training rows."""
+    keys = [*by, "DATE"]
+    ordered = train.repartition(partitions, *keys).sortWithinPartitions(*keys)
     return forest_pipeline(feature_cols, **kw).fit(ordered)
 
 
@@ -69,17 +68,7 @@ def load_model(path: str) -> PipelineModel:
 
 def prediction_table(scored: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
     """M7 contract: DATE, YEAR, MONTH as int, label, prediction."""
-    return scored.select(*by, "DATE", F.col("YEAR").cast("int").alias("YEAR"),
-                         F.col("MONTH").cast("int").alias("MONTH"),
-                         F.col(S.LABEL).alias(S.LABEL),
-                         F.col("prediction").cast("double").alias("prediction"))
-
-
-def evaluate(scored: DataFrame) -> tuple[float, float]:
-    """M8 with Spark's evaluator (two small jobs): RMSE, R2."""
-    ev = RegressionEvaluator(labelCol=S.LABEL, predictionCol="prediction")
-    return (ev.setMetricName("rmse").evaluate(scored),
-            ev.setMetricName("r2").evaluate(scored))
+    return S.conform(scored, S.PREDICTIONS, by)
 
 
 def regression_metrics(scored: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
@@ -89,18 +78,19 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> Da
     sst = F.count("*") * F.var_pop(S.LABEL)        # 0 for a constant label: R2 is null
     return scored.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.sqrt(F.avg(err * err)).alias("rmse"),
+        rmse(err).alias("rmse"),
         (F.lit(1.0) - F.try_divide(F.sum(err * err), sst)).alias("r2"))
 
 
-def metrics_table(spark: SparkSession, rmse: float, r2: float | None, split_mode: str) -> DataFrame:
-    """M9: RMSE, R2 and the split mode as rows (three literal rows)."""
-    schema = T.StructType([T.StructField("metric", T.StringType()),
-                           T.StructField("value", T.DoubleType()),
-                           T.StructField("info", T.StringType())])
-    r2 = float(r2) if r2 is not None else None
-    return spark.createDataFrame([("RMSE", float(rmse), ""), ("R2", r2, ""),
-                                  ("SPLIT_MODE", 0.0, split_mode)], schema).coalesce(1)
+def metrics_table(metrics: DataFrame, plan: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
+    """M9: RMSE, R2 and the split mode as three rows per entity, from the
+    per-entity metrics and split plan."""
+    rows = F.array(F.struct(F.lit("RMSE").alias("metric"), F.col("rmse").alias("value"), F.lit("").alias("info")),
+                   F.struct(F.lit("R2").alias("metric"), F.col("r2").alias("value"), F.lit("").alias("info")),
+                   F.struct(F.lit("SPLIT_MODE").alias("metric"), F.lit(0.0).alias("value"),
+                            F.col("split_mode").alias("info")))
+    long = metrics.join(plan.select(*by, "split_mode"), list(by)).select(*by, F.explode(rows).alias("_m"))
+    return S.conform(long.select(*by, "_m.*"), S.METRICS, by)
 
 
 def feature_importance(spark: SparkSession, model: PipelineModel) -> DataFrame:

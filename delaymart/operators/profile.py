@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaymart import schema as S
@@ -35,8 +35,27 @@ def delay_profile(silver: DataFrame, keys: Sequence[str] = (),
     flights, sum of delay minutes, mean / median / max of the daily average.
     The mean is the unweighted mean of daily ratios, as in the original."""
     S.require(silver, ["ARR_TOTAL_FLIGHTS", "TOTAL_DELAY_MIN", S.LABEL], "Silver")
-    g = list(by) + list(keys)
-    out = silver.groupBy(*g).agg(
+    return _finish(silver.groupBy(*by, *keys).agg(*_measures()), by)
+
+
+def profile_levels(silver: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
+    """A1, A2 and A3 from one pass over Silver (grouping sets): the measures
+    of each level, ``level`` being the number of calendar keys."""
+    S.require(silver, ["ARR_TOTAL_FLIGHTS", "TOTAL_DELAY_MIN", S.LABEL], "Silver")
+    keys = [F.col(c) for c in by]
+    sets = [keys, [*keys, F.col("YEAR")], [*keys, F.col("YEAR"), F.col("MONTH")]]
+    level = 2 - F.grouping("YEAR") - F.grouping("MONTH")
+    return silver.groupingSets(sets, *by, "YEAR", "MONTH").agg(*_measures(), level.alias("level"))
+
+
+def profile_slice(levels: DataFrame, keys: Sequence[str], by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
+    """One level of :func:`profile_levels`, as :func:`delay_profile` gives it."""
+    rest = [c for c in levels.columns if c not in ("YEAR", "MONTH", "level", *by)]
+    return _finish(levels.where(F.col("level") == len(keys)).select(*by, *keys, *rest), by)
+
+
+def _measures() -> list[Column]:
+    return [
         F.count("*").alias("days_count"),
         F.sum("ARR_TOTAL_FLIGHTS").alias("arrivals_sum"),
         F.avg("ARR_TOTAL_FLIGHTS").alias("arrivals_avg_per_day"),
@@ -44,8 +63,7 @@ def delay_profile(silver: DataFrame, keys: Sequence[str] = (),
         F.avg(S.LABEL).alias("avg_delay_min_mean"),
         F.percentile_approx(S.LABEL, 0.5, MEDIAN_ACCURACY).alias("avg_delay_min_median"),
         F.max(S.LABEL).alias("avg_delay_min_max"),
-    )
-    return _finish(out, by)
+    ]
 
 
 def weekday_profile(silver: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:

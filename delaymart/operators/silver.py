@@ -1,8 +1,8 @@
 """Bronze -> Silver.
 
 The whole cleaning step is a single projection over the CSV scan: no
-shuffle, one narrow stage. Writing partitions by YEAR, MONTH with one task
-per partition value keeps the file count at one file per month directory.
+shuffle, one narrow stage. Writing clusters rows by YEAR, MONTH and splits
+large months over several tasks.
 """
 
 from __future__ import annotations
@@ -94,23 +94,17 @@ def dedup_daily(df: DataFrame, keys: Sequence[str] = (S.ENTITY, "DATE"),
 
 
 def write_silver(df: DataFrame, path: str, dynamic: bool = False,
-                 files_per_month: int = 1, max_records_per_file: int = 5_000_000) -> str:
+                 max_records_per_file: int = 5_000_000) -> str:
     """K1: Parquet partitioned by YEAR, MONTH.
 
     Static overwrite (default) replaces the whole tree; ``dynamic=True``
-    replaces only the partitions present in ``df``. Rows are hash-clustered
-    on (YEAR, MONTH[, entity bucket]) over the session's shuffle partitions
-    (an explicit count, so AQE does not fold a small table into one task that
-    writes every directory in turn), then sorted by entity and date so the
-    AIRPORT/DATE min-max stats prune row groups. With many entities,
-    ``files_per_month`` > 1 spreads each month over that many tasks/files
-    by entity bucket, so no single task writes a whole month."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col("YEAR"), F.col("MONTH")]
-    if files_per_month > 1:
-        keys.append(F.pmod(F.xxhash64(S.ENTITY), F.lit(files_per_month)))
-    w = (df.repartition(n, *keys)
-           .sortWithinPartitions(S.ENTITY, "DATE")
+    replaces only the partitions present in ``df``. The rebalance hint
+    clusters rows on (YEAR, MONTH) and lets AQE merge small months and split
+    large ones at the advisory partition size, so neither a hot month nor the
+    rows without a date meet in one task. Rows are then sorted by entity and
+    date inside each task, so the AIRPORT/DATE min-max stats prune row groups."""
+    w = (df.hint("rebalance", F.col("YEAR"), F.col("MONTH"))
+           .sortWithinPartitions("YEAR", "MONTH", S.ENTITY, "DATE")
            .write.mode("overwrite")
            .option("maxRecordsPerFile", max_records_per_file))
     if dynamic:

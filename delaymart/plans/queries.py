@@ -19,7 +19,7 @@ from delaymart import schema as S
 from delaymart.functions import columns as C
 from delaymart.operators import anomaly, features, forecast, interpret, model, profile, report, validate
 from delaymart.operators.silver import dedup_daily, entity_filter, typed_bronze, year_range
-from delaymart.plans.mart import mart
+from delaymart.plans.mart import DelayMart
 from delaymart.sinks.writers import read_report_csv, register_views, write_report_csv
 from delaymart.sources.calendar import span_days
 from delaymart.sources.tables import table
@@ -28,6 +28,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+# Parameters of the binding (FIXTURES.md): one entity's code and the history
+# years of the forecast.
+ENTITY_CODE, HISTORY = "BUILDING", (1998, 2001)
+
+
+def mart(spark: SparkSession, sf_dir: str) -> DelayMart:
+    return DelayMart.of(spark, sf_dir, history=HISTORY)
+
+
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
@@ -65,14 +74,13 @@ def gold_roundtrip(spark, sf_dir):
 @query
 def calendar_grid(spark, sf_dir):
     """Every day from each entity's first to last day, with calendar
-    columns (Sunday=1), and whether Silver has that day (a semi and an anti
-    join, so copies of a day in Silver never multiply grid rows)."""
+    columns (Sunday=1), and whether Silver has that day (its distinct days,
+    so copies of a day never multiply grid rows)."""
     s = mart(spark, sf_dir).silver()
-    grid = span_days(s, [S.ENTITY])
     keys = [S.ENTITY, "DATE"]
-    have = s.select(*keys)
-    return (grid.join(have, keys, "left_semi").withColumn("has_data", F.lit(True))
-            .unionByName(grid.join(have, keys, "left_anti").withColumn("has_data", F.lit(False))))
+    have = s.select(*keys).distinct().withColumn("has_data", F.lit(True))
+    return span_days(s, [S.ENTITY]).join(have, keys, "left").withColumn(
+        "has_data", F.coalesce("has_data", F.lit(False)))
 
 
 @query
@@ -96,6 +104,37 @@ def chart_series_monthly(spark, sf_dir):
     return r6(report.chart_series(t, ["monthly_avg_delay_min"]), "monthly_avg_delay_min")
 
 
+@query
+def chart_days_per_year(spark, sf_dir):
+    """K5: days per year."""
+    return report.days_per_year(report.silver_basic(mart(spark, sf_dir).silver()))
+
+
+CHART_VALIDATION = ("real_avg_delay_mean", "pred_avg_delay_mean", "mae_mean", "rmse")
+
+
+@query
+def chart_real_vs_predicted(spark, sf_dir):
+    """K5: monthly real against predicted means (stub predictor)."""
+    v = validate.validation_monthly(mart(spark, sf_dir).stub_validation_daily())
+    return r6(report.chart_validation(v), *CHART_VALIDATION).select("airport", "year_month", *CHART_VALIDATION[:2])
+
+
+@query
+def chart_errors_monthly(spark, sf_dir):
+    """K5: monthly MAE and RMSE (stub predictor)."""
+    v = validate.validation_monthly(mart(spark, sf_dir).stub_validation_daily())
+    return r6(report.chart_validation(v), *CHART_VALIDATION).select("airport", "year_month", *CHART_VALIDATION[2:])
+
+
+@query
+def chart_forecast_monthly(spark, sf_dir):
+    """K5: the monthly forecast with its padded label (stub predictor)."""
+    t = forecast.forecast_monthly(mart(spark, sf_dir).stub_forecast_daily()).withColumnRenamed(S.ENTITY, "airport")
+    return r6(report.chart_series(t, ["pred_monthly_mean_delay_min"], y="YEAR", m="MONTH"),
+              "pred_monthly_mean_delay_min")
+
+
 @query
 def chart_top_causes(spark, sf_dir):
     """K5 + T4: the 12 causes with the most minutes per entity."""
@@ -142,7 +181,7 @@ def normalize_code(spark, sf_dir):
 @query
 def entity_filter_building(spark, sf_dir):
     """One entity's rows (pushed into the Parquet scan)."""
-    return entity_filter(mart(spark, sf_dir).silver(), S.ENTITY, [mart(spark, sf_dir).entity])
+    return entity_filter(mart(spark, sf_dir).silver(), S.ENTITY, [ENTITY_CODE])
 
 
 @query
@@ -329,6 +368,22 @@ def anomaly_thresholds_compat(spark, sf_dir):
     return anomaly.thresholds(mart(spark, sf_dir).silver(), accuracy=100)
 
 
+@query
+def anomaly_thresholds_compat_rank(spark, sf_dir):
+    """A9 checked: each approximate threshold's true rank among the entity's
+    values is within 1 % of the asked one."""
+    s = mart(spark, sf_dir).silver()
+    th = anomaly.thresholds(s, accuracy=100)
+    v = s.where(F.col(S.LABEL).isNotNull()).join(th, S.ENTITY)
+    n = F.count("*")
+
+    def near(c: str, q: float):
+        below, upto = F.count(F.when(F.col(S.LABEL) < F.col(c), 1)), F.count(F.when(F.col(S.LABEL) <= F.col(c), 1))
+        return (below / n <= q + 0.01) & (upto / n >= q - 0.01)
+
+    return v.groupBy(S.ENTITY).agg(near("p95", 0.95).alias("p95_near"), near("p99", 0.99).alias("p99_near"))
+
+
 @query
 def seasonal_baseline(spark, sf_dir):
     """A10."""
@@ -342,7 +397,7 @@ def global_means(spark, sf_dir):
     """A11."""
     m = mart(spark, sf_dir)
     cols = m.feature_cols()
-    return forecast.global_means(forecast.history(m.silver(), *m.history, cols), cols)
+    return forecast.global_means(forecast.history(m.silver(), *m.history, cols), cols, keys=m.silver())
 
 
 @query
@@ -418,6 +473,12 @@ def top_total_delay(spark, sf_dir):
     return anomaly.top_days(mart(spark, sf_dir).silver(), "TOTAL_DELAY_MIN")
 
 
+@query
+def top_total_delay_overall(spark, sf_dir):
+    """T2 without a key: the 30 days with the largest total of all entities."""
+    return anomaly.top_days(mart(spark, sf_dir).silver(), "TOTAL_DELAY_MIN", by=())
+
+
 @query
 def p95_outliers(spark, sf_dir):
     """U2."""
@@ -474,16 +535,83 @@ def model_predictions(spark, sf_dir):
 
 @query
 def model_predictions_full(spark, sf_dir):
-    """M7: forest predictions on every day of the entity."""
+    """M7: forest predictions on every day."""
     return mart(spark, sf_dir).forest_predictions_full()
 
 
 @query
 def model_metrics(spark, sf_dir):
-    """M8 + M9: RMSE, R2, split mode."""
+    """M8 + M9: RMSE, R2, split mode per entity."""
     return mart(spark, sf_dir).forest_metrics()
 
 
+def _in_range(m: DelayMart, df: DataFrame, col: str) -> DataFrame:
+    """Whether ``col`` lies within the forest's training labels, as every mean
+    of them must."""
+    span = m.model_rows().where(~F.col("is_test")).agg(F.min(S.LABEL).alias("lo"), F.max(S.LABEL).alias("hi"))
+    inside = (F.col(col) >= F.col("lo") - 1e-9) & (F.col(col) <= F.col("hi") + 1e-9)
+    return df.crossJoin(F.broadcast(span)).withColumn("in_range", inside).drop("lo", "hi")
+
+
+@query
+def model_predictions_checked(spark, sf_dir):
+    """M7 checked: keys and labels of the test predictions, each within the
+    range of the training labels."""
+    m = mart(spark, sf_dir)
+    return _in_range(m, m.forest_predictions_test(), "prediction").drop("prediction")
+
+
+@query
+def model_predictions_full_checked(spark, sf_dir):
+    """M7 checked on every day."""
+    m = mart(spark, sf_dir)
+    return _in_range(m, m.forest_predictions_full(), "prediction").drop("prediction")
+
+
+@query
+def model_metrics_checked(spark, sf_dir):
+    """M8 + M9 checked: each metric row against one recomputed from the
+    written predictions by its plain definition."""
+    m = mart(spark, sf_dir)
+    p = m.forest_predictions_test()
+    mean = p.groupBy(S.ENTITY).agg(F.avg(S.LABEL).alias("mean"))
+    sse, sst = F.pow(F.col("prediction") - F.col(S.LABEL), 2.0), F.pow(F.col(S.LABEL) - F.col("mean"), 2.0)
+    again = p.join(mean, S.ENTITY).groupBy(S.ENTITY).agg(
+        F.sqrt(F.sum(sse) / F.count("*")).alias("RMSE"), (1 - F.sum(sse) / F.sum(sst)).alias("R2"))
+    rows = m.forest_metrics().join(again, S.ENTITY)
+    want = F.when(F.col("metric") == "RMSE", F.col("RMSE")).when(F.col("metric") == "R2", F.col("R2")).otherwise(0.0)
+    return rows.select(S.ENTITY, "metric", "info", (F.abs(F.col("value") - want) < 1e-6).alias("agrees"))
+
+
+@query
+def model_validation_checked(spark, sf_dir):
+    """J1 + P19 + A12 checked on the forest: every day's error identities, and
+    each month's table against the daily one."""
+    m = mart(spark, sf_dir)
+    d, v = m.forest_validation_daily(), m.forest_validation_monthly()
+    err = F.col("prediction") - F.col(S.LABEL)
+    same = (F.abs(F.col("error_min") - err) < 1e-9) & (F.abs(F.col("abs_error_min") - F.abs(err)) < 1e-9)
+    keys = [S.ENTITY, "YEAR", "MONTH"]
+    again = d.groupBy(*keys).agg(
+        F.count("*").alias("days"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rms"),
+        F.bool_and(same).alias("errors_agree"))
+    return v.join(again, keys).select(
+        *keys, "days_count", "errors_agree", ((F.col("days_count") == F.col("days"))
+                                               & (F.abs(F.col("mae_mean") - F.col("mae")) < 1e-9)
+                                               & (F.abs(F.col("rmse") - F.col("rms")) < 1e-9)).alias("month_agrees"))
+
+
+@query
+def single_tree_predictions(spark, sf_dir):
+    """M4-M7 made exact: the same pipeline code with one tree of depth 1 on
+    MONTH, no bootstrap; its best split and side means are plain SQL."""
+    m = mart(spark, sf_dir)
+    rows = m.model_rows()
+    tree = model.fit_forest(rows.where(~F.col("is_test")), ["MONTH"], num_trees=1, max_depth=1,
+                            bootstrap=False, subset="all")
+    return r6(model.prediction_table(tree.transform(rows)), "prediction")
+
+
 @query
 def model_validation_daily(spark, sf_dir):
     """J1 + P19 on the forest's predictions for every day (raises if the
@@ -503,6 +631,17 @@ def feature_importance(spark, sf_dir):
     return mart(spark, sf_dir).feature_importance()
 
 
+@query
+def feature_importance_checked(spark, sf_dir):
+    """M10 + M11 checked: the features named, each share in [0, 1], all
+    adding up to 1 and to 100 percent."""
+    i = mart(spark, sf_dir).interpretation()
+    total = i.agg(F.sum("importance").alias("one"), F.sum("importance_pct").alias("hundred"))
+    sums = (F.abs(F.col("one") - 1) < 1e-9) & (F.abs(F.col("hundred") - 100) < 1e-6)
+    return i.crossJoin(F.broadcast(total)).select(
+        "feature", F.col("importance").between(0.0, 1.0).alias("in_range"), sums.alias("sums_agree"))
+
+
 @query
 def importance_pct(spark, sf_dir):
     """M11 on the forest's importances."""
@@ -512,9 +651,9 @@ def importance_pct(spark, sf_dir):
 @query
 def importance_pct_stub(spark, sf_dir):
     """M11 + A18 on a stub importance table: mean absolute value of each
-    feature over the entity's feature rows."""
+    feature over the feature rows."""
     m = mart(spark, sf_dir)
-    f = m.features().where(F.col(S.ENTITY) == F.lit(m.entity))
+    f = m.features()
     cols = m.feature_cols()
     fi = (f.select(*[F.abs(F.col(c)).alias(c) for c in cols])
           .unpivot([], cols, "feature", "v")
@@ -528,13 +667,12 @@ def model_roundtrip(spark, sf_dir):
     did, with the input columns read from the loaded model."""
     m = mart(spark, sf_dir)
     fitted, loaded = m.forest_fitted(), m.forest_loaded()
-    rows = m.entity_split()
-    a = fitted.transform(rows).select(S.ENTITY, "DATE", F.col("prediction").alias("fitted_prediction"))
-    b = loaded.transform(rows).select(S.ENTITY, "DATE", F.col("prediction").alias("loaded_prediction"))
+    rows = m.model_rows()
+    a = fitted.transform(rows).select(S.ENTITY, "DATE", F.col("prediction").alias("fitted"))
+    b = loaded.transform(rows).select(S.ENTITY, "DATE", F.col("prediction").alias("loaded"))
     n_inputs = len(model.model_input_cols(loaded))
-    return (a.join(b, [S.ENTITY, "DATE"])
-            .withColumn("same", F.col("fitted_prediction") == F.col("loaded_prediction"))
-            .withColumn("n_inputs", F.lit(n_inputs)))
+    return a.join(b, [S.ENTITY, "DATE"]).select(
+        S.ENTITY, "DATE", (F.col("fitted") == F.col("loaded")).alias("same"), F.lit(n_inputs).alias("n_inputs"))
 
 
 @query
@@ -549,6 +687,20 @@ def forecast_monthly(spark, sf_dir):
     return mart(spark, sf_dir).forest_forecast_monthly()
 
 
+@query
+def forecast_checked(spark, sf_dir):
+    """M12 + A13 checked on the forest: every entity and day of the year, in
+    the range of the training labels, and its month's table against the days."""
+    m = mart(spark, sf_dir)
+    d = _in_range(m, m.forest_forecast_daily(), "pred_avg_arr_delay_min")
+    keys = [S.ENTITY, "YEAR", "MONTH"]
+    again = d.groupBy(*keys).agg(F.avg("pred_avg_arr_delay_min").alias("mean"), F.count("*").alias("days"))
+    v = m.forest_forecast_monthly().join(again, keys).select(
+        *keys, ((F.abs(F.col("pred_monthly_mean_delay_min") - F.col("mean")) < 1e-9)
+                & (F.col("days_count") == F.col("days"))).alias("month_agrees"))
+    return d.join(v, keys).select(S.ENTITY, "DATE", "YEAR", "MONTH", "DOW", "in_range", "month_agrees")
+
+
 @query
 def forecast_daily_stub(spark, sf_dir):
     """M12 with the stub predictor."""
@@ -568,6 +720,19 @@ def report_feature_importance(spark, sf_dir):
     return report.importance_report(mart(spark, sf_dir).interpretation())
 
 
+@query
+def importance_reports_checked(spark, sf_dir):
+    """T3 + T4 checked on the forest: the report holds every feature once in
+    descending order of percent, and the chart its first 15."""
+    i = mart(spark, sf_dir).interpretation()
+    top = report.chart_top(report.importance_report(i), 15, "importance_pct", "feature", by=())
+    low = top.agg(F.min("importance_pct").alias("low"), F.count("*").alias("n"))
+    rows = report.importance_report(i).crossJoin(F.broadcast(low))
+    above = F.count(F.when(F.col("importance_pct") > F.col("low"), 1))
+    return rows.groupBy("n").agg(F.count("*").alias("n_report"), (above < 15).alias("top_is_first")).select(
+        F.col("n").alias("n_chart"), "n_report", "top_is_first")
+
+
 @query
 def chart_top_features(spark, sf_dir):
     """T4: top 15 features for the chart (forest)."""

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import types as T
+
 # ---------------------------------------------------------------------------
 # These names must equal the source data's and the original
 # project's so results line up. Kept as plain text, in their natural order.
 # ---------------------------------------------------------------------------
-CAUSE_CODES = ["A", "C", "D", "E", "G", "I", "M", "N", "O", "P", "R", "S",
-               "T", "V", "W", "NA"]
-CAUSE_COLS = [f"DLY_APT_ARR_{c}_1" for c in CAUSE_CODES]
+CAUSE_COLS = ["DLY_APT_ARR_A_1", "DLY_APT_ARR_C_1", "DLY_APT_ARR_D_1", "DLY_APT_ARR_E_1",
+              "DLY_APT_ARR_G_1", "DLY_APT_ARR_I_1", "DLY_APT_ARR_M_1", "DLY_APT_ARR_N_1",
+              "DLY_APT_ARR_O_1", "DLY_APT_ARR_P_1", "DLY_APT_ARR_R_1", "DLY_APT_ARR_S_1",
+              "DLY_APT_ARR_T_1", "DLY_APT_ARR_V_1", "DLY_APT_ARR_W_1", "DLY_APT_ARR_NA_1"]
 TOTAL_COL = "DLY_APT_ARR_1"            # all-cause delay minutes, optional
 BASE_NUM_COLS = ["YEAR", "MONTH_NUM", "FLT_ARR_1", "FLT_ARR_1_DLY",
                  "FLT_ARR_1_DLY_15"]
 TRAFFIC_COLS = ["ARR_TOTAL_FLIGHTS", "FLT_ARR_1_DLY", "FLT_ARR_1_DLY_15"]
 CALENDAR_FEATURES = ["YEAR", "MONTH", "DOW", "DOM", "WOY"]
 CANDIDATE_FEATURES = TRAFFIC_COLS + CAUSE_COLS + [TOTAL_COL] + CALENDAR_FEATURES
-TIMESTAMP_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX][X]"
 LABEL = "AVG_ARR_DELAY_MIN"
 SEVERITY_EXTREME, SEVERITY_HIGH, SEVERITY_MODERATE = "EXTREME", "HIGH", "MODERATE"
 ANOMALY_TOP_AVG, ANOMALY_TOP_TOTAL, ANOMALY_P95 = (
@@ -29,14 +31,23 @@ RF_NUM_TREES, RF_MAX_DEPTH, RF_SEED = 200, 8, 42
 # earlier years fewer training days than these.
 MIN_TEST_DAYS, MIN_TRAIN_DAYS = 30, 100
 TOP_N_DAYS = 30
-# ---------------------------------------------------------------------------
-
 ENTITY = "AIRPORT"
-
 # Silver contract order (absent columns are skipped).
 SILVER_ORDER = ["AIRPORT", "DATE", "YEAR", "MONTH", "DOW",
                 "ARR_TOTAL_FLIGHTS", "FLT_ARR_1_DLY", "FLT_ARR_1_DLY_15",
                 "TOTAL_DELAY_MIN", "AVG_ARR_DELAY_MIN"] + CAUSE_COLS + [TOTAL_COL]
+# Output contracts: the columns after the entity, by name and type.
+PREDICTIONS = "DATE date, YEAR int, MONTH int, AVG_ARR_DELAY_MIN double, prediction double"
+VALIDATION_DAILY = PREDICTIONS + ", error_min double, abs_error_min double"
+FORECAST_DAILY = "DATE date, YEAR int, MONTH int, DOW int, pred_avg_arr_delay_min double"
+REPORT_DAILY = "date date, year int, month int, avg_arr_delay_min double"
+REPORT_CAUSES = "cause string, minutes double, share double"
+REPORT_ANOMALIES = REPORT_DAILY + ", anomaly_type string, severity string"
+REPORT_VALIDATION = ("year int, month int, days_count int, real_avg_delay_mean double, "
+                     "pred_avg_delay_mean double, mae_mean double, rmse double")
+REPORT_IMPORTANCE = "feature string, importance double, importance_pct double"
+METRICS = "metric string, value double, info string"
+# ---------------------------------------------------------------------------
 
 # Causes reported in the cause table: every cause except NA (which still
 # counts in the row total). The grand total column is not a cause.
@@ -49,6 +60,14 @@ def present(cols, available) -> list[str]:
     return [c for c in cols if c in have]
 
 
+def conform(df, contract: str, keys=(), **sources):
+    """``keys`` as they are, then the contract's columns, each cast to
+    its type. ``sources`` names the column a contract column is read from
+    where that differs; names are matched without regard to case."""
+    fields = T.StructType.fromDDL(contract).fields
+    return df.select(*keys, *[df[sources.get(f.name, f.name)].cast(f.dataType).alias(f.name) for f in fields])
+
+
 def require(df, cols, what: str = "input") -> None:
     """Fail at plan time when required columns are missing."""
     missing = [c for c in cols if c not in df.columns]

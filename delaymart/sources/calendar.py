@@ -27,13 +27,6 @@ def explode_days(keys: DataFrame, start: Column, end: Column,
                        .alias("DATE"))
 
 
-def year_days(keys: DataFrame, year: int, by: list[str]) -> DataFrame:
-    """Each day of ``year`` for each key, with calendar columns (Sunday=1)."""
-    days = explode_days(keys, F.make_date(F.lit(year), F.lit(1), F.lit(1)),
-                        F.make_date(F.lit(year), F.lit(12), F.lit(31)), by)
-    return days.select(*by, "DATE", *calendar_parts("DATE"))
-
-
 def span_days(daily: DataFrame, by: list[str], d: str = "DATE") -> DataFrame:
     """Each day between the first and last date of every key in ``daily``."""
     bounds = daily.where(F.col(d).isNotNull()).groupBy(*by).agg(

@@ -34,10 +34,6 @@ CAUSE_BINDING = [("A", "F", "DLY_APT_ARR_A_1"), ("A", "O", "DLY_APT_ARR_C_1"),
 DELAYED_QTY, DELAYED15_QTY = 25, 45
 # ---------------------------------------------------------------------------
 
-BRONZE_FIXTURE_COLS = (["APT_ICAO", "FLT_DATE", "FLT_ARR_1", "FLT_ARR_1_DLY",
-                        "FLT_ARR_1_DLY_15"] + [c for _, _, c in CAUSE_BINDING]
-                       + ["DLY_APT_ARR_1"])
-
 
 def per_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity",

@@ -80,6 +80,46 @@ def test_share_window_runs_on_aggregated_rows(silver):
     assert tree.index("Window") < tree.index("HashAggregate")
 
 
+def _big(spark):
+    """Broadcasts off, as on inputs above the threshold."""
+    return {k: "-1" for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+
+
+@contextlib.contextmanager
+def conf(spark, values):
+    old = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_validation_needs_one_exchange_per_side(spark, silver):
+    from delaymart.operators.validate import validation_daily
+    p = silver.select("AIRPORT", "DATE", F.lit(1.0).alias("prediction"))
+    with conf(spark, _big(spark)):
+        assert _tree(plan(validation_daily(silver, p))).count("Exchange") == 2
+
+
+def test_anomalies_read_silver_once(spark, silver):
+    th = DelayMart.of(spark, SF_SMALL).thresholds()
+    p = plan(anomaly.anomalies(silver, th=th))
+    assert _tree(p).count("Scan parquet") == 2                # Silver and the thresholds
+    assert re.search(r"row_number\(\), 30, Partial", p)
+
+
+def test_forecast_inputs_aggregate_the_history_once(spark, silver):
+    from delaymart.operators import features, forecast
+    cols = features.feature_columns(silver)
+    df = forecast.forecast_inputs(silver, cols, 1998, 2001, 2026)
+    p = plan(df)
+    reads = [x for x in re.findall(r"ReadSchema: (.*)", p) if "ARR_TOTAL_FLIGHTS" in x]
+    assert len(reads) == 1 and _tree(p).count("Scan parquet") == 2     # the other reads the entity only
+
+
 def test_no_python_udf_in_operator_plans(spark, silver):
     for df in [daily_raw(spark, SF_SMALL), anomaly.anomalies(silver),
                profile.delay_profile(silver), profile.causes_long(silver)]:

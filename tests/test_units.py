@@ -312,3 +312,72 @@ def test_raw_year_columns_are_replaced_from_the_date(spark):
     r = silver_frame(b).first()
     assert (r.YEAR, r.MONTH, r.AVG_ARR_DELAY_MIN) == (2024, 3, 2.0)
     assert "MONTH_NUM" not in silver_frame(b).columns
+
+
+def test_zero_importance_gives_null_percent(spark):
+    from delaymart.operators.interpret import importance_pct
+    fi = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "feature string, importance double")
+    assert [r.importance_pct for r in importance_pct(fi).collect()] == [None, None]
+
+
+def test_top_days_break_ties_by_all_columns(spark):
+    rows = [(a, D(2024, 1, 1 + i % 2), 5.0, float(i)) for i, a in enumerate("ABCDEFGH")]
+    df = spark.createDataFrame(rows, "AIRPORT string, DATE date, AVG_ARR_DELAY_MIN double, TOTAL_DELAY_MIN double")
+    for n in (1, 3, 7):
+        got = anomaly.top_days(df.repartition(n), S.LABEL, k=3, by=()).collect()
+        assert {r.AIRPORT for r in got} == {"A", "C", "E"}
+    twice = df.unionByName(df.withColumn("TOTAL_DELAY_MIN", F.lit(-1.0)))
+    got = anomaly.top_days(twice.repartition(4), S.LABEL, k=1).collect()
+    assert {r.TOTAL_DELAY_MIN for r in got} == {-1.0}
+
+
+def test_validation_report_keeps_every_key(spark):
+    from delaymart.operators import report
+    row = ("A", "T1", 2024, 1, 3, 1.0, 1.0, 0.0, 0.0)
+    v = spark.createDataFrame([row], "AIRPORT string, TERMINAL string, YEAR int, MONTH int, days_count long, "
+                              "real_avg_delay_mean double, pred_avg_delay_mean double, mae_mean double, rmse double")
+    assert report.validation_report(v, ["AIRPORT", "TERMINAL"]).columns[:3] == ["airport", "TERMINAL", "year"]
+
+
+def test_forecast_without_year_and_without_history(spark):
+    rows = [("A", D(2024, 1, 1), 10.0), ("B", D(2020, 1, 1), 30.0)]
+    s = spark.createDataFrame(rows, "AIRPORT string, DATE date, ARR_TOTAL_FLIGHTS double")
+    fut = forecast.forecast_inputs(s, ["ARR_TOTAL_FLIGHTS", "MONTH"], 2024, 2024, 2026).collect()
+    assert {(r.AIRPORT, r.ARR_TOTAL_FLIGHTS) for r in fut} == {("A", 10.0), ("B", 0.0)} and len(fut) == 730
+
+
+def test_leak_free_features_and_is_test_column(spark):
+    s = _daily(spark, [1.0, 2.0])
+    assert features.feature_columns(s, leak_free=True) == S.CALENDAR_FEATURES
+    p = s.select("AIRPORT", "DATE", F.lit(1.5).alias("prediction"), (F.col(S.LABEL) > 1).alias("is_test"))
+    v = validate.validation_daily(s, p, extra=["is_test"])
+    assert v.columns[-1] == "is_test" and {r.is_test for r in v.collect()} == {True, False}
+
+
+def test_profile_levels_equal_single_profiles(spark):
+    df = _daily(spark, [1.0, None, 3.0]).unionByName(_daily(spark, [7.0], "B").withColumn("YEAR", F.lit(None).cast("int")))
+    df = df.withColumn("ARR_TOTAL_FLIGHTS", F.lit(2.0))
+    levels = profile.profile_levels(df)
+    for keys in ([], ["YEAR"], ["YEAR", "MONTH"]):
+        a, b = profile.profile_slice(levels, keys), profile.delay_profile(df, keys)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_silver_write_splits_a_hot_month(spark, tmp_dir):
+    import glob
+    n = 60_000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("E"), F.col("id"))).alias("AIRPORT"),
+        F.when(F.col("id") % 5 > 0, F.lit("2024-01-01").cast("date")).alias("DATE"),
+        F.when(F.col("id") % 5 > 0, F.lit(2024)).alias("YEAR"), F.when(F.col("id") % 5 > 0, F.lit(1)).alias("MONTH"),
+        F.rand(1).alias("AVG_ARR_DELAY_MIN"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        write_silver(df.repartition(8), tmp_dir + "/silver")
+    finally:
+        spark.conf.set(key, old)
+    for month in ("YEAR=2024/MONTH=1", "YEAR=__HIVE_DEFAULT_PARTITION__/MONTH=__HIVE_DEFAULT_PARTITION__"):
+        assert len(glob.glob(f"{tmp_dir}/silver/{month}/*.parquet")) > 1
+    assert spark.read.parquet(tmp_dir + "/silver").count() == n
