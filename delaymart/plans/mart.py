@@ -27,7 +27,7 @@ from delaymart.session import run_folder
 from delaymart.sinks import manifest
 from delaymart.sinks.writers import write_parquet
 from delaymart.sources.bronze import bronze_header, read_bronze_csv, write_bronze_csv
-from delaymart.sources.fixtures import daily_raw
+from delaymart.sources.fixtures import BINDINGS
 
 # Tables that depend on the forest, and on the forecast's years.
 FORECAST_TABLES = ("forecast_daily", "forecast_monthly", "stub_forecast_daily")
@@ -51,9 +51,9 @@ class DelayMart:
                  num_trees: int = S.RF_NUM_TREES, max_depth: int = S.RF_MAX_DEPTH,
                  root: str | None = None, bronze_dir: str | None = None,
                  entities: Sequence[str] | None = None, reuse: bool = False,
-                 fit_partitions: int = 4, leak_free: bool = False):
+                 fit_partitions: int = 4, leak_free: bool = False, binding: str = "segments"):
         """``sf_dir``: folder of the given tables, from which Bronze rows are
-        derived. ``bronze_dir``: an existing raw CSV tree to use instead.
+        derived by the named ``binding``. ``bronze_dir``: an existing raw CSV tree to use instead.
         ``entities``: keep only these codes in Silver (all by default).
         ``root``: where the layers are written (default: a folder for this
         run under the checkpoint dir). ``reuse``: take a layer that an earlier
@@ -69,6 +69,7 @@ class DelayMart:
         self.entity, self._history, self.target_year = entity, history, target_year
         self.num_trees, self.max_depth = num_trees, max_depth
         self.fit_partitions, self.leak_free = fit_partitions, leak_free
+        self.binding = binding
         self.reuse = reuse
         self._rebuild: tuple[str, ...] = ()
         tag = "".join(ch if ch.isalnum() else "_" for ch in (self.sf_dir or bronze_dir)).strip("_")
@@ -120,6 +121,7 @@ class DelayMart:
         """What a layer's content follows from."""
         source = self.bronze_dir or self.sf_dir
         out = {"layer": key, "version": __version__, "source": source, "entities": self.entities,
+               "binding": None if self.bronze_dir else self.binding,
                "input": self._once("input_mark", lambda: manifest.files_mark(self.spark, source))}
         if key == "forest" or key.removeprefix("gold:") in MODEL_TABLES:
             out |= {"entity": self.entity, "trees": self.num_trees, "depth": self.max_depth,
@@ -141,7 +143,7 @@ class DelayMart:
     # -- Bronze ------------------------------------------------------------
     def bronze_rows(self) -> DataFrame:
         """Bronze text rows derived from the tables (not yet written)."""
-        return daily_raw(self.spark, self.sf_dir)
+        return BINDINGS[self.binding](self.spark, self.sf_dir)
 
     def bronze_path(self) -> str:
         if self.bronze_dir:

@@ -29,6 +29,8 @@ PAIRS = [("A", "F", "DLY_APT_ARR_A_1"), ("A", "O", "DLY_APT_ARR_C_1"),
 # ---------------------------------------------------------------------------
 
 _j = ",\n  ".join
+TIES = ["YEAR", "MONTH", "DOW", "ARR_TOTAL_FLIGHTS", "FLT_ARR_1_DLY", "FLT_ARR_1_DLY_15", "TOTAL_DELAY_MIN",
+        "AVG_ARR_DELAY_MIN", *CAUSES, TOTAL]
 
 
 def _cause_sum(prefix: str = "") -> str:
@@ -55,6 +57,26 @@ JOIN customer c ON o.o_custkey = c.c_custkey
 LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
 GROUP BY c.c_mktsegment, o.d""")
 
+# The supplier binding with its dirt (FIXTURES.md part 3); an empty CSV cell
+# reads back as null.
+BRONZE_SUPPLIERS = f"""
+SELECT ' sup-' || s || ' ' AS APT_ICAO,
+  CASE WHEN dirt = 3 THEN 'bad' WHEN dirt = 4 THEN NULL
+       WHEN s % 10 = 3 AND year(d) BETWEEN 1998 AND 2001 THEN 'unknown'
+       ELSE strftime(d, '%Y-%m-%d') || CASE WHEN day(d) % 2 = 1 THEN 'T00:00:00.000Z' ELSE 'T00:00:00Z' END END AS FLT_DATE,
+  CASE WHEN dirt = 0 THEN 'n/a' WHEN dirt = 1 THEN NULL WHEN dirt = 2 THEN '0' ELSE CAST(n AS VARCHAR) END AS FLT_ARR_1,
+  CAST(n_dly AS VARCHAR) AS FLT_ARR_1_DLY, CAST(n_dly15 AS VARCHAR) AS FLT_ARR_1_DLY_15,
+  CAST(CAST({CAUSES[0]} + more AS BIGINT) AS VARCHAR) AS {CAUSES[0]},
+  {_j(f"CAST(CAST({c} AS BIGINT) AS VARCHAR) AS {c}" for c in CAUSES[1:])},
+  CASE WHEN day(d) % 2 = 1 THEN CAST(CAST(q_all + more AS BIGINT) AS VARCHAR) END AS {TOTAL}
+FROM (SELECT *, unnest(CASE WHEN dirt = 5 THEN [0, 7] ELSE [0] END) AS more
+  FROM (SELECT *, (s * 31 + date_diff('day', DATE '1970-01-01', d)) % 97 AS dirt
+    FROM (SELECT l_suppkey AS s, CAST(l_shipdate AS DATE) AS d, count(*) AS n,
+            count(*) FILTER (WHERE l_quantity > 25) AS n_dly, count(*) FILTER (WHERE l_quantity > 45) AS n_dly15,
+            {_j(f"sum(CASE WHEN l_returnflag = '{rf}' AND l_linestatus = '{ls}' THEN l_quantity END) AS {c}" for rf, ls, c in PAIRS)},
+            sum(l_quantity) AS q_all
+          FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))))"""
+
 step("typed", ["bronze"], f"""
 SELECT regexp_replace(upper(APT_ICAO), '[^A-Z0-9]', '', 'g') AS AIRPORT, FLT_DATE,
   {_j(f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in ["FLT_ARR_1", "FLT_ARR_1_DLY", "FLT_ARR_1_DLY_15"] + CAUSES + [TOTAL])},
@@ -83,7 +105,8 @@ for _name, _measure in [("top_avg", "AVG_ARR_DELAY_MIN"), ("top_total", "TOTAL_D
     step(_name, ["silver"], f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY AIRPORT
-    ORDER BY {_measure} DESC NULLS LAST, DATE ASC NULLS LAST) AS rn FROM silver)
+    ORDER BY {_measure} DESC NULLS LAST, DATE NULLS LAST, {", ".join(c + " NULLS LAST" for c in TIES)}) AS rn
+  FROM silver)
 WHERE rn <= 30""")
 
 step("outliers", ["silver", "th"], """
@@ -154,7 +177,9 @@ step("vd", ["silver", "stubp"], """
 SELECT s.AIRPORT, s.DATE, s.YEAR, s.MONTH, s.AVG_ARR_DELAY_MIN, p.prediction,
   p.prediction - s.AVG_ARR_DELAY_MIN AS error_min,
   abs(p.prediction - s.AVG_ARR_DELAY_MIN) AS abs_error_min
-FROM silver s JOIN stubp p ON s.AIRPORT = p.AIRPORT AND s.DATE = p.DATE""")
+FROM (SELECT *, row_number() OVER (PARTITION BY AIRPORT, DATE ORDER BY AVG_ARR_DELAY_MIN NULLS FIRST) AS rn
+      FROM silver) s
+JOIN stubp p ON s.AIRPORT = p.AIRPORT AND s.DATE = p.DATE WHERE s.rn = 1""")
 
 step("vm", ["vd"], """
 SELECT AIRPORT, YEAR, MONTH, count(*) AS days_count,
@@ -294,7 +319,7 @@ FROM silver s LEFT JOIN th t ON s.AIRPORT = t.AIRPORT"""),
     "report_anomalies_top": (["arows"], """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY airport ORDER BY avg_arr_delay_min DESC NULLS LAST,
-    date ASC, anomaly_type ASC) AS rn FROM arows) WHERE rn <= 30"""),
+    date NULLS LAST, anomaly_type ASC) AS rn FROM arows) WHERE rn <= 30"""),
     "report_anomalies_monthly": (["arows"], """
 SELECT airport, year, month, count(*) AS anomalies_count,
   round(avg(avg_arr_delay_min), 6) AS avg_delay_on_anomaly_days,
@@ -463,14 +488,17 @@ def _closure(deps: list[str]) -> list[str]:
     return out
 
 
-def build(name: str) -> str:
+def build(name: str, suppliers: bool = False) -> str:
     deps, body = FINAL[name]
     steps = _closure(deps)
     if not steps:
         return body.strip()
-    ctes = ",\n".join(f"{n} AS ({STEPS[n][1].strip()})" for n in steps)
+    sql = {n: BRONZE_SUPPLIERS if suppliers and n == "bronze" else STEPS[n][1] for n in steps}
+    ctes = ",\n".join(f"{n} AS ({sql[n].strip()})" for n in steps)
     return f"WITH {ctes}\n{body.strip()}"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: build(name) for name in FINAL}
+    """SQL by query name; ``suppliers_<name>`` is <name> on that binding."""
+    return {name: build(name) for name in FINAL} | {
+        f"suppliers_{name}": build(name, suppliers=True) for name in FINAL}

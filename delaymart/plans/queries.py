@@ -10,6 +10,7 @@ the operators themselves return full precision.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ QUERIES: dict[str, Query] = {}
 ENTITY_CODE, HISTORY = "BUILDING", (1998, 2001)
 
 
+_BINDING: ContextVar[str] = ContextVar("binding", default="segments")
+
+
 def mart(spark: SparkSession, sf_dir: str) -> DelayMart:
-    return DelayMart.of(spark, sf_dir, history=HISTORY)
+    return DelayMart.of(spark, sf_dir, history=HISTORY, binding=_BINDING.get())
 
 
 def query(fn: Query) -> Query:
@@ -738,3 +742,29 @@ def chart_top_features(spark, sf_dir):
     """T4: top 15 features for the chart (forest)."""
     fi = report.importance_report(mart(spark, sf_dir).interpretation())
     return report.chart_top(fi, 15, "importance_pct", "feature", by=())
+
+
+# --- the same operators on the dirty binding that grows with the data ---------
+
+ON_SUPPLIERS = ("silver_partition_roundtrip", "safe_numeric_cast", "parse_dual_timestamp", "guarded_ratio",
+                "calendar_grid", "eda_overall", "eda_monthly", "eda_weekday", "days_per_year_quality", "data_range",
+                "causes_long", "anomaly_thresholds", "anomaly_severity", "top_avg_delay", "top_total_delay",
+                "anomalies", "report_anomalies_top", "report_anomalies_monthly", "feature_table", "split_mode",
+                "stub_predictions_full", "validation_daily", "join_coverage",
+                "regression_metrics", "global_means", "forecast_inputs", "forecast_monthly_stub")
+
+
+def _on_suppliers(fn: Query) -> Query:
+    def run(spark, sf_dir):
+        token = _BINDING.set("suppliers")
+        try:
+            return fn(spark, sf_dir)
+        finally:
+            _BINDING.reset(token)
+    run.__doc__ = f"{fn.__doc__} On the supplier binding."
+    run.__name__ = f"suppliers_{fn.__name__}"
+    return run
+
+
+for _name in ON_SUPPLIERS:
+    query(_on_suppliers(QUERIES[_name]))

@@ -80,3 +80,39 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[as_text(c).alias(c) for c in cause_names],
         F.when(odd, as_text("q_all")).alias("DLY_APT_ARR_1"),
     )
+
+
+def supplier_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bronze text rows per (supplier, ship day): the entity count grows with
+    the data, and the rows are as dirty as raw files get (FIXTURES.md part 3):
+    bad and empty numbers, no flights, bad and empty stamps, days loaded twice
+    with different measures, entities without a readable day in some years.
+    One scan and one shuffle of ``lineitem``, after partial aggregation."""
+    li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")
+    q, names = F.col("l_quantity"), [c for _, _, c in CAUSE_BINDING]
+    day = li.groupBy("l_suppkey", F.to_date("l_shipdate").alias("d")).agg(
+        F.count("*").alias("n"), F.count(F.when(q > DELAYED_QTY, 1)).alias("n_dly"),
+        F.count(F.when(q > DELAYED15_QTY, 1)).alias("n_dly15"),
+        *[F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), q)).alias(name)
+          for rf, ls, name in CAUSE_BINDING],
+        F.sum(q).alias("q_all"))
+    dirt = (F.col("l_suppkey") * 31 + F.unix_date("d")) % 97
+    twice = F.when(F.col("dirt") == 5, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0)))
+    rows = day.withColumn("dirt", dirt).withColumn("more", F.explode(twice))
+    odd = (F.dayofmonth("d") % 2) == 1
+    text = lambda c: (F.col(c) if isinstance(c, str) else c).cast("bigint").cast("string")
+    stamp = (F.when(F.col("dirt") == 3, F.lit("bad")).when(F.col("dirt") == 4, F.lit(""))
+             .when((F.col("l_suppkey") % 10 == 3) & F.year("d").between(1998, 2001), F.lit("unknown"))
+             .otherwise(F.concat(F.date_format("d", "yyyy-MM-dd"),
+                                 F.when(odd, F.lit("T00:00:00.000Z")).otherwise(F.lit("T00:00:00Z")))))
+    flights = (F.when(F.col("dirt") == 0, F.lit("n/a")).when(F.col("dirt") == 1, F.lit(""))
+               .when(F.col("dirt") == 2, F.lit("0")).otherwise(text("n")))
+    return rows.select(
+        F.concat(F.lit(" sup-"), F.col("l_suppkey").cast("string"), F.lit(" ")).alias("APT_ICAO"),
+        stamp.alias("FLT_DATE"), flights.alias("FLT_ARR_1"),
+        text("n_dly").alias("FLT_ARR_1_DLY"), text("n_dly15").alias("FLT_ARR_1_DLY_15"),
+        text(F.col(names[0]) + F.col("more")).alias(names[0]), *[text(c).alias(c) for c in names[1:]],
+        F.when(odd, text(F.col("q_all") + F.col("more"))).alias("DLY_APT_ARR_1"))
+
+
+BINDINGS = {"segments": daily_raw, "suppliers": supplier_raw}
