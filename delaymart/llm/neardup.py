@@ -47,8 +47,8 @@ from delaymart.llm.components import components
 REGISTERS = 180
 BASE, RATE, LEVELS = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
-PIVOTS, PAIRS_OF_SMALL = 4, 512
-DIVIDE_AFTER, CROWD = 8, 64
+FIRST_PIVOTS, PIVOTS, PAIRS_OF_SMALL = 4, 64, 512
+DIVIDE_AFTER, CROWD = 6, 256
 _BLOCK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(977))
 _MUL = _RNG.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -267,7 +267,9 @@ class NearDuplicates:
                 return rows, classes, comp
             if step % DIVIDE_AFTER == 0 and not several.where(F.col("outside") > CROWD).isEmpty():
                 active, several = self._open(self._divide(active, several, classes), comp)
-            pivots = cut(self._pivots(active, several), "pivots")
+            # few at first, as most outsiders then join the main component; those
+            # who are left have to meet everybody, so many at a time
+            pivots = cut(self._pivots(active, several, FIRST_PIVOTS if step < 3 else PIVOTS), "pivots")
             pairs = (active.join(pivots, "key").where("comp != comp_u")
                      .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v"),
                              F.when(F.col("u") < F.col("cid"), F.col("nu")).otherwise(F.col("n")).alias("nu"),
@@ -294,13 +296,13 @@ class NearDuplicates:
         return cut(named.join(several.select("key"), "key", "left_semi"), "active"), several
 
     @staticmethod
-    def _pivots(active: DataFrame, several: DataFrame) -> DataFrame:
-        """About PIVOTS outsiders of each bucket (more of a small one), the
+    def _pivots(active: DataFrame, several: DataFrame, n: int) -> DataFrame:
+        """About ``n`` outsiders of each bucket (more of a small one), the
         same ones in all buckets as far as possible."""
         rank = F.pmod(F.xxhash64("cid", F.lit(29)), F.lit(1 << 40))
         outside = active.join(several, "key").where("comp != main").withColumn("rank", rank)
         least = outside.groupBy("key").agg(F.min("rank").alias("least"))
-        part = F.greatest(F.lit(float(PIVOTS)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
+        part = F.greatest(F.lit(float(n)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
         return (outside.join(least, "key").where((F.col("rank") == F.col("least")) | (F.col("rank") < part))
                 .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("comp_u")))
 
