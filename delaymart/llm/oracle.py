@@ -14,6 +14,30 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM d WINDOW w AS (PARTITION BY norm)
 """
 
+# Places in the order by (text hash, id), cut into 40 equal parts of bytes; the
+# CRC-32 table follows from its polynomial.
+OP1 = """
+WITH t AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS crc
+  FROM range(256) r(i)),
+b AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size,
+         ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS key,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents),
+c AS (
+  SELECT doc_id, size, key, xor(list_reduce(list_prepend(4294967295, bytes),
+           lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM b, t),
+p AS (
+  SELECT *, least(floor((sum(size) OVER (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)::BIGINT
+                         - size / 2.0::DOUBLE) * 40 / (sum(size) OVER ())::BIGINT), 39)::INT AS shard
+  FROM c)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY key, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM p
+"""
+
 # Near lines by their definition: equal variants at one place, or a line that is
 # another's variant, over the words themselves.
 OP5 = """
@@ -78,6 +102,7 @@ FROM d2
 """
 
 ORACLE: dict[str, str] = {
+    "op1_sharding": OP1,
     "op4_exact_dedup": OP4,
     "op5_line_dedup": OP5,
     "op9_mix_sources": OP9,
