@@ -21,7 +21,9 @@ their Jaccard similarity is at least ``percent`` / 100.
    members outside its largest component, become pivots in turn, some each
    round, and leave once they have met all other members. So every pair of
    different components is compared (one of the two is an outsider), while in a
-   large group of copies, which soon is one component, almost nobody is. If many
+   large group of copies, which soon is one component, almost nobody is. Before
+   that, members too many of whose shingles no other member has are let go:
+   their similarity to anyone is below the threshold, whatever the partner. If many
    outsiders remain after some rounds, a bucket is divided by the members' other
    bands, which thins out crowds that only share a passage.
 
@@ -47,7 +49,7 @@ from delaymart.llm.components import components
 REGISTERS = 180
 BASE, RATE, LEVELS = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
-FIRST_PIVOTS, PIVOTS, PAIRS_OF_SMALL = 4, 64, 512
+PIVOTS, PAIRS_OF_SMALL = 8, 512
 DIVIDE_AFTER, CROWD = 6, 256
 _BLOCK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(977))
@@ -209,12 +211,10 @@ class NearDuplicates:
         return cut(both.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(
             _estimate, "u long, v long, nu long, nv long, est double"), "estimates")
 
-    def confirm(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose full sets reach the threshold."""
+    def full_sets(self, cids: DataFrame, classes: DataFrame) -> DataFrame:
+        """(cid, n, set) of some classes, from their texts."""
         n = self.shingle
-        wanted = (pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid")))
-                  .distinct().join(classes.select("cid", "rep", "n", "k1", "k2"), "cid"))
-        wanted = cut(wanted, "wanted")
+        wanted = cut(cids.join(classes.select("cid", "rep", "n", "k1", "k2"), "cid"), "wanted")
         ids = wanted.select(F.col("rep")).distinct()
         texts = self.docs.join(small(ids, wanted.count(), 32), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
 
@@ -222,8 +222,21 @@ class NearDuplicates:
             return _full_sets(it, n)
 
         sets = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<long>")
-        sets = cut(sets.join(wanted.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"]).select("cid", "n", "set"),
-                   "sets")
+        return sets.join(wanted.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"]).select("cid", "n", "set")
+
+    def hopeless(self, active: DataFrame, classes: DataFrame) -> DataFrame:
+        """Members that share too few shingles with all others together to be
+        linked with any: n - own < threshold * n."""
+        sets = self.full_sets(active.select("cid").distinct(), classes)
+        single = (sets.select("cid", "n", F.explode("set").alias("s")).groupBy("s")
+                  .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cid", "n")).alias("m")).where("c = 1"))
+        own = single.groupBy("m.cid", "m.n").agg(F.count(F.lit(1)).alias("own"))
+        return own.where(100 * (F.col("n") - F.col("own")) < self.percent * F.col("n")).select("cid")
+
+    def confirm(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose full sets reach the threshold."""
+        sets = cut(self.full_sets(pairs.select(F.col("u").alias("cid")).unionByName(
+            pairs.select(F.col("v").alias("cid"))).distinct(), classes), "sets")
         left = sets.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("set").alias("sv"))
         right = sets.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("set").alias("su"))
         both = pairs.select("u", "v").join(left, "v").join(right, "u")
@@ -265,11 +278,14 @@ class NearDuplicates:
             active, several = self._open(active, comp)
             if active.isEmpty():
                 return rows, classes, comp
+            if step == 1:
+                alone = cut(self.hopeless(active, classes), "hopeless")
+                active, several = self._open(active.join(alone, "cid", "left_anti"), comp)
+                if active.isEmpty():
+                    return rows, classes, comp
             if step % DIVIDE_AFTER == 0 and not several.where(F.col("outside") > CROWD).isEmpty():
                 active, several = self._open(self._divide(active, several, classes), comp)
-            # few at first, as most outsiders then join the main component; those
-            # who are left have to meet everybody, so many at a time
-            pivots = cut(self._pivots(active, several, FIRST_PIVOTS if step < 3 else PIVOTS), "pivots")
+            pivots = cut(self._pivots(active, several), "pivots")
             pairs = (active.join(pivots, "key").where("comp != comp_u")
                      .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v"),
                              F.when(F.col("u") < F.col("cid"), F.col("nu")).otherwise(F.col("n")).alias("nu"),
@@ -296,13 +312,13 @@ class NearDuplicates:
         return cut(named.join(several.select("key"), "key", "left_semi"), "active"), several
 
     @staticmethod
-    def _pivots(active: DataFrame, several: DataFrame, n: int) -> DataFrame:
-        """About ``n`` outsiders of each bucket (more of a small one), the
+    def _pivots(active: DataFrame, several: DataFrame) -> DataFrame:
+        """About PIVOTS outsiders of each bucket (more of a small one), the
         same ones in all buckets as far as possible."""
         rank = F.pmod(F.xxhash64("cid", F.lit(29)), F.lit(1 << 40))
         outside = active.join(several, "key").where("comp != main").withColumn("rank", rank)
         least = outside.groupBy("key").agg(F.min("rank").alias("least"))
-        part = F.greatest(F.lit(float(n)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
+        part = F.greatest(F.lit(float(PIVOTS)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
         return (outside.join(least, "key").where((F.col("rank") == F.col("least")) | (F.col("rank") < part))
                 .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("comp_u")))
 
