@@ -498,7 +498,16 @@ def build(name: str, suppliers: bool = False) -> str:
     return f"WITH {ctes}\n{body.strip()}"
 
 
+# The queries that also run on the supplier binding.
+ON_SUPPLIERS = ("silver_partition_roundtrip", "safe_numeric_cast", "parse_dual_timestamp", "guarded_ratio",
+                "calendar_grid", "eda_overall", "eda_monthly", "eda_weekday", "days_per_year_quality", "data_range",
+                "causes_long", "anomaly_thresholds", "anomaly_severity", "top_avg_delay", "top_total_delay",
+                "anomalies", "report_anomalies_top", "report_anomalies_monthly", "feature_table", "split_mode",
+                "stub_predictions_full", "validation_daily", "join_coverage",
+                "regression_metrics", "global_means", "forecast_inputs", "forecast_monthly_stub")
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name; ``suppliers_<name>`` is <name> on that binding."""
     return {name: build(name) for name in FINAL} | {
-        f"suppliers_{name}": build(name, suppliers=True) for name in FINAL}
+        f"suppliers_{name}": build(name, suppliers=True) for name in ON_SUPPLIERS}

@@ -21,6 +21,7 @@ from delaymart.functions import columns as C
 from delaymart.operators import anomaly, features, forecast, interpret, model, profile, report, validate
 from delaymart.operators.silver import dedup_daily, entity_filter, typed_bronze, year_range
 from delaymart.plans.mart import DelayMart
+from delaymart.plans.oracle import ON_SUPPLIERS
 from delaymart.sinks.writers import read_report_csv, register_views, write_report_csv
 from delaymart.sources.calendar import span_days
 from delaymart.sources.tables import table
@@ -746,14 +747,6 @@ def chart_top_features(spark, sf_dir):
 
 # --- the same operators on the dirty binding that grows with the data ---------
 
-ON_SUPPLIERS = ("silver_partition_roundtrip", "safe_numeric_cast", "parse_dual_timestamp", "guarded_ratio",
-                "calendar_grid", "eda_overall", "eda_monthly", "eda_weekday", "days_per_year_quality", "data_range",
-                "causes_long", "anomaly_thresholds", "anomaly_severity", "top_avg_delay", "top_total_delay",
-                "anomalies", "report_anomalies_top", "report_anomalies_monthly", "feature_table", "split_mode",
-                "stub_predictions_full", "validation_daily", "join_coverage",
-                "regression_metrics", "global_means", "forecast_inputs", "forecast_monthly_stub")
-
-
 def _on_suppliers(fn: Query) -> Query:
     def run(spark, sf_dir):
         token = _BINDING.set("suppliers")
