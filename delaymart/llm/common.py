@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from delaymart.session import run_folder
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 U64 = np.uint64
