@@ -1,15 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
 Words are lower-cased (A-Z) with ASCII punctuation taken as space. Every
-4-word run of a benchmark item (the whole item if shorter) is a candidate seed;
-its document count over the whole corpus is taken, and a run counts as rare
-when it is in at most ``SPREAD`` times as many documents as the item's
-lower-quartile run (plus one). So phrases that are frequent for their item go,
-and an item that leaks everywhere keeps its runs. Seeds found in a document
-give windows around them, where the item's words are aligned with the
-document's (match 2, mismatch and gap -1, local). The score is the alignment's
-part of the item's best possible one; at ``threshold`` or more the passage is a
-copy, edited or not.
+4-word run of a benchmark item (the whole item if shorter) is a seed, however
+many documents hold it. Seeds found in a document give windows around them; a
+window goes on if enough of the item's words occur in it to reach the threshold
+at all (a bound of the score, so nothing that reaches it is lost). There the
+item's words are aligned with the document's (match 2, mismatch and gap -1,
+local). The score is the alignment's part of the item's best possible one; at
+``threshold`` or more the passage is a copy, edited or not.
 
 The benchmark is the stated query set: it is taken in blocks of at most
 ``BLOCK_BYTES`` of text, each of which goes to the tasks as one broadcast value,
@@ -33,7 +31,6 @@ from pyspark.sql import functions as F
 from delaymart.llm.common import cut, lowered, pieces, small, window_hashes, word_hashes, words
 
 SEED = 4
-SPREAD = 8
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
 
@@ -68,17 +65,6 @@ class Items:
                 order = np.argsort(h, kind="stable")
                 self.seeds[size] = (h[order], row[order], at[order])
 
-    def keep_rare(self, counts: dict[tuple[int, int], int]) -> None:
-        for size, (h, row, at) in self.seeds.items():
-            df = np.array([counts.get((size, int(x)), 0) for x in h.view(np.int64)])
-            order = np.lexsort((df, row))
-            begin = np.searchsorted(row[order], np.arange(len(self.ids) + 1))
-            quartile = np.zeros(len(self.ids))
-            some = np.flatnonzero(np.diff(begin))
-            quartile[some] = df[order][begin[some] + np.diff(begin)[some] // 4]
-            rare = df <= SPREAD * (quartile[row] + 1)
-            self.seeds[size] = h[rare], row[rare], at[rare]
-
 
 def _hits(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Which of the runs are seeds."""
@@ -88,23 +74,6 @@ def _hits(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(seeds[at] == h)
 
 
-def _count(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    """Documents per seed in this task's rows."""
-    total: dict[int, np.ndarray] = {s: np.zeros(len(v[0]), np.int64) for s, v in items.seeds.items()}
-    for _, buf, offs in pieces(batches):
-        _, _, first, wh = _tokens(buf, offs)
-        for size, (seeds, _, _) in items.seeds.items():
-            row, _, h = window_hashes(wh, first, size)
-            hit = _hits(h, seeds)
-            pair = np.unique(row[hit] * np.int64(len(seeds)) + np.searchsorted(seeds, h[hit]))
-            total[size] += np.bincount(pair % len(seeds), minlength=len(seeds))
-    for size, n in total.items():
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(some), size, np.int32)), pa.array(items.seeds[size][0][some].view(np.int64)),
-             pa.array(n[some])], names=["size", "seed", "n"])
-
-
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = 1, gap: int = 1) -> tuple[int, int, int]:
     """Smith-Waterman over word hashes, a row of the table at a time: (best
     score, first and last word of the text it covers; last exclusive)."""
@@ -152,6 +121,8 @@ def _search(wh: np.ndarray, found: list[tuple[int, int, int]], items: Items, thr
         for a, b in merged:
             for lo in range(a, b, 4096):  # a run of copies is aligned piecewise, overlapping
                 hi = min(b, lo + 4096 + 2 * perfect)
+                if 2 * np.isin(items.words[item], wh[lo:hi]).sum() < threshold * perfect:
+                    continue
                 s, i, j = align(items.words[item], wh[lo:hi])
                 if s / perfect > best[0]:
                     best = (s / perfect, lo + i, lo + j)
@@ -203,18 +174,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
               "n_words int, from_byte long, to_byte long")
     out = spark.createDataFrame([], schema)
     for items in _blocks(benchmark, block_bytes):
-        counter = spark.sparkContext.broadcast(items)
-
-        def count(it, counter=counter):
-            return _count(it, counter.value)
-
-        counts = (texts.mapInArrow(count, "size int, seed long, n long").groupBy("size", "seed")
-                  .agg(F.sum("n").alias("n")).collect())
-        items.keep_rare({(r["size"], r["seed"]): r["n"] for r in counts})
-        rare = spark.sparkContext.broadcast(items)
+        block = spark.sparkContext.broadcast(items)
 
-        def find(it, rare=rare):
-            return _find(it, rare.value, threshold)
+        def find(it, block=block):
+            return _find(it, block.value, threshold)
 
         out = out.unionByName(texts.mapInArrow(find, schema))
     return out.withColumnRenamed("id", id_col)

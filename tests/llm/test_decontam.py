@@ -59,6 +59,17 @@ def test_finds_copies_and_leaves_clean_documents(spark, rows):
     assert decontam.contaminated(rows(data), bench.limit(0)).collect() == []
 
 
+def test_widely_copied_edited_and_cut_passages_are_all_found(spark, rows):
+    edited, whole = text(40), text(40)
+    changed = ["other" if k % 9 == 0 else w for k, w in enumerate(edited)]
+    data = [(d, " ".join(text(10) + changed + text(10))) for d in range(1000)]
+    data += [(d, " ".join(text(10) + whole[:28] + text(10))) for d in range(1000, 2000)]
+    data += [(d, " ".join(text(60))) for d in range(2000, 2100)]
+    bench = spark.createDataFrame([(1, " ".join(edited)), (2, " ".join(whole))], "item_id long, text string")
+    got = decontam.contaminated(rows(data), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, 1 + d // 1000) for d in range(2000)}
+
+
 def test_alignment_equals_the_full_table():
     for _ in range(60):
         a = np.array([rnd.randrange(6) for _ in range(rnd.randrange(1, 15))], np.uint64)
