@@ -2,13 +2,17 @@
 
 Each page becomes a tree of its block elements; runs of like siblings without
 children of their own (paragraphs, list items) count as one node. Up to ``REFS``
-pages of a host are aligned by simple tree matching. Nodes that match in all of
-them with the same text are template; the node under which most of the varying
-text lies is the content slot. Every page of the host is then aligned with that
-template in the same way, and the node that meets the slot holds its main text.
-A host with one page is its own template: all its text varies.
-
-Within the slot, what is not article goes: elements that say so by tag, role or
+pages of a host are aligned by simple tree matching. Nodes that match in
+several of them, always with the same text, are template; pages without text do
+not count. The lowest node that holds all other text
+but furniture is the content slot (never a part of a list, table or quotation).
+Every page of the host is then aligned with that template in the same way. Its
+main text is in the lowest node that holds both what meets the slot and all
+text of the page that is neither furniture nor template. Where no text varies,
+as on a host with one page, the slot is the lowest node that holds all article
+and main elements, or all text if there are none.
+
+Within that node, what is not article goes: elements that say so by tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments), and containers the template knows as constant.
 Paragraphs, headings and list items are never dropped for being alike.
@@ -39,7 +43,6 @@ from pyspark.sql import functions as F
 from delaymart.llm.common import cut, pieces, small
 
 REFS = 4
-MAJORITY = 0.8
 MAX_DEPTH = 60
 
 # fixed values: HTML element names and words that name page furniture
@@ -59,6 +62,7 @@ WORDS = frozenset(
     "pagination login search".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption address summary".split())
+WHOLE = LEAVES | frozenset("ul ol dl table thead tbody tfoot tr".split())
 
 
 class Node:
@@ -143,22 +147,23 @@ def blocks(node: Node, skip: set[int] = frozenset()) -> list[str]:
 class Shape:
     """A node of the tree that is aligned: like leaf siblings are one."""
 
-    __slots__ = ("digest", "drop", "kids", "nodes", "sig", "size", "slot")
+    __slots__ = ("digest", "drop", "kids", "nodes", "own", "sig", "size", "slot")
 
-    def __init__(self, sig, digest="", size=0, drop=False, kids=(), nodes=(), slot=False):
-        self.sig, self.digest, self.size, self.drop = sig, digest, size, drop
+    def __init__(self, sig, digest="", size=0, drop=False, kids=(), nodes=(), slot=False, own=""):
+        self.sig, self.digest, self.size, self.drop, self.own = sig, digest, size, drop, own
         self.kids, self.nodes, self.slot = list(kids), list(nodes), slot
 
     def dump(self) -> list:
-        return [self.sig, self.digest, self.size, int(self.drop), int(self.slot), [k.dump() for k in self.kids]]
+        return [self.sig, self.digest, self.size, int(self.drop), int(self.slot), [k.dump() for k in self.kids],
+                self.own]
 
     @classmethod
     def load(cls, x: list) -> Shape:
-        return cls(x[0], x[1], x[2], bool(x[3]), [cls.load(k) for k in x[5]], slot=bool(x[4]))
+        return cls(x[0], x[1], x[2], bool(x[3]), [cls.load(k) for k in x[5]], slot=bool(x[4]), own=x[6])
 
 
 def shape(node: Node) -> Shape:
-    """``size`` counts the text of the node's own blocks, ``digest`` all below it."""
+    """``size`` and ``own`` are of the node's own blocks, ``digest`` is of all below it."""
     kids: list[Shape] = []
     inner = [i for i in node.items if isinstance(i, Node)]
     if not node.drop:
@@ -176,9 +181,10 @@ def shape(node: Node) -> Shape:
     own.items = [i if isinstance(i, str) else None for i in node.items]
     for kid in kids:
         if kid.sig.endswith("*"):
-            kid.digest = _digest([b for n in kid.nodes for b in blocks(n)])
+            kid.digest = kid.own = _digest([b for n in kid.nodes for b in blocks(n)])
     return Shape(node.sig, _digest([k.digest for k in kids] + blocks(own)),
-                 0 if node.drop else sum(map(len, blocks(own))), node.drop, kids, [node])
+                 0 if node.drop else sum(map(len, blocks(own))), node.drop, kids, [node],
+                 own=_digest(blocks(own)))
 
 
 def _digest(texts: list[str]) -> str:
@@ -225,63 +231,105 @@ def tree_match(a: Shape, b: Shape, pairs: list[tuple[Shape, Shape]] | None = Non
     return score
 
 
+def _tag(x: Shape) -> str:
+    return x.sig.split(".")[0].rstrip("*")
+
+
+def _cover(x: Shape, skips, has) -> Shape | None:
+    """The lowest node that holds all nodes below x for which ``has`` is true,
+    without those for which ``skips`` is; groups of leaves and parts of lists,
+    tables and leaves are not nodes of their own. None if there are none."""
+    if x.drop or skips(x):
+        return None
+    if has(x):
+        return x
+    inner = [(k, c) for k in x.kids if (c := _cover(k, skips, has)) is not None]
+    if not inner:
+        return None
+    kid, c = inner[0]
+    return x if len(inner) > 1 or kid.sig.endswith("*") or _tag(x) in WHOLE else c
+
+
+def _article(x: Shape) -> Shape | None:
+    """The lowest node that holds all article and main elements with text."""
+    def text(y: Shape) -> bool:
+        return not y.drop and (y.size > 0 or any(map(text, y.kids)))
+
+    return _cover(x, lambda y: False, lambda y: _tag(y) in ("article", "main") and not y.sig.endswith("*") and text(y)
+                  or any(k.sig.endswith("*") and _tag(k) in ("article", "main") and text(k) for k in y.kids))
+
+
 def induce(pages: list[Shape]) -> Shape:
-    """The template of a host's reference pages: its tree has the digest of
+    """The template of a host's reference pages: its tree has the digests of
     constant nodes only, and one node marked as the content slot."""
+    pages = [p for p in pages if _cover(p, lambda x: False, lambda x: x.size > 0)] or pages[:1]
     base = max(pages, key=lambda p: sum(tree_match(p, q) for q in pages))
     met: dict[int, list[Shape]] = {}
+    more: set[int] = set()
     for page in pages:
         pairs: list[tuple[Shape, Shape]] = []
         tree_match(base, page, pairs)
+        matched = {id(y) for _, y in pairs}
         for x, y in pairs:
             met.setdefault(id(x), []).append(y)
+            if any(_cover(k, lambda z: False, lambda z: z.size > 0) for k in y.kids if id(k) not in matched):
+                more.add(id(x))
 
-    def varying(x: Shape) -> int:
-        """Text below x that differs among the pages, or all of it if no text does."""
-        if x.drop:
-            return 0
+    def constant(x: Shape, part: str) -> bool:
         seen = met.get(id(x), [])
-        own = sum(y.size for y in seen)
-        if len(pages) > 1 and not alike and len(seen) == len(pages) and len({y.digest for y in seen}) == 1:
-            return 0
-        return own + sum(varying(k) for k in x.kids)
-
-    alike = False
-    if not varying(base):
-        alike = True
-    slot = base
-    while True:
-        inside = [k for k in slot.kids if not k.sig.endswith("*") and not k.drop]
-        total = varying(slot)
-        into = max(inside, key=varying, default=None)
-        if into is None or not total or varying(into) < MAJORITY * total or into.sig.split(".")[0] in LEAVES:
-            break
-        slot = into
-
-    def template(x: Shape) -> Shape:
-        seen = met.get(id(x), [])
-        constant = (not alike and len(pages) > 1 and len(seen) == len(pages)
-                    and len({y.digest for y in seen}) == 1)
-        return Shape(x.sig, x.digest if constant else "", x.size, x.drop, [template(k) for k in x.kids],
-                     slot=x is slot)
+        return len(seen) > 1 and len({getattr(y, part) for y in seen}) == 1
+
+    def varies(x: Shape) -> bool:
+        return id(x) in more or (not constant(x, "own") and any(y.size for y in met.get(id(x), [])))
+
+    slot = _cover(base, lambda x: id(x) not in more and constant(x, "digest"), varies)
+    alike = slot is None or len(pages) == 1
+    article = _article(base) if alike else None
+    if alike:
+        slot = article or _cover(base, lambda x: False, lambda x: x.size > 0) or base
+
+    def template(x: Shape, inside: bool) -> Shape:
+        inside = inside or x is slot
+        known = article is not None and not inside
+        return Shape(x.sig, x.digest if known or (not alike and constant(x, "digest")) else "", x.size, x.drop,
+                     [template(k, inside) for k in x.kids], slot=x is slot,
+                     own=x.own if known or (not alike and constant(x, "own")) else "")
 
-    return template(base)
+    return template(base, False)
 
 
 def extract(page: Node, template: Shape) -> str:
-    """The page's main text: the node that meets the template's slot, or the
-    page's own slot if none does."""
+    """The page's main text: what is under the lowest node that holds both the
+    node that meets the template's slot (or the page's own articles if none
+    does) and all other text that is neither furniture nor template."""
     own = shape(page)
     pairs: list[tuple[Shape, Shape]] = []
     tree_match(template, own, pairs)
-    at = next((y for x, y in pairs if x.slot), None)
+    known = {id(y): x for x, y in pairs}
+    slot = next((y for x, y in pairs if x.slot), None) or _article(own)
+
+    def constant(y: Shape) -> bool:
+        x = known.get(id(y))
+        return x is not None and x.digest != "" and x.digest == y.digest and y is not slot and not _holds(y, slot)
+
+    def text(y: Shape) -> bool:
+        x = known.get(id(y))
+        return y is slot or (y.size > 0 and (x is None or x.own != y.own))
+
+    at = _cover(own, constant, text)
     if at is None:
-        alone = induce([own])
-        pairs = []
-        tree_match(alone, own, pairs)
-        at = next(y for x, y in pairs if x.slot)
-    skip = {id(n) for x, y in pairs if x.digest and x.digest == y.digest and y is not at
-            and x.sig.split(".")[0].rstrip("*") not in LEAVES and not _holds(y, at) for n in y.nodes}
+        return ""
+    inside: set[int] = set()
+
+    def mark(y: Shape) -> None:
+        inside.add(id(y))
+        for k in y.kids:
+            mark(k)
+
+    if slot is not None:
+        mark(slot)
+    skip = {id(n) for _, y in pairs if constant(y) and (id(y) not in inside or _tag(y) not in LEAVES)
+            for n in y.nodes}
     return "\n".join(b for n in at.nodes for b in blocks(n, skip))
 
 

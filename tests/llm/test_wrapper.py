@@ -61,6 +61,34 @@ def test_articles_of_several_hosts(spark):
             assert r["text"] == want[r["page_id"]], r["page_id"]
 
 
+def test_leads_beside_the_body_and_list_heavy_references():
+    def texts(bodies):
+        pages = [f"<html><body><nav><p>Menu</p></nav><div class='legal'><p>Imprint</p></div>{b}"
+                 f"<footer>{text(3)}</footer></body></html>" for b in bodies]
+        template = wrapper.induce([wrapper.shape(wrapper.parse(p)) for p in pages[:4]])
+        template = wrapper.Shape.load(template.dump())
+        return [wrapper.extract(wrapper.parse(p), template) for p in pages]
+
+    def parts(*sizes):
+        return [[text(n) for n in sizes] for _ in range(6)]
+
+    lead = parts(3, 4, 90)
+    got = texts([f"<article><h1>{a}</h1><p>{b}</p><div class=body><p>{c}</p></div></article>" for a, b, c in lead])
+    assert got == ["\n".join(x) for x in lead]
+    split = parts(15, 85)
+    got = texts([f"<div class=intro><p>{a}</p></div><div class=text><p>{b}</p></div>" for a, b in split])
+    assert got == ["\n".join(x) for x in split]
+    lists = parts(5, 40, 40)
+    bodies = [f"<article><ul><li>{b}<li>{c}</ul></article>" for _, b, c in lists[:4]]
+    bodies += [f"<article><p>{a} {b}</p><ul><li>{c}</ul></article>" for a, b, c in lists[4:]]
+    want = [f"{b}\n{c}" for _, b, c in lists[:4]] + [f"{a} {b}\n{c}" for a, b, c in lists[4:]]
+    assert texts(bodies) == want
+    late = parts(5, 80)
+    bodies = [f"<div class=text><p>{b}</p></div>" for _, b in late[:4]]
+    bodies += [f"<div class=lead><p>{a}</p></div><div class=text><p>{b}</p></div>" for a, b in late[4:]]
+    assert texts(bodies) == [b for _, b in late[:4]] + [f"{a}\n{b}" for a, b in late[4:]]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
