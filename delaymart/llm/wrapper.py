@@ -14,7 +14,8 @@ and main elements, or all text if there are none.
 
 Within that node, what is not article goes: elements that say so by tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments), and containers the template knows as constant.
+styles, reader comments), and containers the template knows as constant. A name
+never drops the element with the page's only articles or most of its text.
 Paragraphs, headings and list items are never dropped for being alike.
 
 Blocks are the text of a block element up to the next block element or line
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import md5
 from html.parser import HTMLParser
@@ -60,66 +62,166 @@ WORDS = frozenset(
     "notices alert gdpr nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside "
     "widget related share sharing social comment comments reply replies newsletter subscribe signup popup modal "
     "pagination login search".split())
+AROUND = frozenset(
+    "left right top bottom primary secondary main inner outer area bar box block container wrapper wrap list item items "
+    "link links button buttons icon icons section form unit slot text content title body post posts article articles "
+    "story stories x".split())
+STATES = frozenset("has no not non with without is hide hidden show can".split())
+READERS = frozenset("comment comments reply replies".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OWN_HEADERS = frozenset("article post entry story content section main page".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption address summary".split())
 WHOLE = LEAVES | frozenset("ul ol dl table thead tbody tfoot tr".split())
 
 
 class Node:
-    __slots__ = ("drop", "items", "sig", "tag")
-
-    def __init__(self, tag: str, sig: str, drop: bool):
-        self.tag, self.sig, self.drop, self.items = tag, sig, drop, []
+    __slots__ = ("drop", "items", "named", "sig", "tag")
+
+    def __init__(self, tag: str, sig: str, drop: bool, named: str = ""):
+        self.tag, self.sig, self.drop, self.items, self.named = tag, sig, drop, [], named
+
+
+def furniture_word(tag: str, tokens: list[str]) -> str:
+    """The word by which a class or id names the element as furniture, or ''. It
+    is the whole token, its last part, or its first before words for boxes; a
+    token that tells a state of the element (has-sidebar) names nothing."""
+    for token in tokens:
+        parts = re.findall(r"[a-z]+", token)
+        if not parts or STATES.intersection(parts[:-1]):
+            continue
+        if parts[-1] in WORDS:
+            word = parts[-1]
+            if word in ("header", "masthead") and (tag in HEADINGS or OWN_HEADERS.intersection(parts[:-1])):
+                continue
+            if len(parts) > 1 and tag in HEADINGS:
+                continue
+            return word
+        if parts[0] in WORDS and tag not in LEAVES and all(p in WORDS or p in AROUND for p in parts[1:]):
+            return parts[0]
+    return ""
+
+
+def spare(root: Node) -> None:
+    """Mark what its name calls furniture as dropped, but not what holds all
+    article and main elements of the page, if it is one, has a main element or
+    has most of the text (readers' comments may well be longer than what they
+    are about, and hold articles)."""
+    held: dict[int, tuple[int, int, int]] = {}
+
+    def measure(node: Node) -> tuple[int, int, int]:
+        size, articles, mains = 0, 0, 0
+        for item in node.items:
+            if isinstance(item, str):
+                size += len("".join(item.split()))
+            elif item is not None and not item.drop:
+                got = measure(item)
+                size, articles, mains = size + got[0], articles + got[1], mains + got[2]
+        if size and node.named not in READERS:
+            articles += node.tag in ("article", "main")
+            mains += node.tag == "main"
+        held[id(node)] = size, articles, mains
+        return held[id(node)]
+
+    def spared(node: Node) -> bool:
+        size, articles, mains = held[id(node)]
+        if articles != total[1] or (node.named in READERS and not mains):
+            return False
+        return mains > 0 or (articles > 0 and node.tag == "article") or 2 * size > total[0]
+
+    def mark(node: Node) -> None:
+        for item in node.items:
+            if isinstance(item, Node) and not item.drop:
+                if item.named and not spared(item):
+                    item.drop = True
+                else:
+                    mark(item)
+
+    total = measure(root)
+    mark(root)
 
 
 class TreeBuilder(HTMLParser):
-    """The block elements of a page; inline elements only carry their text."""
+    """The block elements of a page; inline elements only carry their text.
+    Elements below MAX_DEPTH open ones are put side by side into the last of
+    these, in page order, and inherit being furniture."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("root", "root", False)
         self.open = [self.root]
+        self.count = Counter()
+
+    def _close(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.count[node.tag] -= 1
+        del self.open[at:]
+
+    def _here(self) -> Node:
+        """The node that text or an element at this point goes to."""
+        if len(self.open) <= MAX_DEPTH:
+            return self.open[-1]
+        base, last = self.open[MAX_DEPTH - 1], self.open[-1]
+        if base.items[-1] is not last:
+            self.open[-1] = last = Node(last.tag, last.sig, last.drop, last.named)
+            base.items.append(last)
+        return last
 
     def handle_starttag(self, tag, attrs):
         if tag == "br":
-            self.open[-1].items.append(None)
+            self._here().items.append(None)
         if tag not in BLOCKS:
             return
-        tags = [n.tag for n in self.open]
-        if tag in CLOSES_ITSELF and tag != "p" and tag in tags:
-            at = len(tags) - 1 - tags[::-1].index(tag)
-            if not any(t in ("ul", "ol", "dl", "table") for t in tags[at:]):
-                del self.open[at:]
-        elif "p" in tags:
-            del self.open[tags.index("p"):]
+        if tag in CLOSES_ITSELF and tag != "p" and self.count[tag]:
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].tag in ("ul", "ol", "dl", "table"):
+                    break
+                if self.open[at].tag == tag:
+                    self._close(at)
+                    break
+        elif self.count["p"]:
+            left, at = self.count["p"], len(self.open)
+            while left:
+                at -= 1
+                left -= self.open[at].tag == "p"
+            self._close(at)
         got = dict(attrs)
-        names = re.findall(r"[a-z]+", f"{got.get('class') or ''} {got.get('id') or ''}".lower())
+        tokens = f"{got.get('class') or ''} {got.get('id') or ''}".lower().split()
         drop = (tag in FURNITURE or (got.get("role") or "").lower() in ROLES or "hidden" in got
-                or got.get("aria-hidden") == "true" or (tag not in ("html", "body") and any(w in WORDS for w in names))
+                or got.get("aria-hidden") == "true"
                 or "display:none" in (got.get("style") or "").replace(" ", "").lower())
-        node = Node(tag, ".".join([tag, *sorted(set((got.get("class") or "").split()))]), drop)
-        self.open[-1].items.append(node)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        named = "" if tag in ("html", "body") else furniture_word(tag, tokens)
+        node = Node(tag, ".".join([tag, *sorted(set((got.get("class") or "").split()))]), drop, named)
+        if len(self.open) < MAX_DEPTH:
+            self.open[-1].items.append(node)
+        else:
+            if len(self.open) > MAX_DEPTH:
+                node.drop, node.named = drop or self.open[-1].drop, named or self.open[-1].named
+            self.open[MAX_DEPTH - 1].items.append(node)
+        if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].tag == tag:
-                del self.open[at:]
-                break
+        if self.count[tag]:
+            at = len(self.open) - 1
+            while self.open[at].tag != tag:
+                at -= 1
+            self._close(at)
 
     def handle_data(self, data):
-        self.open[-1].items.append(data)
+        self._here().items.append(data)
 
 
 def parse(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
+    spare(builder.root)
     return builder.root
 
 

@@ -89,6 +89,28 @@ def test_leads_beside_the_body_and_list_heavy_references():
     assert texts(bodies) == [b for _, b in late[:4]] + [f"{a}\n{b}" for a, b in late[4:]]
 
 
+def test_names_that_only_mention_furniture_and_deep_pages():
+    def read(html):
+        root = wrapper.parse(f"<html><body>{html}</body></html>")
+        return wrapper.extract(root, wrapper.induce([wrapper.shape(root)])).split("\n")
+
+    body = "<h2 class='section-header'>Head</h2><p class='notice-period'>One month</p><div id='search-results'>Hit</div>"
+    want = ["Head", "One month", "Hit"]
+    for attrs in ("class='post has-sidebar'", "class='content no-sidebar' id='main'", "class='entry share-enabled'",
+                  "class='widget'"):
+        for tag in ("article", "div"):
+            assert read(f"<{tag} {attrs}>{body}</{tag}>") == want
+    assert read(f"<div class='social'><main>{body}</main></div>") == want
+    for name in ("ad", "cookie-notice", "sidebar-left", "comments-area", "related-posts", "site-header", "main_nav"):
+        assert read(f"<article>{body}<div class='{name}'>Away</div></article>") == want
+    for name in ("comments", "related"):
+        teaser = f"<div id='{name}'><article>One more</article></div>"
+        assert read(f"<div class='text'>{body}</div>{teaser}") == want
+    for n in (10, 57, 58, 59, 60, 61, 62, 100, 3000):
+        deep = "<div>" * n + "a<nav><div>no</div>no</nav><script>no</script><div>b</div>c" + "</div>" * n
+        assert read(f"<article><div>x{deep}y</div><p>z</p></article>") == ["x", "a", "b", "c", "y", "z"]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
