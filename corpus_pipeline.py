@@ -8,7 +8,8 @@ adds ``shard`` and ``slot``. Names that begin with ``__`` are kept for the stage
 
 Defined cases: documents without words are rejected by the classifier; of
 repeated rows one passes the near-duplicate stage; null ids and sources take
-part as values of their own; an empty table stays empty.
+part as values of their own; rows that share an id, or have none, are judged
+near-duplicates or contaminated one by one; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from delaymart.llm.common import cut, small, table
+from delaymart.llm.common import cut, small, table, with_row_id
 from delaymart.llm.decontam import drop_contaminated
 from delaymart.llm.mixing import mix
 from delaymart.llm.neardup import near_duplicates
@@ -32,18 +33,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (similarity 0.8) the smallest id stays;
-    of repeated rows one does."""
-    found = cut(near_duplicates(docs, percent=80, rows=5).select("doc_id", "kept"), "near-duplicates")
-    drop = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "near-dropped")
-    docs = docs.join(small(drop, drop.count(), 16), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    again = cut(found.where("kept").groupBy(F.col("doc_id").alias("__id")).count()
-                .where("count > 1").select("__id"), "repeated-ids")
-    if again.isEmpty():
-        return docs
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(again, same, "left_anti").unionByName(once)
+    """Of each group of near-duplicates (similarity 0.8) one row with the smallest
+    id stays (null after all others), of repeated rows without words one does."""
+    rows = cut(with_row_id(docs), "rows")
+    found = near_duplicates(rows, id_col="__row", percent=80, rows=5).select(
+        "__row", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
+    found = found.join(rows.select("__row", F.col("doc_id").alias("__id"), F.sha2("text", 256).alias("__sha")), "__row")
+    bare = F.col("__group").isNull()
+    found = cut(found.select("__row", "__id", "__group", F.when(bare, F.col("__id")).alias("__bare_id"),
+                             F.when(bare, F.col("__sha")).alias("__bare_text")), "near-duplicates")
+    first = F.min(F.struct(F.col("__id").isNull().alias("__null"), "__id", "__row")).alias("__first")
+    kept = found.groupBy("__group", "__bare_id", "__bare_text").agg(first).select(F.col("__first.__row").alias("__row"))
+    drop = cut(found.select("__row").join(kept, "__row", "left_anti"), "near-dropped")
+    return rows.join(small(drop, drop.count(), 16), "__row", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

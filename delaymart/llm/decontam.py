@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymart.llm.common import cut, lowered, pieces, small, window_hashes, word_hashes, words
+from delaymart.llm.common import cut, lowered, pieces, small, window_hashes, with_row_id, word_hashes, words
 
 SEED = 4
 THRESHOLD = 0.5
@@ -184,9 +184,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns. Ids
-    need not be unique: a document goes with its id, and all rows of a null id
-    go if one is contaminated."""
-    bad = cut(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("__bad")).distinct(),
-              "contaminated")
-    return docs.join(small(bad, bad.count(), 16), F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows that hold no benchmark item, with all their columns. Ids need
+    not be unique: each row is judged by its own text."""
+    rows = cut(with_row_id(docs), "rows")
+    bad = cut(contaminated(rows, benchmark, threshold, id_col="__row").select("__row").distinct(), "contaminated")
+    return rows.join(small(bad, bad.count(), 16), "__row", "left_anti").select(*docs.columns)

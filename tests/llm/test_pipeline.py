@@ -93,3 +93,16 @@ def test_edges(spark):
         assert len({(r["shard"], r["slot"]) for r in got}) == len(got)
     kept = [r["doc_id"] for r in cp.near_dedup(spark, docs, SF).collect()]
     assert sorted(kept, key=str) == sorted([1, 3, 5, 6, None], key=str)
+
+
+def test_rows_of_null_or_repeated_ids_are_judged_one_by_one(spark):
+    a, b, c, d, e = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcde")
+    rows = [(1, a), (None, a + " end"), (None, b), (7, c), (7, d), (7, c.upper()), (3, d + " end"), (None, e),
+            (None, e.upper()), (None, ""), (None, ""), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = cp.near_dedup(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept), key=str) == sorted(
+        [(1, a), (None, b), (7, c), (3, d + " end"), (None, e), (None, ""), (None, ""), (9, "")], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(None, item), (None, b), (7, c), (7, item)], "doc_id long, text string")
+    assert sorted(map(tuple, cp.decontaminate(spark, docs, SF).collect()), key=str) == [(7, c), (None, b)]
