@@ -1,13 +1,16 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman.
 
-Words are lower-cased (A-Z) with ASCII punctuation taken as space. Every
-4-word run of a benchmark item (the whole item if shorter) is a seed, however
-many documents hold it. Seeds found in a document give windows around them; a
-window goes on if enough of the item's words occur in it to reach the threshold
-at all (a bound of the score, so nothing that reaches it is lost). There the
-item's words are aligned with the document's (match 2, mismatch and gap -1,
-local). The score is the alignment's part of the item's best possible one; at
-``threshold`` or more the passage is a copy, edited or not.
+Words are lower-cased (A-Z) with ASCII punctuation taken as space. The score is
+the best local alignment of an item's words with the document's (match 2,
+mismatch and gap -1) as a part of the item's best possible one; at ``threshold``
+or more the passage is a copy, edited or not. An item of n words that reaches
+threshold t has at most 2n(1 - t) unmatched columns between its matches, so at
+least nt - 1 of its neighbouring matches lie at most one column apart. Seeds are
+therefore pairs of words, next to each other or one apart, on both sides; where
+that many lie within 2n(1 - t) diagonals, a window is taken that holds the whole
+alignment. It is aligned if enough of the item's words occur in it at all. All
+three are bounds of the score, so for items of four words or more nothing that
+reaches a threshold of 0.5 or more is lost. Shorter items are found as a whole.
 
 The benchmark is the stated query set: it is taken in blocks of at most
 ``BLOCK_BYTES`` of text, each of which goes to the tasks as one broadcast value,
@@ -28,15 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymart.llm.common import cut, lowered, pieces, small, window_hashes, with_row_id, word_hashes, words
+from delaymart.llm.common import U64, cut, lowered, mix, pieces, small, window_hashes, with_row_id, word_hashes, words
 
 SEED = 4
 THRESHOLD = 0.5
 BLOCK_BYTES = 4 << 20
+_HITS = 1 << 20
 
 _PUNCT = np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)
 _BARE = np.arange(256, dtype=np.uint8)
 _BARE[_PUNCT] = 32
+_PAIR = mix(np.arange(1, 3, dtype=U64)) | U64(1)
 
 
 def _tokens(buf: np.ndarray, offs: np.ndarray):
@@ -45,9 +50,24 @@ def _tokens(buf: np.ndarray, offs: np.ndarray):
     return starts, ends, first, word_hashes(flat, starts, ends)
 
 
+def _pairs(wh: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word with the next and with the one after that, alike hashed: (row,
+    index of the first word, hash), by row."""
+    count = np.diff(first)
+    at = np.concatenate([np.arange(len(wh)), np.arange(len(wh))])
+    gap = np.repeat([1, 2], len(wh))
+    row = np.tile(np.repeat(np.arange(len(count)), count), 2)
+    inside = at + gap < first[row + 1]
+    row, at, gap = row[inside], at[inside], gap[inside]
+    order = np.argsort(row, kind="stable")
+    row, at, gap = row[order], at[order], gap[order]
+    return row, at, mix(wh[at] * _PAIR[0] + wh[at + gap] * _PAIR[1])
+
+
 class Items:
     """One block of the benchmark: word hashes per item, and seeds as sorted
-    (hash) with their (item, position)."""
+    (hash) with their (item, position): pairs under 0, whole short items under
+    their number of words."""
 
     def __init__(self, ids: list, texts: list[str]):
         raw = [t.encode() for t in texts]
@@ -57,9 +77,14 @@ class Items:
         self.words = [wh[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         n = np.diff(first)
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in range(1, SEED + 1):
-            row, at, h = window_hashes(wh, first, size)
-            mine = (n[row] >= SEED) if size == SEED else (n[row] == size)
+        self.n = n
+        for size in range(SEED):
+            if size:
+                row, at, h = window_hashes(wh, first, size)
+                mine = n[row] == size
+            else:
+                row, at, h = _pairs(wh, first)
+                mine = n[row] >= SEED
             row, at, h = row[mine], at[mine] - first[row[mine]], h[mine]
             if len(h):
                 order = np.argsort(h, kind="stable")
@@ -99,23 +124,52 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = 1, gap
     return best, j, end
 
 
-def _search(wh: np.ndarray, found: list[tuple[int, int, int]], items: Items, threshold: float):
-    """Best passage of each item in one document, from seed hits (item,
-    position in the item, position in the document)."""
+def _windows(wh: np.ndarray, first: np.ndarray, items: Items, threshold: float):
+    """(document, item, first and last word of the document; last exclusive) of
+    the windows that can hold a copy."""
+    slack = np.floor(2 * items.n * (1 - threshold) + 1e-9).astype(np.int64).clip(0)
+    for size, (seeds, item, at_item) in items.seeds.items():
+        row, at, h = window_hashes(wh, first, size) if size else _pairs(wh, first)
+        hit = _hits(h, seeds)
+        row, at = row[hit], at[hit] - first[row[hit]]
+        lo, hi = np.searchsorted(seeds, h[hit], "left"), np.searchsorted(seeds, h[hit], "right")
+        total = np.append(0, np.cumsum(hi - lo))
+        need = np.ceil(items.n * threshold - 1 - 1e-9).clip(1) if not size else np.ones(len(items.n))
+        i = 0
+        while i < len(hit):  # whole documents with about _HITS hits at once
+            j = int(np.searchsorted(total, total[i] + _HITS, "right")) - 1
+            j = int(np.searchsorted(row, row[min(max(j, i), len(row) - 1)], "left"))
+            if j <= i:
+                j = int(np.searchsorted(row, row[i], "right"))
+            if total[-1] - total[i] <= _HITS:
+                j = len(hit)
+            c = (hi - lo)[i:j]
+            k = np.arange(int(c.sum())) + np.repeat(lo[i:j] - (total[i:j] - total[i]), c)
+            r, it, diag = np.repeat(row[i:j], c), item[k], np.repeat(at[i:j], c) - at_item[k]
+            order = np.lexsort((diag, it, r))
+            r, it, diag = r[order], it[order], diag[order]
+            group = np.cumsum(np.append(True, (r[1:] != r[:-1]) | (it[1:] != it[:-1])))
+            key = (group << 36) + diag + (1 << 30)
+            near = np.searchsorted(key, key + slack[it], "right") - np.arange(len(key))
+            take = near >= need[it]
+            r, it, diag, group = r[take], it[take], diag[take], group[take]
+            if len(r):
+                wide = items.n[it] + 2 * slack[it]
+                new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (np.diff(diag) > wide[1:])))
+                last = np.append(new[1:], len(r)) - 1
+                m = np.diff(first)[r[new]]
+                yield from zip(r[new].tolist(), it[new].tolist(), np.maximum(0, diag[new] - slack[it[new]]).tolist(),
+                               np.minimum(m, (diag + items.n[it] + slack[it])[last]).tolist(), strict=True)
+            i = j
+
+
+def _search(wh: np.ndarray, windows: list[tuple[int, int, int]], items: Items, threshold: float):
+    """Best passage of each item in one document, from windows (item, first
+    and last word)."""
     spots: dict[int, list[tuple[int, int]]] = {}
-    for item, at_item, at_doc in found:
-        n = len(items.words[item])
-        slack = n // 4 + 4
-        spots.setdefault(item, []).append((max(0, at_doc - at_item - slack),
-                                           min(len(wh), at_doc - at_item + n + slack)))
-    for item, windows in spots.items():
-        windows.sort()
-        merged = [list(windows[0])]
-        for a, b in windows[1:]:
-            if a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
+    for item, a, b in windows:
+        spots.setdefault(item, []).append((a, b))
+    for item, merged in spots.items():
         perfect = 2 * len(items.words[item])
         best = (0.0, 0, 0)
         for a, b in merged:
@@ -134,13 +188,8 @@ def _find(batches: Iterator[pa.RecordBatch], items: Items, threshold: float) ->
     for rows, buf, offs in pieces(batches):
         starts, ends, first, wh = _tokens(buf, offs)
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for size, (seeds, item, at_item) in items.seeds.items():
-            row, at, h = window_hashes(wh, first, size)
-            hit = _hits(h, seeds)
-            lo, hi = np.searchsorted(seeds, h[hit], "left"), np.searchsorted(seeds, h[hit], "right")
-            for r, p, a, b in zip(row[hit].tolist(), at[hit].tolist(), lo.tolist(), hi.tolist(), strict=True):
-                for k in range(a, b):
-                    found.setdefault(r, []).append((int(item[k]), int(at_item[k]), p - int(first[r])))
+        for r, item, a, b in _windows(wh, first, items, threshold):
+            found.setdefault(r, []).append((item, a, b))
         out: list[tuple] = []
         for r, hits in found.items():
             for item, score, i, j in _search(wh[first[r]:first[r + 1]], hits, items, threshold):

@@ -70,6 +70,30 @@ def test_widely_copied_edited_and_cut_passages_are_all_found(spark, rows):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, 1 + d // 1000) for d in range(2000)}
 
 
+def test_every_alignment_at_the_threshold_is_found():
+    items = decontam.Items(list(range(60)), [" ".join(text(rnd.randrange(4, 30))) for _ in range(60)])
+    docs = []
+    for words in [decontam.Items([0], [" ".join(text(120))]).words[0] for _ in range(60)]:
+        item, copy = items.words[rnd.randrange(60)], []
+        step, kind = rnd.randrange(1, 6), rnd.choice("rid")
+        for k, w in enumerate(item.tolist()):
+            if k % (step + 1) != step or kind == "i":
+                copy.append(w)
+            if k % (step + 1) == step and kind != "d":
+                copy.append(rnd.randrange(1 << 60))
+        docs.append(np.concatenate([words[:50], np.array(copy, np.uint64), words[50:]]))
+    first = np.append(0, np.cumsum([len(x) for x in docs]))
+    got = {r: [] for r in range(60)}
+    for r, item, a, b in decontam._windows(np.concatenate(docs), first, items, 0.5):
+        got[r].append((item, a, b))
+    hard = 0
+    for r, words in enumerate(docs):
+        want = {k for k, w in enumerate(items.words) if decontam.align(w, words)[0] >= len(w)}
+        hard += len(want)
+        assert {x[0] for x in decontam._search(words, got[r], items, 0.5)} == want
+    assert hard > 20
+
+
 def test_alignment_equals_the_full_table():
     for _ in range(60):
         a = np.array([rnd.randrange(6) for _ in range(rnd.randrange(1, 15))], np.uint64)
