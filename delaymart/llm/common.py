@@ -85,6 +85,10 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+def is_space(buf: np.ndarray) -> np.ndarray:
+    return _SPACE[buf]
+
+
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of each row: start and end byte of every
     word, and the index of each row's first word (one more than rows)."""

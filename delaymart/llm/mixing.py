@@ -39,11 +39,16 @@ BUCKETS = 4096
 ROUNDS = 3
 
 
-def word_count(text: Column) -> Column:
-    r"""Number of ``[^\x20\x09-\x0D]+`` in a text (null: 0): spaces are made
-    one kind, and a word starts where one ends and something else follows."""
+def split_words(text: Column) -> Column:
+    r"""The words ``[^\x20\x09-\x0D]+`` of a text: spaces are made one kind, and
+    a word starts where one ends and something else follows."""
     one = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.filter(F.split(one, " ", -1), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.filter(F.split(one, " ", -1), lambda w: w != "")
+
+
+def word_count(text: Column) -> Column:
+    """The number of words of a text (null: 0)."""
+    return F.coalesce(F.size(split_words(text)), F.lit(0)).cast("long")
 
 
 def uniform(id_col: Column, seed: str) -> Column:

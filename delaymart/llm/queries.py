@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from delaymart.llm.common import table
 from delaymart.llm.decontam import contaminated
 from delaymart.llm.exact import exact_dedup
+from delaymart.llm.filteraudit import audit_documents
 from delaymart.llm.licenses import licence_paragraphs
 from delaymart.llm.lines import near_lines
 from delaymart.llm.mixing import mix
 from delaymart.llm.neardup import near_duplicates
+from delaymart.llm.packing import pack
+from delaymart.llm.phrases import collocations
 from delaymart.llm.quality import classify
 from delaymart.llm.sharding import shard, text_key
 from delaymart.llm.substrings import repeated_spans
 from delaymart.llm.wrapper import main_text
 
 N_SHARDS = 40
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +86,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of all documents in token sequences of 2048."""
+    import public_tokenizers
+
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                      "sequence_id", "offset")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, in every order."""
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of 2 to 4 words of each language of all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -93,4 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_html_extraction": op10_html_extraction,
+    "op11_packing": op11_packing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_phrase_mining": op13_phrase_mining,
 }
