@@ -73,9 +73,12 @@ def test_a_long_text_is_encoded_in_blocks(rows, whole, monkeypatch):
     buf = np.frombuffer(words.encode(), np.uint8)
     ends = packing.blocks(buf, 100)
     assert ends[-1] == len(buf) and len(ends) > 20 and all(buf[e] == 32 for e in ends[:-1])
-    long = "lorem ipsum " * 200_000             # 2.4 MB, above two blocks
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 1 << 20)
+    long = "lorem ipsum " * 200_000             # 2.4 MB
     data = [(1, long), (2, "short"), (3, "y" * 2_200_000)]
     got = pack(rows(data, parts=1), PATH).collect()
+    for t in ("lorem ipsum " * 400_000, "y" * 5_000_000):      # above a block of the real size
+        assert sum(1 for _ in packing.blocks(np.frombuffer(t.encode(), np.uint8), 1 << 20)) == (5 if " " in t else 1)
     assert sum(r["length"] for r in got if r["doc_id"] == 1) == 200_000 * len(whole("lorem ipsum")) + 1
     one = sorted((r["start"], bytes(r["ids"])) for r in got if r["doc_id"] == 1)
     ids = np.frombuffer(b"".join(p for _, p in one), "<u4")
