@@ -37,8 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it
-    back: cuts the lineage and survives lost executors."""
+    back: cuts the lineage and survives lost executors. The shuffle files behind
+    it are not needed any more and go when the write is done."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = run_folder(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

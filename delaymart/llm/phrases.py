@@ -145,8 +145,8 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
             return _edges(it, width, turn, passes)
 
         rows = docs.mapInArrow(run, "lang string, phrase string, c long")
-        rows = rows.withColumn("node", first_words(F.col("phrase"), width - 1)).withColumn("done", F.lit(False))
-        rows = rows.repartition("lang", "node")
+        node = first_words(F.col("phrase"), width - 1)
+        rows = rows.repartition("lang", node).withColumn("node", node).withColumn("done", F.lit(False))
         for m in range(width, 1, -1):
             keys = ["lang", "node"] if m >= width - 1 else ["lang"]
             rows = _level(rows, keys, m, least).drop(*(["node"] if m == width - 1 else []))
