@@ -11,21 +11,22 @@ their Jaccard similarity is at least ``percent`` / 100.
    truncated level (base 1.001, a = 20, 16 bits). Registers of a union are the
    element-wise maxima, so sketches of parts merge.
 3. Bands of ``rows`` registers are the candidate keys. A linked pair that agrees
-   in no band has a chance of (1 - J^rows)^bands, below 1e-6 at the threshold.
-4. In each bucket all members are compared with a few pivots, never with each
-   other: at first with the smallest class. The similarity is first estimated
-   jointly from both sketches and set sizes by maximum likelihood; a pair is
-   passed on if the estimate is within ``SLACK`` (six standard errors) of the
-   threshold, and confirmed on the full sets. Confirmed links give components.
-5. A bucket whose members lie in several components goes on. Its outsiders, the
-   members outside its largest component, become pivots in turn, some each
-   round, and leave once they have met all other members. So every pair of
-   different components is compared (one of the two is an outsider), while in a
-   large group of copies, which soon is one component, almost nobody is. Before
-   that, members too many of whose shingles no other member has are let go:
-   their similarity to anyone is below the threshold, whatever the partner. If many
-   outsiders remain after some rounds, a bucket is divided by the members' other
-   bands, which thins out crowds that only share a passage.
+   in no band has a chance of (1 - J^rows)^bands, below 3e-6 at the threshold.
+4. In each bucket a member meets the first one of about its size, the pivot, and of
+   all its pivots only the most similar: the similarity is estimated jointly from
+   both sketches and set sizes by maximum likelihood; a pair is passed on if the
+   estimate is within ``SLACK`` (six standard errors) of the threshold, and
+   confirmed on the full sets, which are written once. Confirmed links give
+   components. A group of copies costs one comparison a member.
+5. Buckets whose members then lie in several components are settled exactly, by a
+   prefix filter over their members: two sets of similarity t share one of the
+   n - ceil(t n) + 1 rarest shingles of each. Rare counts are taken among these
+   members, so a crowd that only shares a passage has nothing in common there.
+   Members that share such a shingle meet unless they are of one component by now:
+   all at once where that is few, else the members outside the largest component in
+   turns, each leaving once it has met all others.
+   So no pair is given up, however large a bucket is, and no group of copies
+   meets itself.
 
 The result is one row per document. Documents with a null id take part and
 count for no component's smallest id; rows that share id and text are alike in
@@ -39,18 +40,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from delaymart.llm.common import (U64, cut, lowered, mix, pieces, small, sort_rows, window_hashes,
                                   with_row_id, word_hashes, words)
 from delaymart.llm.components import components
 
-REGISTERS = 180
+REGISTERS, JUDGED = 450, 180      # registers in all, and those an estimate reads
 BASE, RATE, LEVELS = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
-PIVOTS, PAIRS_OF_SMALL = 8, 512
-DIVIDE_AFTER, CROWD = 6, 256
+PIVOTS, PAIRS_OF_SMALL = 8, 1 << 14
 _BLOCK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(977))
 _MUL = _RNG.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -133,8 +133,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
             names=["n", "k1", "k2", "set"])
 
 
-def _levels(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _levels(col: pa.Array, n: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, n)
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -178,14 +178,14 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 2048):
             p = batch.slice(i, 2048)
             nu, nv = p.column(2).to_numpy(), p.column(3).to_numpy()
-            est = likelihood_jaccard(_levels(p.column(4)), _levels(p.column(5)), nu, nv)
+            est = likelihood_jaccard(_levels(p.column(4), JUDGED), _levels(p.column(5), JUDGED), nu, nv)
             yield pa.RecordBatch.from_arrays([*p.columns[:4], pa.array(est)], names=["u", "v", "nu", "nv", "est"])
 
 
 class NearDuplicates:
     """The search over one table; see the module's text for the steps."""
 
-    def __init__(self, docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 5):
+    def __init__(self, docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 7):
         self.docs, self.shingle, self.percent, self.rows = docs, shingle, percent, rows
 
     def sketches(self) -> DataFrame:
@@ -205,11 +205,14 @@ class NearDuplicates:
         return classes.select("cid", "n", "regs").mapInArrow(run, "key long, cid long, n long")
 
     def estimates(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        regs = classes.select("cid", "regs")
-        both = (pairs.join(regs.select(F.col("cid").alias("v"), F.col("regs").alias("rv")), "v")
-                .join(regs.select(F.col("cid").alias("u"), F.col("regs").alias("ru")), "u"))
-        return cut(both.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(
-            _estimate, "u long, v long, nu long, nv long, est double"), "estimates")
+        """(u, v, est) of the pairs (u, v) whose sizes allow the threshold."""
+        known = classes.select("cid", "n", F.substring("regs", 1, 2 * JUDGED).alias("regs"))
+        both = (pairs.join(known.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("regs").alias("rv")), "v")
+                .join(known.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("regs").alias("ru")), "u"))
+        both = both.where(100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv"))
+        est = both.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(
+            _estimate, "u long, v long, nu long, nv long, est double")
+        return cut(est.where(F.col("est") >= self.percent / 100 - SLACK).select("u", "v", "est"), "estimates")
 
     def full_sets(self, cids: DataFrame, classes: DataFrame) -> DataFrame:
         """(cid, n, set) of some classes, from their texts."""
@@ -221,76 +224,75 @@ class NearDuplicates:
         def run(it):
             return _full_sets(it, n)
 
+        # Every copy of a representative's id may give the set: one is taken.
         sets = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<long>")
-        return sets.join(wanted.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"]).select("cid", "n", "set")
-
-    def hopeless(self, active: DataFrame, classes: DataFrame) -> DataFrame:
-        """Members that share too few shingles with all others together to be
-        linked with any: n - own < threshold * n."""
-        sets = self.full_sets(active.select("cid").distinct(), classes)
-        single = (sets.select("cid", "n", F.explode("set").alias("s")).groupBy("s")
-                  .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cid", "n")).alias("m")).where("c = 1"))
-        own = single.groupBy("m.cid", "m.n").agg(F.count(F.lit(1)).alias("own"))
-        return own.where(100 * (F.col("n") - F.col("own")) < self.percent * F.col("n")).select("cid")
-
-    def confirm(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+        sets = sets.join(wanted.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"]).select("cid", "n", "set")
+        return cut(sets.dropDuplicates(["cid"]), "sets")
+
+    def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (u, v) whose full sets reach the threshold."""
-        sets = cut(self.full_sets(pairs.select(F.col("u").alias("cid")).unionByName(
-            pairs.select(F.col("v").alias("cid"))).distinct(), classes), "sets")
         left = sets.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("set").alias("sv"))
         right = sets.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("set").alias("su"))
         both = pairs.select("u", "v").join(left, "v").join(right, "u")
         common = F.size(F.array_intersect("su", "sv"))
-        return both.where(100 * common >= self.percent * (F.col("nu") + F.col("nv") - common)).select("u", "v")
-
-    def compare(self, pairs: DataFrame, classes: DataFrame, comp: DataFrame | None) -> DataFrame | None:
-        """The components with the links among ``pairs`` (u, v, nu, nv) added."""
-        fits = 100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv")
-        est = self.estimates(pairs.where(fits).distinct(), classes)
-        close = cut(est.where(F.col("est") >= self.percent / 100 - SLACK).select("u", "v"), "pairs")
-        if close.isEmpty():
-            return comp
-        links = cut(self.confirm(close, classes), "confirmed")
+        return cut(both.where(100 * common >= self.percent * (F.col("nu") + F.col("nv") - common)).select("u", "v"),
+                   "confirmed")
+
+    def join_up(self, links: DataFrame, comp: DataFrame | None) -> DataFrame | None:
+        """The components with the links added."""
         if links.isEmpty():
             return comp
         if comp is not None:
             links = links.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))
         return cut(components(links), "components")
 
+    def buckets(self, classes: DataFrame) -> DataFrame:
+        """(key, cid, n, pivot) of the members of buckets with more than one."""
+        about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.percent))).cast("int")
+        band = self.bands(classes).withColumn("about", about)
+        per = band.groupBy("key", "about").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("pivot"))
+        per = per.withColumn("all", F.sum("c").over(Window.partitionBy("key"))).where("all > 1")
+        return cut(band.join(per.select("key", "about", "pivot"), ["key", "about"]).select("key", "cid", "n", "pivot"),
+                   "buckets")
+
+    def prefixes(self, cids: DataFrame, sets: DataFrame) -> DataFrame:
+        """(key, cid, n): of each class the shingles that a linked one must share
+        one of, rarest first, without those that no other class has."""
+        rows = sets.join(cids, "cid").select("cid", "n", F.explode("set").alias("key"))
+        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        rows = rows.join(often, "key")
+        mine = Window.partitionBy("cid")
+        rows = rows.withColumns({"rank": F.row_number().over(mine.orderBy("c", "key")), "shared": F.count(F.lit(1)).over(mine)})
+        length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1
+        return cut(rows.where(F.col("rank") <= length - (F.col("n") - F.col("shared"))).select("key", "cid", "n"), "prefixes")
+
     def search(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """(sketches, classes, components of classes or None without links)."""
         rows = self.sketches()
         classes = cut(with_row_id(
             rows.where("n > 0").groupBy("n", "k1", "k2")
             .agg(F.min("id").alias("rep"), F.first("regs").alias("regs")), "cid"), "classes")
-        band = self.bands(classes)
-        keys = band.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cid", "n")).alias("p"))
-        first = cut(band.join(keys.where("c > 1").select("key", "p"), "key"), "buckets")
+        first = self.buckets(classes)
         if first.isEmpty():
             return rows, classes, None
-        others = first.where("cid > p.cid").select(F.col("p.cid").alias("u"), F.col("cid").alias("v"),
-                                                   F.col("p.n").alias("nu"), F.col("n").alias("nv"))
-        comp = self.compare(others, classes, None)
-        active = first.where("cid > p.cid").select("key", "cid", "n")
-        step = 0
+        sets = self.full_sets(first.select("cid").distinct(), classes)
+        pairs = first.where("cid > pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct()
+        best = self.estimates(pairs, classes).groupBy("v").agg(F.max(F.struct("est", "u")).alias("b"))
+        comp = self.join_up(self.confirm(best.select("b.u", "v"), sets), None)
+        active, _ = self._open(first.select("key", "cid", "n"), comp)
+        if active.isEmpty():
+            return rows, classes, comp
+        active = self.prefixes(active.select("cid").distinct(), sets)
         while True:
-            step += 1
             active, several = self._open(active, comp)
             if active.isEmpty():
                 return rows, classes, comp
-            if step == 1:
-                alone = cut(self.hopeless(active, classes), "hopeless")
-                active, several = self._open(active.join(alone, "cid", "left_anti"), comp)
-                if active.isEmpty():
-                    return rows, classes, comp
-            if step % DIVIDE_AFTER == 0 and not several.where(F.col("outside") > CROWD).isEmpty():
-                active, several = self._open(self._divide(active, several, classes), comp)
             pivots = cut(self._pivots(active, several), "pivots")
-            pairs = (active.join(pivots, "key").where("comp != comp_u")
-                     .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v"),
-                             F.when(F.col("u") < F.col("cid"), F.col("nu")).otherwise(F.col("n")).alias("nu"),
-                             F.when(F.col("u") < F.col("cid"), F.col("n")).otherwise(F.col("nu")).alias("nv")))
-            comp = self.compare(pairs, classes, comp)
+            pairs = (active.join(pivots, "key").where(
+                        (F.col("comp") != F.col("comp_u"))
+                        & (100 * F.least("n", "nu") >= self.percent * F.greatest("n", "nu")))
+                     .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v")).distinct())
+            comp = self.join_up(self.confirm(self.estimates(pairs, classes), sets), comp)
             done = pivots.select("key", F.col("u").alias("cid"))
             active = active.select("key", "cid", "n").join(done, ["key", "cid"], "left_anti")
 
@@ -322,20 +324,9 @@ class NearDuplicates:
         return (outside.join(least, "key").where((F.col("rank") == F.col("least")) | (F.col("rank") < part))
                 .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("comp_u")))
 
-    def _divide(self, active: DataFrame, several: DataFrame, classes: DataFrame) -> DataFrame:
-        """Crowded buckets' members by each of their other bands; the other buckets."""
-        crowded = several.where(F.col("outside") > CROWD).select("key")
-        crowd = active.join(crowded, "key", "left_semi").select("key", "cid", "n")
-        inside = crowd.select("cid").distinct()
-        band = self.bands(classes.join(inside, "cid", "left_semi")).select(
-            F.col("key").alias("other"), F.col("cid").alias("c"))
-        finer = (crowd.join(band, (F.col("cid") == F.col("c")) & (F.col("key") != F.col("other")))
-                 .select(F.xxhash64("key", "other").alias("key"), "cid", "n"))
-        return active.join(crowded, "key", "left_anti").select("key", "cid", "n").unionByName(finer)
-
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
-                    percent: int = 80, rows: int = 5) -> DataFrame:
+                    percent: int = 80, rows: int = 7) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows_, classes, comp = NearDuplicates(docs, shingle, percent, rows).search()

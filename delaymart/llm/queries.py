@@ -46,7 +46,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their near-duplicate component (5 words, 0.85)."""
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=85, rows=6)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, percent=85, rows=9)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,14 +69,14 @@ def check(df, data, percent, rows):
 
 def test_components_equal_all_pairs(rows):
     data = make()
-    check(rows(data), data, 85, 6)
+    check(rows(data), data, 85, 9)
 
 
-def test_long_crowds_are_divided(rows):
+def test_a_crowd_that_shares_a_passage(rows):
     base = text(60)
     data = [(i, " ".join(base + text(16))) for i in range(40)]
     data += [(100 + i, " ".join(edited(data[i][1].split(), 1))) for i in (3, 17)]
-    check(rows(data), data, 80, 5)
+    check(rows(data), data, 80, 7)
 
 
 def test_empty_table(rows):
@@ -95,8 +95,46 @@ def test_registers_merge_and_likelihood_estimates():
     assert abs(est - 0.5) < 0.15
 
 
-def test_divided_buckets_lose_no_link(rows, monkeypatch):
-    monkeypatch.setattr(neardup, "DIVIDE_AFTER", 1)
-    monkeypatch.setattr(neardup, "CROWD", 3)
+def test_pivots_in_turns_lose_no_link(rows, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS_OF_SMALL", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
     data = make()
-    check(rows(data), data, 85, 6)
+    check(rows(data), data, 85, 4)
+
+
+def test_prefixes_hold_a_shared_shingle_of_every_linked_pair(spark):
+    rng = random.Random(3)
+    sets = [set(rng.sample(range(60), 40)) for _ in range(80)]
+    sets += [set(rng.sample(sorted(s), 37)) | {100 + i} for i, s in enumerate(sets[:40])]
+    search = neardup.NearDuplicates(None, percent=70)
+    df = spark.createDataFrame([(i, len(s), sorted(s)) for i, s in enumerate(sets)], "cid long, n long, set array<long>")
+    keys = {}
+    for r in search.prefixes(df.select("cid"), df).collect():
+        keys.setdefault(r["cid"], set()).add(r["key"])
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 70 * len(a | sets[j]):
+                linked += 1
+                assert keys[i] & keys[j]
+    assert linked >= 40 and sum(map(len, keys.values())) < sum(map(len, sets)) / 2
+
+
+def test_thousands_of_unlinked_members_of_one_bucket(spark, monkeypatch):
+    """Texts that share half their words and a bucket: no member meets all others."""
+    base = text(60)
+    data = [(i, " ".join(base + [f"own{i}x{j}" for j in range(50)])) for i in range(5000)]
+    data += [(10_000 + i, data[i][1] + " end") for i in range(0, 5000, 500)]
+    met = []
+    estimates = neardup.NearDuplicates.estimates
+
+    def see(self, pairs, classes):
+        met.append(pairs.count())
+        return estimates(self, pairs, classes)
+    monkeypatch.setattr(neardup.NearDuplicates, "estimates", see)
+    # Bands of one register put all of them into common buckets.
+    monkeypatch.setattr(neardup, "REGISTERS", 180)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, percent=80, rows=4).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in data}
+    assert sum(met) < 20 * len(data), met
