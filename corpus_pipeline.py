@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (similarity 0.8) one row with the smallest
     id stays (null after all others), of repeated rows without words one does."""
     rows = cut(with_row_id(docs), "rows")
-    found = near_duplicates(rows, id_col="__row", percent=80, rows=5).select(
+    found = near_duplicates(rows, id_col="__row", percent=80, rows=7).select(
         "__row", F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("__group"))
     found = found.join(rows.select("__row", F.col("doc_id").alias("__id"), F.sha2("text", 256).alias("__sha")), "__row")
     bare = F.col("__group").isNull()
