@@ -283,6 +283,33 @@ SELECT {SILVER_COLS} FROM (
     "eda_overall": (["silver"], _profile([])),
     "eda_yearly": (["silver"], _profile(["YEAR"])),
     "eda_monthly": (["silver"], _profile(["YEAR", "MONTH"])),
+    "snapshot_previous": (["silver"], _profile(["YEAR", "MONTH"])),
+    "eda_yearly_from_cells": (["silver"], f"SELECT * EXCLUDE (avg_delay_min_median) FROM ({_profile(['YEAR'])})"),
+    "sketch_quantiles_rank": (["silver"], """
+SELECT AIRPORT, count(*) AS n_values, true AS p50_near, true AS p95_near, true AS p99_near
+FROM silver WHERE AVG_ARR_DELAY_MIN IS NOT NULL GROUP BY AIRPORT"""),
+    "days_per_year_merged": (["silver"], """
+SELECT AIRPORT, YEAR, count(*) FILTER (MONTH <= 8) + count(*) FILTER (MONTH >= 5) AS rows, count(DISTINCT DATE) AS unique_days
+FROM silver WHERE YEAR IS NOT NULL GROUP BY AIRPORT, YEAR"""),
+    "data_range_merged": (["silver"], """
+SELECT AIRPORT, min(DATE) AS min_date, max(DATE) AS max_date,
+  count(*) FILTER (MONTH <= 8) + count(*) FILTER (MONTH >= 5) AS days_count,
+  count(DISTINCT DATE) AS unique_days, count(DISTINCT YEAR) AS years_count
+FROM silver WHERE YEAR IS NOT NULL GROUP BY AIRPORT"""),
+    "silver_upsert": (["silver"], """
+SELECT * REPLACE (
+  CASE WHEN day(DATE) % 7 = 0 THEN ARR_TOTAL_FLIGHTS * 10 ELSE ARR_TOTAL_FLIGHTS END AS ARR_TOTAL_FLIGHTS,
+  CASE WHEN day(DATE) % 7 <> 0 THEN AVG_ARR_DELAY_MIN
+       WHEN ARR_TOTAL_FLIGHTS * 10 > 0 AND TOTAL_DELAY_MIN IS NOT NULL THEN TOTAL_DELAY_MIN / (ARR_TOTAL_FLIGHTS * 10)
+  END AS AVG_ARR_DELAY_MIN)
+FROM silver"""),
+    "bronze_quarantine": (["bronze"], "SELECT * FROM bronze WHERE coalesce(substr(FLT_DATE, 9, 2) <> '13', true)"),
+    "bronze_rejects": (["bronze"], f"""
+SELECT CASE WHEN CAST(substr(FLT_DATE, 6, 2) AS INTEGER) % 2 = 1
+            THEN coalesce(APT_ICAO, '') || ',' || coalesce(FLT_DATE, '') || ',' || coalesce(FLT_ARR_1, '')
+            ELSE {" || ',' || ".join(f"coalesce({c}, '')" for c in ["APT_ICAO", "FLT_DATE", "FLT_ARR_1", "FLT_ARR_1_DLY", "FLT_ARR_1_DLY_15", *CAUSES, TOTAL])} || ',x'
+       END AS line, true AS from_torn
+FROM bronze WHERE substr(FLT_DATE, 9, 2) = '13'"""),
     "eda_weekday": (["silver"], """
 SELECT DOW, count(*) AS days_count, round(avg(ARR_TOTAL_FLIGHTS), 6) AS arrivals_avg_per_day,
   round(avg(AVG_ARR_DELAY_MIN), 6) AS avg_delay_min_mean,
@@ -432,9 +459,9 @@ SELECT {SILVER_COLS} FROM (
     "anomaly_thresholds_compat_rank": (["silver"], """
 SELECT AIRPORT, true AS p95_near, true AS p99_near FROM silver WHERE AVG_ARR_DELAY_MIN IS NOT NULL GROUP BY AIRPORT"""),
     "model_predictions_checked": (["stubp"], """
-SELECT AIRPORT, DATE, YEAR, MONTH, AVG_ARR_DELAY_MIN, true AS in_range FROM stubp WHERE is_test"""),
+SELECT AIRPORT, DATE, YEAR, MONTH, AVG_ARR_DELAY_MIN, true AS agrees FROM stubp WHERE is_test"""),
     "model_predictions_full_checked": (["stubp"], """
-SELECT AIRPORT, DATE, YEAR, MONTH, AVG_ARR_DELAY_MIN, true AS in_range FROM stubp"""),
+SELECT AIRPORT, DATE, YEAR, MONTH, AVG_ARR_DELAY_MIN, true AS agrees FROM stubp"""),
     "model_metrics_checked": (["plan"], """
 SELECT AIRPORT, metric, CASE WHEN metric = 'SPLIT_MODE' THEN split_mode ELSE '' END AS info, true AS agrees
 FROM plan, (VALUES ('RMSE'), ('R2'), ('SPLIT_MODE')) m(metric)"""),
@@ -453,14 +480,14 @@ FROM split s, (
   FROM (SELECT * FROM split WHERE NOT is_test) t, (SELECT unnest(range(1, 12)) AS cut) c
   GROUP BY c.cut ORDER BY sse, c.cut LIMIT 1) b"""),
     "feature_importance_checked": ([], f"""
-SELECT feature, true AS in_range, true AS sums_agree
+SELECT feature, true AS agrees, true AS percent_agrees
 FROM (VALUES {", ".join(f"('{c}')" for c in FEATURES)}) f(feature)"""),
     "importance_reports_checked": ([], f"""
 SELECT CAST(15 AS BIGINT) AS n_chart, CAST({len(FEATURES)} AS BIGINT) AS n_report, true AS top_is_first"""),
     "model_roundtrip": (["feat"], f"""
 SELECT AIRPORT, DATE, true AS same, {len(FEATURES)} AS n_inputs FROM feat"""),
     "forecast_checked": (["fut"], """
-SELECT AIRPORT, DATE, YEAR, MONTH, DOW, true AS in_range, true AS month_agrees FROM fut"""),
+SELECT AIRPORT, DATE, YEAR, MONTH, DOW, true AS agrees, true AS month_agrees FROM fut"""),
     "chart_top_causes": (["crank"], """
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY airport ORDER BY total_minutes DESC NULLS LAST,
@@ -504,7 +531,8 @@ ON_SUPPLIERS = ("silver_partition_roundtrip", "safe_numeric_cast", "parse_dual_t
                 "causes_long", "anomaly_thresholds", "anomaly_severity", "top_avg_delay", "top_total_delay",
                 "anomalies", "report_anomalies_top", "report_anomalies_monthly", "feature_table", "split_mode",
                 "stub_predictions_full", "validation_daily", "join_coverage",
-                "regression_metrics", "global_means", "forecast_inputs", "forecast_monthly_stub")
+                "regression_metrics", "global_means", "forecast_inputs", "forecast_monthly_stub",
+                "sketch_quantiles_rank", "days_per_year_merged", "data_range_merged")
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,11 +15,12 @@ from delaymart.operators.silver import silver_frame
 from delaymart.sources.bronze import bronze_header
 
 
-def bronze_stream(spark: SparkSession, bronze_dir: str) -> DataFrame:
+def bronze_stream(spark: SparkSession, bronze_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """File-source stream over the Bronze CSV tree (text columns)."""
     cols = bronze_header(spark, bronze_dir)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-    return (spark.readStream.schema(schema)
+    limit = {"maxFilesPerTrigger": files_per_batch} if files_per_batch else {}
+    return (spark.readStream.schema(schema).options(**limit)
             .option("header", True)
             .option("recursiveFileLookup", True)
             .option("enforceSchema", False)
