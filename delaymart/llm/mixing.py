@@ -13,18 +13,19 @@ u / (1 - u) divided by their inclusion odds f / (1 - f), times a document
 weight where one is given (Pareto order sampling), and taken in that order
 until the words left are used up: a sample of fixed size in words. A document
 too large for what is left is passed over; then the order is run through again
-for what is left, among documents that still fit, ``rounds`` times in all.
-
-Scale: all work is on (id, source, size, rank) rows. The order is cut into
-``BUCKETS`` slices per source and summed there first (partial aggregation), so
-that only the slice in which a source's budget runs out is ever sorted: a
-source with a third of all rows needs no task for itself. What is selected is
-described by one small row per source and round.
-
-Reruns agree: the random numbers are hashes of the id. Defined cases: null text
-has size 0 and is never taken; null source is a source of its own; rows with
-the same id and source share their rank and are taken or left together; a
-source of size 0 has target 0; an empty table gives no rows.
+for what is left, among documents that still fit, until none does.
+
+Scale: all work is on (row, id, source, size, rank) rows. The order is cut into
+slices of about ``SLICE`` rows per source and summed there first (partial
+aggregation), so that only the slice in which a source's budget runs out is ever
+sorted: a source with a third of all rows needs no task for itself. What is
+selected is described by one small row per source and round.
+
+Reruns agree: the random numbers are hashes of the id, or of a written row number
+where the id is null; rows with the same id share their rank, and their row numbers
+order them. Defined cases: null text has size 0 and is never taken; null source is a
+source of its own; rows with a null or the same id are taken one by one; a source of
+size 0 has target 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from delaymart.llm.common import cut
+from delaymart.llm.common import cut, with_row_id
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 4096
-ROUNDS = 3
+SLICE, LEAST_SLICES = 4096, 4096
 
 
 def split_words(text: Column) -> Column:
@@ -60,8 +60,10 @@ def uniform(id_col: Column, seed: str) -> Column:
 
 def targets(sizes: DataFrame, share: float = 1.5, max_copies: int = 2,
             weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): one row per
-    source, so the unpartitioned windows here run over that many rows."""
+    """(source, source_size, target) and any further columns from (source,
+    source_size, ...): one row per source, so the unpartitioned windows here run
+    over that many rows."""
+    more = [c for c in sizes.columns if c not in ("source", "source_size")]
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     every = Window.partitionBy(F.lit(0))
     w = F.element_at(F.array(*map(F.lit, weights)),
@@ -78,7 +80,7 @@ def targets(sizes: DataFrame, share: float = 1.5, max_copies: int = 2,
     free = F.min(F.when(~F.col("capped"), F.struct((F.col("cap") / F.col("w")).alias("o"), "level"))).over(every)
     return src.select("source", "source_size",
                       F.when(F.col("capped"), F.col("cap"))
-                      .otherwise(F.col("w") * free["level"]).alias("target"))
+                      .otherwise(F.col("w") * free["level"]).alias("target"), *more)
 
 
 def _chosen(n: int) -> Column:
@@ -92,11 +94,9 @@ def _chosen(n: int) -> Column:
 
 def _round(rows: DataFrame, plan: DataFrame, k: int) -> DataFrame:
     """Add round k's budget (``left``) and last taken (rank, tie) to the plan."""
-    if k == 0:
-        plan = plan.withColumn("left0", F.col("budget"))
     cand = rows.join(plan, F.col("source").eqNullSafe(F.col("source_")))
     cand = cand.where((F.col("size") > 0) & (F.col("size") <= F.col(f"left{k}")) & ~_chosen(k))
-    slot = F.floor(F.col("rank") * BUCKETS).cast("int")
+    slot = F.floor(F.col("rank") * F.col("slices")).cast("long")
     sums = cand.groupBy("source_", slot.alias("slot")).agg(F.sum("size").alias("s"))
     run = Window.partitionBy("source_").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(run), F.lit(0)))
@@ -106,17 +106,16 @@ def _round(rows: DataFrame, plan: DataFrame, k: int) -> DataFrame:
             .groupBy("source_").agg(F.max(F.struct("slot", "before")).alias("e"))
             .select(F.col("source_").alias("edge_source"), "e.*"))
     fine = (cand.join(edge, F.col("source_").eqNullSafe(F.col("edge_source")) & (slot == F.col("slot")))
-            .groupBy("source_", "rank", "tie").agg(F.sum("size").alias("s"), F.max("before").alias("before"),
-                                                   F.max(f"left{k}").alias("room")))
-    order = Window.partitionBy("source_").orderBy("rank", "tie")
-    fine = (fine.withColumn("upto", F.col("before") + F.sum("s").over(order))
+            .select("source_", "rank", "tie", "size", "before", F.col(f"left{k}").alias("room")))
+    order = Window.partitionBy("source_").orderBy("rank", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    fine = (fine.withColumn("upto", F.col("before") + F.sum("size").over(order))
             .where(F.col("upto") <= F.col("room"))
             .groupBy("source_").agg(F.max(F.struct("rank", "tie", "upto")).alias("end")))
     ends = (edge.join(fine, F.col("edge_source").eqNullSafe(F.col("source_")), "left")
             .select("edge_source", "end", "slot", "before"))
     last = F.when(F.col("end").isNotNull(), F.struct(F.col("end.rank").alias("rank"),
                                                      F.col("end.tie").alias("tie"))).otherwise(
-        F.struct((F.col("slot") / F.lit(float(BUCKETS))).alias("rank"), F.lit(None).cast("long").alias("tie")))
+        F.struct((F.col("slot") / F.col("slices")).alias("rank"), F.lit(None).cast("long").alias("tie")))
     out = plan.join(ends, F.col("source_").eqNullSafe(F.col("edge_source")), "left")
     used = F.coalesce(F.col("end.upto"), F.col("before").cast("double"), F.lit(0.0))
     return cut(out.select(*plan.columns,
@@ -127,32 +126,42 @@ def _round(rows: DataFrame, plan: DataFrame, k: int) -> DataFrame:
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         size: Column | None = None, share: float = 1.5, max_copies: int = 2,
         weights: tuple[int, ...] = WEIGHTS, weight: Column | None = None,
-        seed: str = "mix", rounds: int = ROUNDS) -> DataFrame:
+        seed: str = "mix", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, copies,
-    taken (= copies * size). ``weight`` multiplies a document's inclusion odds."""
+    taken (= copies * size). ``weight`` multiplies a document's inclusion odds.
+    ``row_col``: a column of unique longs, carried along; else one is made."""
     size = word_count(F.col("text")) if size is None else size
     weight = F.lit(1.0) if weight is None else weight.cast("double")
-    rows = cut(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                         size.cast("long").alias("size"), weight.alias("weight"),
-                         uniform(F.col(id_col), seed).alias("u")), "mix-sizes")
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
+                     size.cast("long").alias("size"), weight.alias("weight"),
+                     *([F.col(row_col).cast("long").alias("tie")] if row_col else []))
+    rows = rows if row_col else with_row_id(rows, "tie")
+    name = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("row "), F.col("tie").cast("string")))
+    rows = cut(rows.withColumn("u", uniform(name, seed)), "mix-sizes")
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = targets(per, share, max_copies, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate).cast("long")
+    # A power of two, so that a slice's first rank is exact.
+    slices = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("n") / SLICE, F.lit(float(LEAST_SLICES))))))
     plan = cut(plan.select(F.col("source").alias("source_"), "source_size", "target",
-                           whole.alias("whole"), (rate - whole).alias("f"),
-                           (F.col("target") - whole * F.col("source_size")).alias("budget")), "mix-targets")
+                           whole.alias("whole"), (rate - whole).alias("f"), slices.alias("slices"),
+                           (F.col("target") - whole * F.col("source_size")).alias("left0")), "mix-targets")
     odds = F.col("f") / (F.lit(1.0) - F.col("f")) * F.col("weight")
     q = F.col("u") / (F.lit(1.0) - F.col("u")) / odds
     ranked = rows.join(plan.select("source_", "f"), F.col("source").eqNullSafe(F.col("source_"))).select(
-        "id", "source", "size",
-        F.when(odds > 0, q / (F.lit(1.0) + q)).otherwise(F.lit(1.0)).alias("rank"),
-        F.coalesce(F.xxhash64("id"), F.lit(0)).alias("tie"))
+        "id", "source", "size", "tie",
+        F.when(odds > 0, q / (F.lit(1.0) + q)).otherwise(F.lit(1.0)).alias("rank"))
     ranked = cut(ranked, "mix-ranks")
-    for k in range(rounds):
-        plan = _round(ranked, plan, k)
+    rounds = 0
+    while True:     # what is left of a budget falls fast: a round ends at a document above it
+        plan = _round(ranked, plan, rounds)
+        rounds += 1
+        if plan.where(F.col(f"left{rounds}") < F.col(f"left{rounds - 1}")).isEmpty():
+            break
     out = ranked.join(plan, F.col("source").eqNullSafe(F.col("source_")))
     copies = F.col("whole") + F.when((F.col("size") > 0) & _chosen(rounds), 1).otherwise(0)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size",
                       "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies"),
+                      *([F.col("tie").alias(row_col)] if row_col else []),
                       ).withColumn("taken", F.col("copies") * F.col("size"))

@@ -64,6 +64,8 @@ FROM f LEFT JOIN b ON f.w = b.w
 # The plain form of mixing.py: the same ranks over whole sources. ``level`` is
 # the water-filling level; a round takes the longest prefix, in rank order, of
 # the rows that are not taken yet and fit into what is left.
+# Rounds in which nothing fits any more change nothing.
+_ROUNDS = 16
 _ROUND = """
 c{k} AS (
   SELECT c.*, room{k} - coalesce(max(CASE WHEN fits AND upto <= room{k} THEN upto END)
@@ -71,7 +73,7 @@ c{k} AS (
          took OR coalesce(fits AND upto <= room{k}, false) AS took_
   FROM (SELECT *, NOT took AND size > 0 AND size <= room{k} AS fits,
                sum(CASE WHEN NOT took AND size > 0 AND size <= room{k} THEN size END)
-                 OVER (PARTITION BY source ORDER BY rank, doc_id) AS upto
+                 OVER (PARTITION BY source ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS upto
         FROM {prev}) c),
 d{k} AS (SELECT doc_id, source, size, source_size, target, rate, rank, room{j}, took_ AS took FROM c{k})"""
 
@@ -95,10 +97,10 @@ q AS (SELECT *, u / (1.0::DOUBLE - u) / (f / (1.0::DOUBLE - f)) AS q FROM u),
 d AS (SELECT doc_id, source, size, source_size, target, rate,
              CASE WHEN f > 0 THEN q / (1.0::DOUBLE + q) ELSE 1.0 END AS rank,
              target - floor(rate) * source_size AS room0, false AS took FROM q),
-{",".join(_ROUND.format(k=k, j=k + 1, prev="d" if k == 0 else f"d{k - 1}") for k in range(3))}
+{",".join(_ROUND.format(k=k, j=k + 1, prev="d" if k == 0 else f"d{k - 1}") for k in range(_ROUNDS))}
 SELECT doc_id, size, source_size, target,
        (CASE WHEN size > 0 THEN floor(rate)::BIGINT + took::BIGINT ELSE 0 END * size)::BIGINT AS taken
-FROM d2
+FROM d{_ROUNDS - 1}
 """
 
 # The filters are applied to every order's prefixes as sets, cell by cell.

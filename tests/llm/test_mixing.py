@@ -43,6 +43,30 @@ def test_targets_and_words_taken(rows):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_rows_without_ids_are_taken_one_by_one(rows):
+    """Target 34000 words; null ids as some and as all of a source's rows, and one id."""
+    for ids in ([None] * 1000 + list(range(300)), [None] * 1300, [7] * 1300):
+        data = [(i, "w " * 20, "c") for i in ids]
+        got = mix(rows(data), share=34_000 / 26_000).collect()
+        assert len(got) == 1300 and abs(sum(r["taken"] for r in got) - 34_000) < 20
+
+
+def test_a_budget_is_filled_until_nothing_fits(rows):
+    """Long documents early in the order leave room for short ones, round by round."""
+    data = [(i, "w " * n, "a") for i, n in enumerate([400, 390, 380, 200, 190, 90, 80, 40, 20, 10, 5, 3, 2, 1, 1, 1] * 3)]
+    got = mix(rows(data), share=0.47).collect()
+    left = got[0]["target"] - sum(r["taken"] for r in got)
+    assert 0 <= left < min(r["size"] for r in got if not r["copies"])
+
+
+def test_rows_carry_their_number(rows):
+    from pyspark.sql import functions as F
+    df = rows([(1, "w " * 10, "a"), (1, "w " * 4000, "a"), (1, None, "a"), (None, "w", "a")]).withColumn(
+        "at", F.monotonically_increasing_id())
+    got = mix(df, row_col="at").collect()
+    assert len({r["at"] for r in got}) == 4 and [r["copies"] for r in got if not r["size"]] == [0]
+
+
 def test_weights_raise_the_odds(rows):
     from pyspark.sql import functions as F
     data = [(i, "w w w w", "a") for i in range(400)]
