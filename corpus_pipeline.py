@@ -54,11 +54,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: never, once or twice."""
-    taken = mix(docs).where("copies > 0").groupBy(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").cast("int").alias("__copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))
-                     & F.col("source").eqNullSafe(F.col("__source")))
+    """Each document as many times as the mix takes it: never, once or twice. Decided
+    by row, so rows that share an id, or have none, are taken each on its own."""
+    rows = cut(with_row_id(docs), "rows")
+    taken = mix(rows, row_col="__row").where("copies > 0").select("__row", F.col("copies").cast("int").alias("__copies"))
+    rows = rows.join(taken, "__row")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
