@@ -70,29 +70,30 @@ def piece_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, piece, row
 
 
-def longest_phrases(buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def longest_phrases(buf: np.ndarray, offs: np.ndarray, width: int, turn: int = 0,
+                    passes: int = 1) -> tuple[pa.Array, np.ndarray]:
     """The phrase of up to ``width`` words that begins at each word (words joined by
-    one space), its row, and hashes of its first and second word (0: none)."""
+    one space) and its row, of the words whose first pair falls to this pass."""
     buf = lowered(buf)
     starts, ends, piece, row = piece_words(buf, offs)
-    n = len(starts)
+    last = np.searchsorted(piece, piece, "right") - 1
+    at = np.arange(len(starts))
+    if passes > 1:
+        h = word_hashes(buf, starts, ends)
+        second = np.where(last > at, np.append(h[1:], U64(0)), U64(0))
+        at = np.flatnonzero(mix(h + second * U64(3)) % U64(passes) == U64(turn))
     # The words once more, each followed by one space, so that a phrase is a slice.
     lens = ends - starts + 1
     begin = np.cumsum(lens) - lens
     total = int(lens.sum())
     flat = buf[np.minimum(np.arange(total) + np.repeat(starts - begin, lens), max(len(buf) - 1, 0))]
     flat[begin + lens - 1] = 32
-    last = np.searchsorted(piece, piece, "right") - 1
-    to = np.minimum(np.arange(n) + width - 1, last)
-    size = begin[to] + lens[to] - 1 - begin
+    to = np.minimum(at + width - 1, last[at])
+    size = begin[to] + lens[to] - 1 - begin[at]
     upto = np.append(0, np.cumsum(size))
-    data = flat[np.arange(int(upto[-1])) + np.repeat(begin - upto[:-1], size)]
-    grams = pa.LargeStringArray.from_buffers(n, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data))
-    h = word_hashes(buf, starts, ends)
-    second = np.zeros(n, U64)
-    more = np.flatnonzero(to > np.arange(n))
-    second[more] = h[more + 1]
-    return grams, row, h, second
+    data = flat[np.arange(int(upto[-1])) + np.repeat(begin[at] - upto[:-1], size)]
+    grams = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data))
+    return grams, row[at]
 
 
 def _edges(batches: Iterator[pa.RecordBatch], width: int, turn: int, passes: int) -> Iterator[pa.RecordBatch]:
@@ -100,11 +101,9 @@ def _edges(batches: Iterator[pa.RecordBatch], width: int, turn: int, passes: int
     for rows, buf, offs in pieces(batches, max_bytes=4 << 20):
         if not len(buf):
             continue
-        grams, row, h1, h2 = longest_phrases(buf, offs, width)
-        mine = np.flatnonzero(mix(h1 + h2 * U64(3)) % U64(passes) == U64(turn))
+        grams, row = longest_phrases(buf, offs, width, turn, passes)
         langs = rows.column(0).fill_null("und").dictionary_encode()
-        code = langs.indices.to_numpy()[row[mine]]
-        found = pa.table({"lang": pa.array(code), "phrase": grams.take(pa.array(mine))})
+        found = pa.table({"lang": pa.array(langs.indices.to_numpy()[row]), "phrase": grams})
         found = found.group_by(["lang", "phrase"], use_threads=False).aggregate([([], "count_all")])
         out = pa.table({"lang": langs.dictionary.take(found["lang"].combine_chunks()),
                         "phrase": found["phrase"].cast(pa.string()), "c": found["count_all"]})
