@@ -106,3 +106,13 @@ def test_rows_of_null_or_repeated_ids_are_judged_one_by_one(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
     docs = spark.createDataFrame([(None, item), (None, b), (7, c), (7, item)], "doc_id long, text string")
     assert sorted(map(tuple, cp.decontaminate(spark, docs, SF).collect()), key=str) == [(7, c), (None, b)]
+
+
+def test_rows_of_one_id_are_mixed_on_their_own(spark, rows):
+    import corpus_pipeline
+    data = [(1, "w " * 10, "c"), (1, "w " * 4000, "c"), (1, "", "c"), (None, "w " * 10, "c"), (None, None, "c"), (2, "v " * 300, "c")]
+    df = rows(data)
+    got = corpus_pipeline.mix_sources(spark, df, "").collect()
+    sizes = sorted(len((r["text"] or "").split()) for r in got)
+    assert 0 not in sizes and all(sizes.count(n) <= 4 for n in sizes) and sizes.count(4000) <= 2 and sizes.count(300) <= 2
+    assert abs(sum(sizes) - 1.5 * 4320) <= 4000 and set(got[0].asDict()) == set(df.columns)
