@@ -34,7 +34,7 @@ def test_families_and_clean_lines(rows):
     assert licenses.licence_paragraphs(rows([])).collect() == []
 
 
-def test_held_out_templates_and_the_bound():
+def test_training_templates_and_the_bound():
     model = licenses.LicenceModel([text(25) for _ in range(300)])
     lines = [f"{p.format(n)} {text(3)}" for f, names in licenses.NAMES.items() for n in names
              for p in licenses.PHRASES[:4]] + [text(30) for _ in range(300)]
