@@ -20,8 +20,10 @@ their Jaccard similarity is at least ``percent`` / 100.
    components. A group of copies costs one comparison a member.
 5. Buckets whose members then lie in several components are settled exactly, by a
    prefix filter over their members: two sets of similarity t share one of the
-   n - ceil(t n) + 1 rarest shingles of each. Rare counts are taken among these
-   members, so a crowd that only shares a passage has nothing in common there.
+   n - ceil(t n) + 1 rarest shingles of each, and after the first of them both
+   have enough shingles left to make up the rest of the overlap. Rare counts are
+   taken among these members, so a crowd that only shares a passage has nothing in
+   common there.
    Members that share such a shingle meet unless they are of one component by now:
    all at once where that is few, else the members outside the largest component in
    turns, each leaving once it has met all others.
@@ -204,36 +206,46 @@ class NearDuplicates:
 
         return classes.select("cid", "n", "regs").mapInArrow(run, "key long, cid long, n long")
 
-    def estimates(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def members(self, cids: DataFrame, count: int, classes: DataFrame) -> DataFrame:
+        """(cid, n, regs) of some classes, with the registers an estimate reads."""
+        known = classes.join(small(cids, count, 16), "cid", "left_semi")
+        return cut(known.select("cid", "n", F.substring("regs", 1, 2 * JUDGED).alias("regs")), "members")
+
+    @staticmethod
+    def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Those of the rows whose class is in one of the written pairs."""
+        cids = cut(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "in-pairs")
+        return rows.join(small(cids, cids.count(), 16), "cid", "left_semi")
+
+    def estimates(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """(u, v, est) of the pairs (u, v) whose sizes allow the threshold."""
-        known = classes.select("cid", "n", F.substring("regs", 1, 2 * JUDGED).alias("regs"))
-        both = (pairs.join(known.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("regs").alias("rv")), "v")
-                .join(known.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("regs").alias("ru")), "u"))
+        both = (pairs.join(members.toDF("v", "nv", "rv"), "v").join(members.toDF("u", "nu", "ru"), "u"))
         both = both.where(100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv"))
         est = both.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(
             _estimate, "u long, v long, nu long, nv long, est double")
         return cut(est.where(F.col("est") >= self.percent / 100 - SLACK).select("u", "v", "est"), "estimates")
 
-    def full_sets(self, cids: DataFrame, classes: DataFrame) -> DataFrame:
+    def full_sets(self, cids: DataFrame, count: int, classes: DataFrame) -> DataFrame:
         """(cid, n, set) of some classes, from their texts."""
         n = self.shingle
-        wanted = cut(cids.join(classes.select("cid", "rep", "n", "k1", "k2"), "cid"), "wanted")
+        wanted = cut(classes.select("cid", "rep", "n", "k1", "k2").join(small(cids, count, 16), "cid", "left_semi"),
+                     "wanted")
         ids = wanted.select(F.col("rep")).distinct()
-        texts = self.docs.join(small(ids, wanted.count(), 32), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+        texts = self.docs.join(small(ids, count, 32), F.col("id").eqNullSafe(F.col("rep")), "left_semi")
 
         def run(it):
             return _full_sets(it, n)
 
         # Every copy of a representative's id may give the set: one is taken.
         sets = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<long>")
-        sets = sets.join(wanted.select("cid", "n", "k1", "k2"), ["n", "k1", "k2"]).select("cid", "n", "set")
+        keys = small(wanted.select("cid", "n", "k1", "k2"), count, 48)
+        sets = sets.join(keys, ["n", "k1", "k2"]).select("cid", "n", "set")
         return cut(sets.dropDuplicates(["cid"]), "sets")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose full sets reach the threshold."""
-        left = sets.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("set").alias("sv"))
-        right = sets.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("set").alias("su"))
-        both = pairs.select("u", "v").join(left, "v").join(right, "u")
+        """The written pairs (u, v) whose full sets reach the threshold."""
+        sets = self._of(pairs, sets.select("cid", "n", "set"))
+        both = pairs.select("u", "v").join(sets.toDF("v", "nv", "sv"), "v").join(sets.toDF("u", "nu", "su"), "u")
         common = F.size(F.array_intersect("su", "sv"))
         return cut(both.where(100 * common >= self.percent * (F.col("nu") + F.col("nv") - common)).select("u", "v"),
                    "confirmed")
@@ -247,24 +259,27 @@ class NearDuplicates:
         return cut(components(links), "components")
 
     def buckets(self, classes: DataFrame) -> DataFrame:
-        """(key, cid, n, pivot) of the members of buckets with more than one."""
+        """(key, cid, n, pivot) of the members of buckets with more than one. The
+        first pass shuffles keys only; few rows are left for the second."""
         about = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.percent))).cast("int")
-        band = self.bands(classes).withColumn("about", about)
-        per = band.groupBy("key", "about").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("pivot"))
-        per = per.withColumn("all", F.sum("c").over(Window.partitionBy("key"))).where("all > 1")
-        return cut(band.join(per.select("key", "about", "pivot"), ["key", "about"]).select("key", "cid", "n", "pivot"),
-                   "buckets")
+        band = self.bands(classes)
+        keys = cut(band.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared-keys")
+        band = cut(band.join(small(keys, keys.count(), 16), "key", "left_semi").withColumn("about", about), "shared")
+        per = band.groupBy("key", "about").agg(F.min("cid").alias("pivot"))
+        return cut(band.join(per, ["key", "about"]).select("key", "cid", "n", "pivot"), "buckets")
 
     def prefixes(self, cids: DataFrame, sets: DataFrame) -> DataFrame:
-        """(key, cid, n): of each class the shingles that a linked one must share
-        one of, rarest first, without those that no other class has."""
+        """(key, cid, n, left): of each class the shingles that a linked one must share
+        one of, rarest first, without those that no other class has, each with the
+        number of shingles from it on."""
         rows = sets.join(cids, "cid").select("cid", "n", F.explode("set").alias("key"))
-        often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        rows = rows.join(often, "key")
+        often = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
+        rows = rows.join(small(often, often.count(), 24), "key")
         mine = Window.partitionBy("cid")
         rows = rows.withColumns({"rank": F.row_number().over(mine.orderBy("c", "key")), "shared": F.count(F.lit(1)).over(mine)})
+        rows = rows.withColumn("left", F.col("shared") - F.col("rank") + 1)
         length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1
-        return cut(rows.where(F.col("rank") <= length - (F.col("n") - F.col("shared"))).select("key", "cid", "n"), "prefixes")
+        return cut(rows.where(F.col("n") - F.col("left") < length).select("key", "cid", "n", "left"), "prefixes")
 
     def search(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """(sketches, classes, components of classes or None without links)."""
@@ -275,11 +290,13 @@ class NearDuplicates:
         first = self.buckets(classes)
         if first.isEmpty():
             return rows, classes, None
-        sets = self.full_sets(first.select("cid").distinct(), classes)
+        cids = cut(first.select("cid").distinct(), "in-buckets")
+        count = cids.count()
+        sets, members = self.full_sets(cids, count, classes), self.members(cids, count, classes)
         pairs = first.where("cid > pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct()
-        best = self.estimates(pairs, classes).groupBy("v").agg(F.max(F.struct("est", "u")).alias("b"))
-        comp = self.join_up(self.confirm(best.select("b.u", "v"), sets), None)
-        active, _ = self._open(first.select("key", "cid", "n"), comp)
+        best = self.estimates(pairs, members).groupBy("v").agg(F.max(F.struct("est", "u")).alias("b"))
+        comp = self.join_up(self.confirm(cut(best.select("b.u", "v"), "best"), sets), None)
+        active, _ = self._open(first.select("key", "cid", "n", F.col("n").alias("left")), comp)
         if active.isEmpty():
             return rows, classes, comp
         active = self.prefixes(active.select("cid").distinct(), sets)
@@ -290,21 +307,22 @@ class NearDuplicates:
             pivots = cut(self._pivots(active, several), "pivots")
             pairs = (active.join(pivots, "key").where(
                         (F.col("comp") != F.col("comp_u"))
-                        & (100 * F.least("n", "nu") >= self.percent * F.greatest("n", "nu")))
+                        & (100 * F.least("n", "nu") >= self.percent * F.greatest("n", "nu"))
+                        & ((100 + self.percent) * F.least("left", "left_u") >= self.percent * (F.col("n") + F.col("nu"))))
                      .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v")).distinct())
-            comp = self.join_up(self.confirm(self.estimates(pairs, classes), sets), comp)
+            comp = self.join_up(self.confirm(self.estimates(pairs, members), sets), comp)
             done = pivots.select("key", F.col("u").alias("cid"))
-            active = active.select("key", "cid", "n").join(done, ["key", "cid"], "left_anti")
+            active = active.select("key", "cid", "n", "left").join(done, ["key", "cid"], "left_anti")
 
     def _open(self, active: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """The members (with their component) of buckets with more than one
         component, and those buckets with their size and number of outsiders."""
         if comp is None:
-            named = active.select("key", "cid", "n", F.col("cid").alias("comp"))
+            named = active.select("key", "cid", "n", "left", F.col("cid").alias("comp"))
         else:
-            named = (active.select("key", "cid", "n")
+            named = (active.select("key", "cid", "n", "left")
                      .join(comp.select(F.col("node").alias("cid"), F.col("comp").alias("c")), "cid", "left")
-                     .select("key", "cid", "n", F.coalesce("c", "cid").alias("comp")))
+                     .select("key", "cid", "n", "left", F.coalesce("c", "cid").alias("comp")))
         named = cut(named, "labelled")
         per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
         several = per.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"))
@@ -322,7 +340,8 @@ class NearDuplicates:
         least = outside.groupBy("key").agg(F.min("rank").alias("least"))
         part = F.greatest(F.lit(float(PIVOTS)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
         return (outside.join(least, "key").where((F.col("rank") == F.col("least")) | (F.col("rank") < part))
-                .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("comp_u")))
+                .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("left").alias("left_u"),
+                        F.col("comp").alias("comp_u")))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
