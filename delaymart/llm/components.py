@@ -1,9 +1,9 @@
 """Connected components of a link table by alternating large and small stars.
 
 Every step rewires links towards the smallest node of a neighbourhood, with a
-map-side minimum per node, until nothing changes: each node is then linked to
+map-side minimum per node, until the links are stars: each node is then linked to
 the smallest node of its component. Links stay in written tables; the driver
-sees one count and one checksum per step.
+sees their count and whether they are stars.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from delaymart.llm.common import cut
+from delaymart.llm.common import cut, small
 
 
-def _mark(links: DataFrame):
-    return links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+def _stars(links: DataFrame, count: int) -> bool:
+    """Whether no larger end is also a smaller one, and each has one link."""
+    larger = small(links.select(F.col("b").alias("a")), count, 16)
+    return (links.join(larger, "a", "left_semi").isEmpty()
+            and links.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,20 +26,18 @@ def components(links: DataFrame) -> DataFrame:
     it reaches, from links (u, v) in any direction; loops are ignored."""
     links = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
                 .where("a < b").distinct(), "links")
-    mark = _mark(links)
     while True:
+        count = links.count()
+        if _stars(links, count):
+            break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = (both.join(low, "a").where("b > a")
-                 .select(F.col("m").alias("a"), "b").where("a < b").distinct())
+        large = (both.join(small(low, 2 * count, 16), "a").where("b > a")
+                 .select(F.col("m").alias("a"), "b").where("a < b"))
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
-        links = cut(small.select(F.col("m").alias("a"), "b")
-                    .unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b")))
+        near = large.join(small(low, count, 16), "b")
+        links = cut(near.select(F.col("m").alias("a"), "b")
+                    .unionByName(near.select(F.col("m").alias("a"), F.col("a").alias("b")))
                     .where("a < b").distinct(), "links")
-        new = _mark(links)
-        if new == mark:
-            break
-        mark = new
     return (links.select(F.col("b").alias("node"), F.col("a").alias("comp"))
             .unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()))

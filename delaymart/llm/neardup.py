@@ -209,17 +209,12 @@ class NearDuplicates:
     def members(self, cids: DataFrame, count: int, classes: DataFrame) -> DataFrame:
         """(cid, n, regs) of some classes, with the registers an estimate reads."""
         known = classes.join(small(cids, count, 16), "cid", "left_semi")
-        return cut(known.select("cid", "n", F.substring("regs", 1, 2 * JUDGED).alias("regs")), "members")
-
-    @staticmethod
-    def _of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """Those of the rows whose class is in one of the written pairs."""
-        cids = cut(pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct(), "in-pairs")
-        return rows.join(small(cids, cids.count(), 16), "cid", "left_semi")
+        known = cut(known.select("cid", "n", F.substring("regs", 1, 2 * JUDGED).alias("regs")), "members")
+        return small(known, count, 2 * JUDGED + 40)
 
     def estimates(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """(u, v, est) of the pairs (u, v) whose sizes allow the threshold."""
-        both = (pairs.join(members.toDF("v", "nv", "rv"), "v").join(members.toDF("u", "nu", "ru"), "u"))
+        both = pairs.join(members.toDF("v", "nv", "rv"), "v").join(members.toDF("u", "nu", "ru"), "u")
         both = both.where(100 * F.least("nu", "nv") >= self.percent * F.greatest("nu", "nv"))
         est = both.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(
             _estimate, "u long, v long, nu long, nv long, est double")
@@ -244,8 +239,11 @@ class NearDuplicates:
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The written pairs (u, v) whose full sets reach the threshold."""
-        sets = self._of(pairs, sets.select("cid", "n", "set"))
-        both = pairs.select("u", "v").join(sets.toDF("v", "nv", "sv"), "v").join(sets.toDF("u", "nu", "su"), "u")
+        pairs, count = pairs.select("u", "v"), pairs.count()
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("cid"))
+        sets = sets.select("cid", "n", "set").join(small(ends, 2 * count, 16), "cid", "left_semi")
+        both = (sets.toDF("v", "nv", "sv").join(small(pairs, count, 24), "v")
+                .join(sets.toDF("u", "nu", "su"), "u"))
         common = F.size(F.array_intersect("su", "sv"))
         return cut(both.where(100 * common >= self.percent * (F.col("nu") + F.col("nv") - common)).select("u", "v"),
                    "confirmed")
