@@ -9,7 +9,7 @@ per-byte and per-word work is numpy over the whole batch. Batches are cut to
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from delaymart.session import run_folder
 
 BATCH_BYTES = 1 << 20
 BROADCAST_BYTES = 32 << 20
+_FOLDER = "_written_folder"     # of a DataFrame that cut returned
 
 U64 = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,15 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, spent: Iterable[DataFrame | None] = ()) -> DataFrame:
     """Write ``df`` to a fresh folder under ``spark.checkpoint.dir`` and read it
     back: cuts the lineage and survives lost executors. The shuffle files behind
-    it are not needed any more and go when the write is done."""
+    it are not needed any more and go when the write is done, as do the tables
+    ``spent``, which ``cut`` wrote and nothing reads after this write."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = run_folder(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in spent:
+        folder = old.__dict__.get(_FOLDER) if old is not None else None
+        if folder:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__[_FOLDER] = path
+    return out
 
 
 def small(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -38,6 +38,6 @@ def components(links: DataFrame) -> DataFrame:
         near = large.join(small(low, count, 16), "b")
         links = cut(near.select(F.col("m").alias("a"), "b")
                     .unionByName(near.select(F.col("m").alias("a"), F.col("a").alias("b")))
-                    .where("a < b").distinct(), "links")
+                    .where("a < b").distinct(), "links", [links])
     return (links.select(F.col("b").alias("node"), F.col("a").alias("comp"))
             .unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()))

@@ -52,7 +52,7 @@ from delaymart.llm.components import components
 REGISTERS, JUDGED = 450, 180      # registers in all, and those an estimate reads
 BASE, RATE, LEVELS = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
-PIVOTS, PAIRS_OF_SMALL = 8, 1 << 14
+PIVOTS, PAIRS_OF_SMALL = 16, 1 << 14
 _BLOCK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(977))
 _MUL = _RNG.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -235,26 +235,27 @@ class NearDuplicates:
         sets = texts.mapInArrow(run, "n long, k1 long, k2 long, set array<long>")
         keys = small(wanted.select("cid", "n", "k1", "k2"), count, 48)
         sets = sets.join(keys, ["n", "k1", "k2"]).select("cid", "n", "set")
-        return cut(sets.dropDuplicates(["cid"]), "sets")
+        return cut(sets.dropDuplicates(["cid"]), "sets", [wanted])
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The written pairs (u, v) whose full sets reach the threshold."""
-        pairs, count = pairs.select("u", "v"), pairs.count()
+        """The written pairs (u, v), spent by it, whose full sets reach the threshold."""
+        written, pairs, count = pairs, pairs.select("u", "v"), pairs.count()
         ends = pairs.select(F.explode(F.array("u", "v")).alias("cid"))
         sets = sets.select("cid", "n", "set").join(small(ends, 2 * count, 16), "cid", "left_semi")
         both = (sets.toDF("v", "nv", "sv").join(small(pairs, count, 24), "v")
                 .join(sets.toDF("u", "nu", "su"), "u"))
         common = F.size(F.array_intersect("su", "sv"))
         return cut(both.where(100 * common >= self.percent * (F.col("nu") + F.col("nv") - common)).select("u", "v"),
-                   "confirmed")
+                   "confirmed", [written])
 
     def join_up(self, links: DataFrame, comp: DataFrame | None) -> DataFrame | None:
-        """The components with the links added."""
+        """The components with the links added; both are spent by it."""
         if links.isEmpty():
             return comp
+        spent, every = [links, comp], links
         if comp is not None:
-            links = links.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))
-        return cut(components(links), "components")
+            every = links.unionByName(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")))
+        return cut(components(every), "components", spent)
 
     def buckets(self, classes: DataFrame) -> DataFrame:
         """(key, cid, n, pivot) of the members of buckets with more than one. The
@@ -264,7 +265,7 @@ class NearDuplicates:
         keys = cut(band.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "shared-keys")
         band = cut(band.join(small(keys, keys.count(), 16), "key", "left_semi").withColumn("about", about), "shared")
         per = band.groupBy("key", "about").agg(F.min("cid").alias("pivot"))
-        return cut(band.join(per, ["key", "about"]).select("key", "cid", "n", "pivot"), "buckets")
+        return cut(band.join(per, ["key", "about"]).select("key", "cid", "n", "pivot"), "buckets", [keys, band])
 
     def prefixes(self, cids: DataFrame, sets: DataFrame) -> DataFrame:
         """(key, cid, n, left): of each class the shingles that a linked one must share
@@ -277,7 +278,7 @@ class NearDuplicates:
         rows = rows.withColumns({"rank": F.row_number().over(mine.orderBy("c", "key")), "shared": F.count(F.lit(1)).over(mine)})
         rows = rows.withColumn("left", F.col("shared") - F.col("rank") + 1)
         length = F.col("n") - F.floor((self.percent * F.col("n") + 99) / 100) + 1
-        return cut(rows.where(F.col("n") - F.col("left") < length).select("key", "cid", "n", "left"), "prefixes")
+        return cut(rows.where(F.col("n") - F.col("left") < length).select("key", "cid", "n", "left"), "prefixes", [often])
 
     def search(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """(sketches, classes, components of classes or None without links)."""
@@ -294,15 +295,16 @@ class NearDuplicates:
         pairs = first.where("cid > pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct()
         best = self.estimates(pairs, members).groupBy("v").agg(F.max(F.struct("est", "u")).alias("b"))
         comp = self.join_up(self.confirm(cut(best.select("b.u", "v"), "best"), sets), None)
-        active, _ = self._open(first.select("key", "cid", "n", F.col("n").alias("left")), comp)
+        active, _ = self._open(first.select("key", "cid", "n", F.col("n").alias("left")), comp, [first, cids])
         if active.isEmpty():
             return rows, classes, comp
         active = self.prefixes(active.select("cid").distinct(), sets)
+        spent = [active]
         while True:
-            active, several = self._open(active, comp)
+            active, several = self._open(active, comp, spent)
             if active.isEmpty():
                 return rows, classes, comp
-            pivots = cut(self._pivots(active, several), "pivots")
+            pivots = cut(self._pivots(active, several), "pivots", [several])
             pairs = (active.join(pivots, "key").where(
                         (F.col("comp") != F.col("comp_u"))
                         & (100 * F.least("n", "nu") >= self.percent * F.greatest("n", "nu"))
@@ -310,24 +312,27 @@ class NearDuplicates:
                      .select(F.least("u", "cid").alias("u"), F.greatest("u", "cid").alias("v")).distinct())
             comp = self.join_up(self.confirm(self.estimates(pairs, members), sets), comp)
             done = pivots.select("key", F.col("u").alias("cid"))
+            spent = [active, pivots]
             active = active.select("key", "cid", "n", "left").join(done, ["key", "cid"], "left_anti")
 
-    def _open(self, active: DataFrame, comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    def _open(self, active: DataFrame, comp: DataFrame | None,
+              spent: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
         """The members (with their component) of buckets with more than one
-        component, and those buckets with their size and number of outsiders."""
+        component, and those buckets with their size and number of outsiders.
+        ``spent`` are the written tables behind ``active``."""
         if comp is None:
             named = active.select("key", "cid", "n", "left", F.col("cid").alias("comp"))
         else:
             named = (active.select("key", "cid", "n", "left")
                      .join(comp.select(F.col("node").alias("cid"), F.col("comp").alias("c")), "cid", "left")
                      .select("key", "cid", "n", "left", F.coalesce("c", "cid").alias("comp")))
-        named = cut(named, "labelled")
+        named = cut(named, "labelled", spent)
         per = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
         several = per.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"))
         several = cut(several.where(F.col("size") > F.col("main.c")).select(
             "key", "size", (F.col("size") - F.col("main.c")).alias("outside"), F.col("main.comp").alias("main")),
             "open-buckets")
-        return cut(named.join(several.select("key"), "key", "left_semi"), "active"), several
+        return cut(named.join(several.select("key"), "key", "left_semi"), "active", [named]), several
 
     @staticmethod
     def _pivots(active: DataFrame, several: DataFrame) -> DataFrame:
