@@ -76,6 +76,21 @@ def assign_split(feat: DataFrame, plan: DataFrame,
     return j.withColumn("is_test", is_test).drop("test_year")
 
 
+def random_sides(rows: DataFrame, keys: Sequence[str] = (S.ENTITY, "DATE"), test_share: float = 0.2,
+                 seed: int = S.RF_SEED, partitions: int = 8) -> DataFrame:
+    """M3 with Spark's own sampler: every row in one of two sides, ``is_test``.
+
+    The sampler draws by partition number and row order, so the rows are first placed
+    by their keys' hash over ``partitions`` tasks and sorted there by keys and then by
+    all other columns. The sides depend on rows, seed and ``partitions``, not on how
+    the input was partitioned."""
+    rest = [c for c in rows.columns if c not in keys]
+    placed = rows.repartition(partitions, *keys).sortWithinPartitions(*keys, *rest)
+    train, test = placed.randomSplit([1 - test_share, test_share], seed)
+    return (train.withColumn("is_test", F.lit(False))
+            .unionByName(test.withColumn("is_test", F.lit(True))))
+
+
 def split_counts(split: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
     """Train and test row counts per entity with the chosen mode."""
     return split.groupBy(*by, "split_mode").agg(

@@ -223,6 +223,11 @@ class DelayMart:
         return self.gold("stub_validation_daily", lambda: validate.validation_daily(
             self.silver(), self.stub_predictions_full()))
 
+    def bucketed_sides(self, buckets: int = 8) -> str:
+        """Silver and the stub predictions bucketed alike; the tables' folder."""
+        return self._once(f"sides_{buckets}", lambda: validate.write_sides(
+            self.silver(), self.stub_predictions_full(), self.path(f"sides_{buckets}"), buckets))
+
     # -- forest ------------------------------------------------------------
     def model_rows(self) -> DataFrame:
         """The forest's rows: all entities', or the one entity's."""

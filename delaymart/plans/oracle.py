@@ -398,6 +398,11 @@ FROM split GROUP BY AIRPORT, split_mode"""),
     "validation_daily": (["vd"], """
 SELECT * EXCLUDE (prediction, error_min, abs_error_min), round(prediction, 6) AS prediction,
   round(error_min, 6) AS error_min, round(abs_error_min, 6) AS abs_error_min FROM vd"""),
+    "validation_bucketed": (["vd"], """
+SELECT * EXCLUDE (prediction, error_min, abs_error_min), round(prediction, 6) AS prediction,
+  round(error_min, 6) AS error_min, round(abs_error_min, 6) AS abs_error_min FROM vd"""),
+    "random_split_sides": (["feat"], """
+SELECT AIRPORT, DATE, CAST(1 AS BIGINT) AS sides, true AS share_ok FROM feat"""),
     "validation_monthly": (["vm"], "SELECT * FROM vm"),
     "report_validation_monthly": (["vm"], """
 SELECT AIRPORT AS airport, YEAR AS year, MONTH AS month, CAST(days_count AS INTEGER) AS days_count,

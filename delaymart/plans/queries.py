@@ -386,6 +386,13 @@ def validation_daily(spark, sf_dir):
               "abs_error_min")
 
 
+@query
+def validation_bucketed(spark, sf_dir):
+    """J1 + D2 + P19 on bucketed sides (stub predictor): no exchange in dedup or join."""
+    root = mart(spark, sf_dir).bucketed_sides()
+    return r6(validate.validation_bucketed(spark, root), "prediction", "error_min", "abs_error_min")
+
+
 @query
 def join_coverage(spark, sf_dir):
     """Q1: rows on both sides of the validation join and after it."""
@@ -663,6 +670,18 @@ def split_mode(spark, sf_dir):
     return features.split_plan(mart(spark, sf_dir).features())
 
 
+@query
+def random_split_sides(spark, sf_dir):
+    """M3 with Spark's sampler: for each day the number of sides that hold it, and
+    whether the test share is within five standard deviations of 20 %."""
+    m = mart(spark, sf_dir)
+    sides = features.random_sides(m.features().select(S.ENTITY, "DATE"))
+    n, share = F.sum("n"), F.sum("n_test") / F.sum("n")
+    per = sides.groupBy(S.ENTITY, "DATE").agg(F.count("*").alias("n"), F.sum(F.col("is_test").cast("long")).alias("n_test"))
+    total = per.agg((F.abs(share - 0.2) <= 5 * F.sqrt(F.lit(0.2 * 0.8) / n)).alias("share_ok"))
+    return per.crossJoin(F.broadcast(total)).select(S.ENTITY, "DATE", F.col("n").alias("sides"), "share_ok")
+
+
 @query
 def time_split_counts(spark, sf_dir):
     """M2 + M3: train / test rows per entity."""

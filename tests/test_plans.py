@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from delaymart import schema as S
-from delaymart.operators import anomaly, profile
+from delaymart.operators import anomaly, profile, validate
+from delaymart.operators.features import random_sides
 from delaymart.operators.silver import dedup_daily, entity_filter, year_range
 from delaymart.plans.mart import DelayMart
 from delaymart.sources.fixtures import daily_raw
@@ -208,3 +209,23 @@ def test_bronze_derivation_exact_under_skew(spark, tmp_dir):
     rel = con.execute(build("csv_bronze_scan"))
     want = sorted(tuple(r) for r in rel.fetchall())
     assert got == want and len(got) > 50
+
+
+def test_bucketed_validation_has_no_exchange(spark):
+    m = DelayMart.of(spark, SF_SMALL)
+    df = validate.validation_bucketed(spark, m.bucketed_sides())
+    tree = _tree(plan(df))
+    assert "SortMergeJoin" in tree and "Exchange" not in tree
+    assert "SelectedBucketsCount: 8 out of 8" in plan(df)
+    key = [S.ENTITY, "DATE"]
+    plain = m.stub_validation_daily().orderBy(*key).collect()
+    assert plain and df.orderBy(*key).collect() == plain
+
+
+def test_random_sides_do_not_depend_on_the_input_partitions(spark):
+    rows = DelayMart.of(spark, SF_SMALL).features()
+    runs = [{tuple(r) for r in random_sides(x).select(S.ENTITY, "DATE", "is_test").collect()}
+            for x in (rows.coalesce(1), rows.repartition(13), rows.orderBy(F.rand(3)))]
+    assert runs[0] == runs[1] == runs[2]
+    other = {tuple(r) for r in random_sides(rows, seed=7).select(S.ENTITY, "DATE", "is_test").collect()}
+    assert other != runs[0] and {r[:2] for r in other} == {r[:2] for r in runs[0]}
