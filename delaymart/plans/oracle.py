@@ -398,6 +398,18 @@ FROM split GROUP BY AIRPORT, split_mode"""),
     "validation_daily": (["vd"], """
 SELECT * EXCLUDE (prediction, error_min, abs_error_min), round(prediction, 6) AS prediction,
   round(error_min, 6) AS error_min, round(abs_error_min, 6) AS abs_error_min FROM vd"""),
+    "observed_silver_counts": (["bronze", "typed", "silver"], f"""
+SELECT (SELECT count(*) FROM bronze) AS rows_in,
+  (SELECT CAST({' + '.join(f"coalesce(sum(CASE WHEN trim({c}) <> '' AND TRY_CAST({c} AS DOUBLE) IS NULL THEN 1 ELSE 0 END), 0)"
+                           for c in ["FLT_ARR_1", "FLT_ARR_1_DLY", "FLT_ARR_1_DLY_15"] + CAUSES + [TOTAL])} AS BIGINT)
+   FROM bronze) AS casts_lost,
+  (SELECT count(*) FROM typed WHERE trim(FLT_DATE) <> '' AND DATE_TS IS NULL) AS stamps_lost,
+  (SELECT count(*) FROM silver) AS rows_out"""),
+    "observed_validation_counts": (["silver", "stubp"], """
+SELECT (SELECT count(*) FROM (SELECT DISTINCT AIRPORT, DATE FROM silver)) AS silver_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT AIRPORT, DATE FROM stubp)) AS pred_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT AIRPORT, DATE FROM silver) s
+   JOIN (SELECT DISTINCT AIRPORT, DATE FROM stubp) p ON s.AIRPORT = p.AIRPORT AND s.DATE = p.DATE) AS joined_rows"""),
     "validation_bucketed": (["vd"], """
 SELECT * EXCLUDE (prediction, error_min, abs_error_min), round(prediction, 6) AS prediction,
   round(error_min, 6) AS error_min, round(abs_error_min, 6) AS abs_error_min FROM vd"""),
@@ -537,7 +549,8 @@ ON_SUPPLIERS = ("silver_partition_roundtrip", "safe_numeric_cast", "parse_dual_t
                 "anomalies", "report_anomalies_top", "report_anomalies_monthly", "feature_table", "split_mode",
                 "stub_predictions_full", "validation_daily", "join_coverage",
                 "regression_metrics", "global_means", "forecast_inputs", "forecast_monthly_stub",
-                "sketch_quantiles_rank", "days_per_year_merged", "data_range_merged")
+                "sketch_quantiles_rank", "days_per_year_merged", "data_range_merged",
+                "observed_silver_counts", "observed_validation_counts", "validation_bucketed")
 
 
 def oracle_sql() -> dict[str, str]:

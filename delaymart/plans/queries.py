@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from delaymart import schema as S
 from delaymart.functions import columns as C
-from delaymart.operators import anomaly, features, forecast, foresttable, interpret, model, profile, report, sketches, validate
+from delaymart.operators import anomaly, features, forecast, foresttable, interpret, model, observed, profile, report, sketches, validate
 from delaymart.operators.silver import dedup_daily, entity_filter, read_silver, silver_frame, typed_bronze, year_range
 from delaymart.plans.mart import DelayMart
 from delaymart.plans.oracle import ON_SUPPLIERS
@@ -386,6 +386,27 @@ def validation_daily(spark, sf_dir):
               "abs_error_min")
 
 
+def _counts(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    """Observed counts as a table of one row."""
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts))
+
+
+@query
+def observed_silver_counts(spark, sf_dir):
+    """P3 + P4 + K1: what the pass that writes Silver took in, lost and wrote."""
+    m = mart(spark, sf_dir)
+    return _counts(spark, observed.write_silver_observed(m.bronze(), m.path("silver_observed")))
+
+
+@query
+def observed_validation_counts(spark, sf_dir):
+    """Q1 without a second join: days of each side and matched days, observed by the
+    pass that writes the validation (stub predictor)."""
+    m = mart(spark, sf_dir)
+    return _counts(spark, observed.write_validation_observed(
+        m.silver(), m.stub_predictions_full(), m.path("validation_observed")))
+
+
 @query
 def validation_bucketed(spark, sf_dir):
     """J1 + D2 + P19 on bucketed sides (stub predictor): no exchange in dedup or join."""

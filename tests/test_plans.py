@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from delaymart import schema as S
 from delaymart.operators import anomaly, profile, validate
 from delaymart.operators.features import random_sides
+from delaymart.operators.observed import write_validation_observed
 from delaymart.operators.silver import dedup_daily, entity_filter, year_range
 from delaymart.plans.mart import DelayMart
+from delaymart.sinks.writers import write_parquet
 from delaymart.sources.fixtures import daily_raw
 from tests.conftest import SF_SMALL
 
@@ -229,3 +231,17 @@ def test_random_sides_do_not_depend_on_the_input_partitions(spark):
     assert runs[0] == runs[1] == runs[2]
     other = {tuple(r) for r in random_sides(rows, seed=7).select(S.ENTITY, "DATE", "is_test").collect()}
     assert other != runs[0] and {r[:2] for r in other} == {r[:2] for r in runs[0]}
+
+
+def test_observed_counts_need_no_job_of_their_own(spark, tmp_dir):
+    m = DelayMart.of(spark, SF_SMALL)
+    silver, preds = m.silver(), m.stub_predictions_full()
+    tracker, group = spark.sparkContext.statusTracker(), "observed-validation"
+    plain, seen = "plain-validation", {}
+    for name, write in ((plain, lambda: write_parquet(validate.validation_daily(silver, preds), f"{tmp_dir}/a")),
+                        (group, lambda: seen.update(write_validation_observed(silver, preds, f"{tmp_dir}/b")))):
+        spark.sparkContext.setJobGroup(name, name)
+        write()
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tracker.getJobIdsForGroup(group)) == len(tracker.getJobIdsForGroup(plain))
+    assert spark.read.parquet(f"{tmp_dir}/b").count() == seen["joined_rows"] > 0
