@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,10 @@ SESSION_DEFAULTS = {
 }
 
 
+# Those of them that concern results and skew, not the cluster's memory.
+PLAN_DEFAULTS = ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+
+
 def build_session(master: str | None = None, app: str = "delaymart",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -48,9 +53,9 @@ def build_session(master: str | None = None, app: str = "delaymart",
     return spark
 
 
-def apply_defaults(spark: SparkSession) -> None:
-    """Apply the runtime SQL settings to an existing session (the driver's)."""
-    for k, v in SESSION_DEFAULTS.items():
+def apply_defaults(spark: SparkSession, names: Iterable[str] = tuple(SESSION_DEFAULTS)) -> None:
+    """Apply the named runtime SQL settings to an existing session (the driver's)."""
+    for k, v in ((name, SESSION_DEFAULTS[name]) for name in names):
         try:
             spark.conf.set(k, v)
         except Exception:  # static or locked settings are left as they are
