@@ -5,14 +5,16 @@ begin at words whose gear hash is the smallest of some ``window`` consecutive
 words: a choice that depends on nearby content alone, so an insertion moves the
 borders next to it and no others, and no chunk is longer than ``window`` words.
 A digest is a hash of the words of two neighbouring chunks (short chunks alone
-often recur by chance), so white space does not matter.
+often recur by chance). The gear window holds the white space between words, so
+copies that are wrapped differently have other borders around each difference,
+and runs there may be missed.
 
 A digest that occurs more than once marks its two chunks as repeated; maximal
 runs of repeated chunks with at least ``min_words`` words are the result. Two
 copies of a passage of L words share all its chunks but those at its ends, where
 the gear window and one chunk may reach outside: at least L - 2 * window - 3
-words. With 11 words a chunk at most, every repeated passage of over 50 words is
-found as a run of 25 or more.
+words. With 11 words a chunk at most, every repeated passage of over 50 words with the
+same white space is found as a run of 25 or more.
 
 Digests are counted with partial sums, so a passage that a third of all texts
 share is one row per task; occurrences then join the repeated digests, and hot
