@@ -14,11 +14,15 @@ from pyspark.sql import functions as F
 from delaymart.llm.common import cut, small
 
 
-def _stars(links: DataFrame, count: int) -> bool:
-    """Whether no larger end is also a smaller one, and each has one link."""
-    larger = small(links.select(F.col("b").alias("a")), count, 16)
-    return (links.join(larger, "a", "left_semi").isEmpty()
-            and links.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty())
+def _state(links: DataFrame) -> tuple[int, bool]:
+    """The number of links, and whether no larger end is also a smaller one and
+    each has one link; both in one job."""
+    ends = (links.select(F.col("b").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller"))
+            .unionByName(links.select(F.col("a").alias("node"), F.lit(0).alias("larger"), F.lit(1).alias("smaller"))))
+    per = ends.groupBy("node").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
+    off = (F.col("larger") > 1) | ((F.col("larger") > 0) & (F.col("smaller") > 0))
+    count, bad = per.agg(F.sum("larger"), F.count(F.when(off, 1))).first()
+    return count or 0, not bad
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,8 +31,8 @@ def components(links: DataFrame) -> DataFrame:
     links = cut(links.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
                 .where("a < b").distinct(), "links")
     while True:
-        count = links.count()
-        if _stars(links, count):
+        count, stars = _state(links)
+        if stars:
             break
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))

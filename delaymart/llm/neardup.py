@@ -26,7 +26,9 @@ their Jaccard similarity is at least ``percent`` / 100.
    common there.
    Members that share such a shingle meet unless they are of one component by now:
    all at once where that is few, else the members outside the largest component in
-   turns, each leaving once it has met all others.
+   turns, each leaving once it has met all others. A turn takes up to four times as
+   many as the one before, while that meets no more than ``TURN`` times the first
+   turn's pairs: as buckets close, the rest is done in few turns.
    So no pair is given up, however large a bucket is, and no group of copies
    meets itself.
 
@@ -52,7 +54,7 @@ from delaymart.llm.components import components
 REGISTERS, JUDGED = 450, 180      # registers in all, and those an estimate reads
 BASE, RATE, LEVELS = 1.001, 20.0, 2**16 - 2
 SLACK = 0.2
-PIVOTS, PAIRS_OF_SMALL = 16, 1 << 14
+PIVOTS, PAIRS_OF_SMALL, TURN = 16, 1 << 14, 4
 _BLOCK = 1 << 15
 _RNG = np.random.Generator(np.random.PCG64(977))
 _MUL = _RNG.integers(1, 2**63, REGISTERS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -299,12 +301,15 @@ class NearDuplicates:
         if active.isEmpty():
             return rows, classes, comp
         active = self.prefixes(active.select("cid").distinct(), sets)
-        spent = [active]
+        spent, limit, many = [active], 0, PIVOTS
         while True:
             active, several = self._open(active, comp, spent)
-            if active.isEmpty():
+            size = several.agg(F.sum("size")).first()[0]
+            if not size:
                 return rows, classes, comp
-            pivots = cut(self._pivots(active, several), "pivots", [several])
+            limit = limit or TURN * PIVOTS * size
+            pivots = cut(self._pivots(active, several, many), "pivots", [several])
+            many = max(PIVOTS, min(4 * many, limit // size))
             pairs = (active.join(pivots, "key").where(
                         (F.col("comp") != F.col("comp_u"))
                         & (100 * F.least("n", "nu") >= self.percent * F.greatest("n", "nu"))
@@ -335,13 +340,13 @@ class NearDuplicates:
         return cut(named.join(several.select("key"), "key", "left_semi"), "active", [named]), several
 
     @staticmethod
-    def _pivots(active: DataFrame, several: DataFrame) -> DataFrame:
-        """About PIVOTS outsiders of each bucket (more of a small one), the
+    def _pivots(active: DataFrame, several: DataFrame, many: int = PIVOTS) -> DataFrame:
+        """About ``many`` outsiders of each bucket (more of a small one), the
         same ones in all buckets as far as possible."""
         rank = F.pmod(F.xxhash64("cid", F.lit(29)), F.lit(1 << 40))
         outside = active.join(several, "key").where("comp != main").withColumn("rank", rank)
         least = outside.groupBy("key").agg(F.min("rank").alias("least"))
-        part = F.greatest(F.lit(float(PIVOTS)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
+        part = F.greatest(F.lit(float(many)), PAIRS_OF_SMALL / F.col("size")) / F.col("outside") * float(1 << 40)
         return (outside.join(least, "key").where((F.col("rank") == F.col("least")) | (F.col("rank") < part))
                 .select("key", F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("left").alias("left_u"),
                         F.col("comp").alias("comp_u")))

@@ -102,6 +102,32 @@ def test_pivots_in_turns_lose_no_link(rows, monkeypatch):
     check(rows(data), data, 85, 4)
 
 
+def test_turns_grow_as_far_as_their_pairs_allow(rows, monkeypatch):
+    """Texts that share 56 of 68 shingles: none is linked, each has to meet all others."""
+    base = text(60)
+    data = [(i, " ".join(base + [f"own{i}x{j}" for j in range(12)])) for i in range(12)]
+    monkeypatch.setattr(neardup, "PAIRS_OF_SMALL", 1)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    turns = []
+    pivots = neardup.NearDuplicates._pivots
+
+    def see(active, several, *many):
+        turns.append(many)
+        return pivots(active, several, *many)
+    monkeypatch.setattr(neardup.NearDuplicates, "_pivots", staticmethod(see))
+    check(rows(data), data, 80, 4)
+    assert turns[0] == (1,) and max(turns)[0] >= 4 and len(turns) < 11, turns
+
+
+def test_links_are_judged_in_one_job(spark):
+    from delaymart.llm import components
+    star = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "a long, b long")
+    assert components._state(star) == (3, True)
+    for more in ((2, 6), (4, 3)):
+        assert components._state(star.unionByName(spark.createDataFrame([more], star.schema))) == (4, False)
+    assert components._state(star.where("a > 9")) == (0, True)
+
+
 def test_prefixes_hold_a_shared_shingle_of_every_linked_pair(spark):
     rng = random.Random(3)
     sets = [set(rng.sample(range(60), 40)) for _ in range(80)]
