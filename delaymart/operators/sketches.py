@@ -31,6 +31,7 @@ from delaymart import schema as S
 
 SKETCH_K = 1600
 DAYS, MAP_BYTES = 366, 46
+WORDS = 6       # 64-bit words of a map; the first byte is a word's highest
 
 
 def rank_error(k: int = SKETCH_K) -> float:
@@ -91,16 +92,26 @@ def year_days(silver: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
     """One row per (entity, YEAR) of the dated rows: ``rows`` and the ``days`` map."""
     S.require(silver, [*by, "DATE", "YEAR"], "Silver")
     dated = silver.where(F.col("DATE").isNotNull() & F.col("YEAR").isNotNull())
-    # The aggregate's map has 32768 bits, of which a year needs the first 366.
-    days = F.bitmap_construct_agg(F.bitmap_bit_position(F.dayofyear("DATE")))
-    return dated.groupBy(*by, "YEAR").agg(
-        F.count("*").alias("rows"), F.substring(days, 1, MAP_BYTES).alias("days"))
+    at = F.dayofyear("DATE") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), 56 - F.floor(at % 64 / 8).cast("int") * 8 + at % 8)
+    words = [F.when(F.floor(at / 64) == w, bit) for w in range(WORDS)]
+    return _with_map(dated.groupBy(*by, "YEAR").agg(
+        F.count("*").alias("rows"), *[F.bit_or(word).alias(f"_w{w}") for w, word in enumerate(words)]), by)
+
+
+def _with_map(words: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The map from its or-ed words. Spark's bitmap aggregates hold and send 4096
+    bytes a group, of which a year needs 46; words are or-ed in hash aggregates."""
+    text = F.concat(*[F.lpad(F.hex(F.coalesce(f"_w{w}", F.lit(0).cast("long"))), 16, "0") for w in range(WORDS)])
+    return words.select(*by, "YEAR", "rows", F.substring(F.unhex(text), 1, MAP_BYTES).alias("days"))
 
 
 def merge_days(old: DataFrame, new: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
     """The maps of two loads, which may hold the same days, as one table."""
-    return old.unionByName(new).groupBy(*by, "YEAR").agg(
-        F.sum("rows").alias("rows"), F.substring(F.bitmap_or_agg("days"), 1, MAP_BYTES).alias("days"))
+    part = [F.rpad(F.hex(F.substring("days", 8 * w + 1, 8)), 16, "0") for w in range(WORDS)]
+    words = [F.conv(p, 16, -10).cast("long") for p in part]
+    return _with_map(old.unionByName(new).groupBy(*by, "YEAR").agg(
+        F.sum("rows").alias("rows"), *[F.bit_or(word).alias(f"_w{w}") for w, word in enumerate(words)]), by)
 
 
 def days_per_year(maps: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
@@ -114,6 +125,19 @@ def _bit(day: Column) -> Column:
     return F.floor(byte.cast("long") / F.pow(F.lit(2.0), (day - 1) % 8)) % 2 == 1
 
 
+def grid_from_days(maps: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
+    """S5 from the maps: each day from an entity's first to its last, and whether the
+    map has it. Only maps are shuffled; the days are generated in place, last."""
+    keys = list(by)
+    span = range_from_days(maps, by).select(*keys, "min_date", "max_date")
+    years = span.select(*keys, "min_date", "max_date", F.explode(F.sequence(F.year("min_date"), F.year("max_date"))).alias("YEAR"))
+    years = years.join(maps.select(*keys, "YEAR", "days"), [*keys, "YEAR"], "left")
+    first, last = F.make_date("YEAR", F.lit(1), F.lit(1)), F.make_date("YEAR", F.lit(12), F.lit(31))
+    days = F.sequence(F.greatest("min_date", first), F.least("max_date", last), F.expr("interval 1 day"))
+    return years.select(*keys, "days", F.explode(days).alias("DATE")).select(
+        *keys, "DATE", F.coalesce(_bit(F.dayofyear("DATE")), F.lit(False)).alias("has_data"))
+
+
 def range_from_days(maps: DataFrame, by: Sequence[str] = (S.ENTITY,)) -> DataFrame:
     """A6 and D3 from the maps: first and last day, distinct days, rows, years. Only
     the bits of a map are looked at, 366 a row."""

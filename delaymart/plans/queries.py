@@ -25,7 +25,7 @@ from delaymart.plans.oracle import ON_SUPPLIERS
 from delaymart.sinks import snapshots
 from delaymart.sinks.writers import read_report_csv, register_views, write_report_csv
 from delaymart.sources.bronze import read_bronze_csv, write_bronze_csv
-from delaymart.sources.calendar import span_days
+from delaymart.sources.calendar import calendar_parts
 from delaymart.sources.quarantine import split_rejects
 from delaymart.sources.tables import table
 from delaymart.streaming.upsert import upsert_available, upsert_batch
@@ -83,13 +83,10 @@ def gold_roundtrip(spark, sf_dir):
 @query
 def calendar_grid(spark, sf_dir):
     """Every day from each entity's first to last day, with calendar
-    columns (Sunday=1), and whether Silver has that day (its distinct days,
-    so copies of a day never multiply grid rows)."""
-    s = mart(spark, sf_dir).silver()
-    keys = [S.ENTITY, "DATE"]
-    have = s.select(*keys).distinct().withColumn("has_data", F.lit(True))
-    return span_days(s, [S.ENTITY]).join(have, keys, "left").withColumn(
-        "has_data", F.coalesce("has_data", F.lit(False)))
+    columns (Sunday=1), and whether Silver has that day (a bit of its day maps,
+    so copies of a day never multiply grid rows and no grid row is shuffled)."""
+    grid = sketches.grid_from_days(sketches.year_days(mart(spark, sf_dir).silver()))
+    return grid.select(S.ENTITY, "DATE", *calendar_parts("DATE"), "has_data")
 
 
 @query
