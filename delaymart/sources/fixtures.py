@@ -4,18 +4,22 @@ One Bronze row per (market segment, order day), all columns text, as the raw
 CSV would have them. This is the heavy job of the library at scale: it reads
 ``lineitem`` and ``orders`` whole. The plan:
 
-1. ``lineitem`` is reduced to one row per order (map-side partial
-   aggregation, then one shuffle on ``l_orderkey``);
+1. ``lineitem`` is shuffled once on ``l_orderkey``, as narrow rows, and
+   reduced to one row per order there;
 2. ``orders`` meets ``customer`` on the customer key: AQE turns this into a
    broadcast join only when the measured customer side is under the
    broadcast threshold, else a sort-merge join whose hot keys AQE splits;
-3. the per-order rows join on the order key. At scale that is a
-   sort-merge join whose output is already partitioned by the order key, so
-   the per-order step of the day aggregate adds no exchange (when the
-   per-order side is under the broadcast threshold, as on small inputs, it
+3. the per-order rows join on the order key, over as many tasks as the lines. At
+   scale that is a sort-merge join whose output is already partitioned by the
+   order key, so the per-order step of the day aggregate adds no exchange (when
+   the per-order side is under the broadcast threshold, as on small inputs, it
    is broadcast instead and that step shuffles the joined rows once);
 4. the day aggregate runs partial-then-final, so a segment holding a third
    of all orders is still summed map-side before the shuffle.
+
+The tasks of the shuffles on keys follow from the number of lines
+(``LINES_PER_TASK``, counted from the Parquet footers), so a task's hash tables
+and sorts stay the same size however large the tables are.
 """
 
 from __future__ import annotations
@@ -33,11 +37,18 @@ CAUSE_BINDING = [("A", "F", "DLY_APT_ARR_A_1"), ("A", "O", "DLY_APT_ARR_C_1"),
                  ("R", "F", "DLY_APT_ARR_G_1"), ("R", "O", "DLY_APT_ARR_NA_1")]
 DELAYED_QTY, DELAYED15_QTY = 25, 45
 # ---------------------------------------------------------------------------
+LINES_PER_TASK = 500_000
+
+
+def line_tasks(spark: SparkSession, lines: DataFrame) -> int:
+    """Tasks of a shuffle of ``lines`` (a plain scan): at most ``LINES_PER_TASK`` each."""
+    return max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES_PER_TASK))
 
 
 def per_order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_quantity",
                "l_returnflag", "l_linestatus")
+    li = li.repartition(line_tasks(spark, li), "l_orderkey")
     q = F.col("l_quantity")
     sums = [F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), q))
             .alias(name) for rf, ls, name in CAUSE_BINDING]
@@ -53,6 +64,7 @@ def daily_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = (orders.join(cust, orders.o_custkey == cust.c_custkey, "inner")
          .select("o_orderkey", "c_mktsegment",
                  F.to_date("o_orderdate").alias("d")))
+    o = o.repartition(line_tasks(spark, table(spark, sf_dir, "lineitem")), "o_orderkey")
     j = o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
     cause_names = [c for _, _, c in CAUSE_BINDING]
     # Stage 1: one row per (segment, day, order). Equal to counting distinct
@@ -87,10 +99,14 @@ def supplier_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     the data, and the rows are as dirty as raw files get (FIXTURES.md part 3):
     bad and empty numbers, no flights, bad and empty stamps, days loaded twice
     with different measures, entities without a readable day in some years.
-    One scan and one shuffle of ``lineitem``, after partial aggregation."""
+    One scan and one shuffle of ``lineitem``, as narrow rows: a supplier has few
+    lines a day, so summing before the shuffle would hold a group for almost every
+    line of a split and send wider rows."""
     li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_shipdate", "l_quantity", "l_returnflag", "l_linestatus")
     q, names = F.col("l_quantity"), [c for _, _, c in CAUSE_BINDING]
-    day = li.groupBy("l_suppkey", F.to_date("l_shipdate").alias("d")).agg(
+    placed = (li.withColumn("d", F.to_date("l_shipdate")).drop("l_shipdate")
+              .repartition(line_tasks(spark, li), "l_suppkey", "d"))
+    day = placed.groupBy("l_suppkey", "d").agg(
         F.count("*").alias("n"), F.count(F.when(q > DELAYED_QTY, 1)).alias("n_dly"),
         F.count(F.when(q > DELAYED15_QTY, 1)).alias("n_dly15"),
         *[F.sum(F.when((F.col("l_returnflag") == rf) & (F.col("l_linestatus") == ls), q)).alias(name)
