@@ -84,13 +84,13 @@ def dedup_daily(df: DataFrame, keys: Sequence[str] = (S.ENTITY, "DATE"),
     """One row per key with a deterministic survivor: the first row
     under a total order over the remaining columns (nulls first).
 
-    ``row_number() <= 1`` is planned with a partial WindowGroupLimit before
-    the exchange, so a key with a huge number of copies sends at most one row
-    per map task into the shuffle."""
+    The rows are placed by their keys first and limited there: a limit before
+    the exchange would sort whole splits, which grow with the files, to drop few
+    rows. Copies of one key meet in one task, which sorts them and may spill."""
     keys = list(keys)
     order = list(order) if order is not None else [c for c in df.columns if c not in keys]
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return df.repartition(*keys).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def write_silver(df: DataFrame, path: str, dynamic: bool = False,
