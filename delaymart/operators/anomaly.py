@@ -65,19 +65,21 @@ def p95_outliers(silver: DataFrame, th: DataFrame,
 
 def anomalies(silver: DataFrame, by: Sequence[str] = (S.ENTITY,),
               k: int = S.TOP_N_DAYS, accuracy: int = THRESHOLD_ACCURACY,
-              th: DataFrame | None = None) -> DataFrame:
+              th: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """U1 + P18: top-k by average, top-k by total, and p95 outliers, kept
     as separate rows (a day can appear once per reason), each graded by the
     entity's p95 / p99.
 
-    Silver is read once: each day becomes one row per reason it may count
-    for, and one ``row_number() <= k`` per (entity, reason) keeps the top days
-    (partial limit before the shuffle). An outlier's reason is kept whole: a
-    row id in its partition key makes each such row the first of its own."""
+    Silver is read once and its days are placed by entity (over ``tasks`` tasks, or
+    as the session shuffles): there each day becomes one row per reason it may count
+    for, and one ``row_number() <= k`` per (entity, reason) keeps the top days. An
+    outlier's reason is kept whole: a row id in its partition key makes each such row
+    the first of its own. A task sorts its entities' days, not a split of the files."""
     S.require(silver, ["DATE", "TOTAL_DELAY_MIN", S.LABEL], "Silver")
     cols = silver.columns
     th = th if th is not None else thresholds(silver, by, accuracy)
-    graded = (silver.join(th, list(by), "left")
+    placed = silver if not by else silver.repartition(*([tasks] if tasks else []), *by)
+    graded = (placed.join(th, list(by), "left")
               .withColumn("severity", severity(S.LABEL, "p95", "p99")))
 
     def reason(name: str, value: Column) -> Column:

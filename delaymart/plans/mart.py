@@ -34,6 +34,8 @@ FORECAST_TABLES = ("forecast_daily", "forecast_monthly", "stub_forecast_daily")
 MODEL_TABLES = ("predictions", "predictions_full", "metrics", "feature_importance", "interpretation",
                 "validation_daily", "validation_monthly", *FORECAST_TABLES)
 
+DAYS_PER_TASK = 250_000     # Silver rows that one task sorts for the anomalies
+
 _MARTS: dict[tuple, "DelayMart"] = {}
 _LOCK = threading.Lock()
 
@@ -185,7 +187,11 @@ class DelayMart:
         return self.gold("thresholds", lambda: anomaly.thresholds(self.silver()))
 
     def anomalies(self) -> DataFrame:
-        return self.gold("anomalies", lambda: anomaly.anomalies(self.silver(), th=self.thresholds()))
+        def build():
+            days = self.silver()
+            tasks = max(self.spark.sparkContext.defaultParallelism, -(-days.count() // DAYS_PER_TASK))
+            return anomaly.anomalies(days, th=self.thresholds(), tasks=tasks)
+        return self.gold("anomalies", build)
 
     # -- features, split, stub model ---------------------------------------
     def features(self) -> DataFrame:
