@@ -65,7 +65,7 @@ def piece_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before[1:], after[:-1] = solid[:-1], solid[1:]
     starts = np.flatnonzero(solid & (~before | edge[:-1]))
     ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    row = np.searchsorted(offs, starts, "right") - 1
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(starts, offs)))
     piece = np.cumsum(kind == 2)[starts] + row if len(starts) else row
     return starts, ends, piece, row
 
@@ -76,7 +76,8 @@ def longest_phrases(buf: np.ndarray, offs: np.ndarray, width: int, turn: int = 0
     one space) and its row, of the words whose first pair falls to this pass."""
     buf = lowered(buf)
     starts, ends, piece, row = piece_words(buf, offs)
-    last = np.searchsorted(piece, piece, "right") - 1
+    stop = np.flatnonzero(np.append(piece[1:] != piece[:-1], np.ones(min(len(piece), 1), bool)))
+    last = np.repeat(stop, np.diff(stop, prepend=-1))
     at = np.arange(len(starts))
     if passes > 1:
         h = word_hashes(buf, starts, ends)
@@ -144,8 +145,9 @@ def phrase_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
             return _edges(it, width, turn, passes)
 
         rows = docs.mapInArrow(run, "lang string, phrase string, c long")
-        node = first_words(F.col("phrase"), width - 1)
-        rows = rows.repartition("lang", node).withColumn("node", node).withColumn("done", F.lit(False))
+        # The node as a number: the sums compare it beside the phrase that it follows from.
+        node = F.xxhash64("lang", first_words(F.col("phrase"), width - 1))
+        rows = rows.repartition(node).withColumn("node", node).withColumn("done", F.lit(False))
         for m in range(width, 1, -1):
             keys = ["lang", "node"] if m >= width - 1 else ["lang"]
             rows = _level(rows, keys, m, least).drop(*(["node"] if m == width - 1 else []))
