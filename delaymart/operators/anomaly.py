@@ -70,15 +70,15 @@ def anomalies(silver: DataFrame, by: Sequence[str] = (S.ENTITY,),
     as separate rows (a day can appear once per reason), each graded by the
     entity's p95 / p99.
 
-    Silver is read once and its days are placed by entity (over ``tasks`` tasks, or
-    as the session shuffles): there each day becomes one row per reason it may count
+    Silver is read once; with ``tasks`` its days are first placed by entity over so
+    many tasks (else the limit goes before the shuffle): there each day becomes one row per reason it may count
     for, and one ``row_number() <= k`` per (entity, reason) keeps the top days. An
     outlier's reason is kept whole: a row id in its partition key makes each such row
-    the first of its own. A task sorts its entities' days, not a split of the files."""
+    the first of its own. A placed task sorts its entities' days, not a split of the files."""
     S.require(silver, ["DATE", "TOTAL_DELAY_MIN", S.LABEL], "Silver")
     cols = silver.columns
     th = th if th is not None else thresholds(silver, by, accuracy)
-    placed = silver if not by else silver.repartition(*([tasks] if tasks else []), *by)
+    placed = silver.repartition(tasks, *by) if tasks and by else silver
     graded = (placed.join(th, list(by), "left")
               .withColumn("severity", severity(S.LABEL, "p95", "p99")))
 
