@@ -164,3 +164,20 @@ def test_thousands_of_unlinked_members_of_one_bucket(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, percent=80, rows=4).collect()}
     assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in data}
     assert sum(met) < 20 * len(data), met
+
+
+def test_small_buckets_are_settled_without_prefixes(rows, monkeypatch):
+    """Groups of three that share buckets but are not all linked: their pairs meet at once."""
+    data = []
+    for i in range(0, 60, 3):
+        ws = text(70)
+        data += [(i, " ".join(ws)), (i + 1, " ".join(ws[:66] + text(8))), (i + 2, " ".join(ws[:58] + text(12)))]
+    counted = []
+    prefixes = neardup.NearDuplicates.prefixes
+
+    def see(self, cids, sets):
+        counted.append(cids.count())
+        return prefixes(self, cids, sets)
+    monkeypatch.setattr(neardup.NearDuplicates, "prefixes", see)
+    check(rows(data), data, 80, 4)
+    assert not counted, counted
