@@ -36,6 +36,7 @@ from delaymart.llm.common import (U64, cut, lowered, mix, pieces, prefix_hashes,
                                   word_hashes, words)
 
 SAMPLE = 10_000
+BLOCK_ROWS = 1000       # sampled rows that the driver unfolds at once
 BITS = 18
 LABELLERS = ("symbols", "shouting", "exclaiming", "neighbours", "repeats", "cells", "ends", "variety",
              "lexicon", "human")
@@ -177,19 +178,35 @@ def _sample_rows(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iter
                       pa.binary())], names=["pattern", "features"])
 
 
-def learn_lexicon(features: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def _blocks(batches: list[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row's number, row within the block, feature) of up to ``BLOCK_ROWS``
+    sampled rows at a time, read where the batches have them."""
+    done = 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK_ROWS):
+            col = batch.column(1).slice(i, BLOCK_ROWS).cast(pa.large_binary())
+            at = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+            data = col.buffers()[2]
+            f = np.frombuffer(data, np.int32, (at[-1] - at[0]) // 4, at[0]) if at[-1] > at[0] else np.zeros(0, np.int32)
+            yield done + i, np.repeat(np.arange(len(col), dtype=np.int32), np.diff(at) // 4), f
+        done += batch.num_rows
+
+
+def _seen(batches: list[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+    """The number of sampled rows, and in how many of them each feature is."""
+    df = np.zeros(1 << BITS, np.int64)
+    for _, _, f in _blocks(batches):
+        df += np.bincount(f, minlength=1 << BITS)
+    return sum(b.num_rows for b in batches), df
+
+
+def learn_lexicon(n_toxic: int, pos: np.ndarray, n_other: int, neg: np.ndarray) -> np.ndarray:
     """Hashed features seen in 5 toxic documents (4 of a small sample) and at
     least e^4 times as often there as in the others."""
-    if not len(features) or not toxic.any() or toxic.all():
+    if not n_toxic or not n_other:
         return np.zeros(0, np.int64)
-
-    def seen(keep):
-        return np.bincount(np.concatenate([f for f, k in zip(features, keep, strict=True) if k]),
-                           minlength=1 << BITS)
-
-    pos, neg = seen(toxic), seen(~toxic)
-    odds = np.log((pos + 0.1) / (toxic.sum() + 1)) - np.log((neg + 0.1) / ((~toxic).sum() + 1))
-    return np.flatnonzero((pos >= min(5, max(4, 0.005 * toxic.sum()))) & (odds >= 4))
+    odds = np.log((pos + 0.1) / (n_toxic + 1)) - np.log((neg + 0.1) / (n_other + 1))
+    return np.flatnonzero((pos >= min(5, max(4, 0.005 * n_toxic))) & (odds >= 4))
 
 
 def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
@@ -223,21 +240,22 @@ def expectation_maximisation(pattern: np.ndarray, count: np.ndarray, steps: int
     return 1 - post[:, 0], says
 
 
-def fit_scorer(features: list[np.ndarray], target: np.ndarray, steps: int = 80,
+def fit_scorer(batches: list[pa.RecordBatch], target: np.ndarray, steps: int = 80,
                ridge: float = 1e-4, least_odds: float = 1.0) -> tuple[np.ndarray, float]:
     """Logistic regression (weights over the hashed features, bias) on soft
     labels; features in fewer than ``MIN_DOCS`` sampled documents, or about as
-    likely in good as in bad ones, get no weight."""
+    likely in good as in bad ones, get no weight and are never held as a whole."""
     w = np.zeros(1 << BITS)
-    if not len(features):
+    if not len(target):
         return w, 0.0
-    col = np.concatenate(features)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    df = np.bincount(col, minlength=1 << BITS)
-    in_bad = np.bincount(col, target[row], 1 << BITS)
+    _, df = _seen(batches)
+    in_bad = np.zeros(1 << BITS)
+    for first, row, f in _blocks(batches):
+        np.add.at(in_bad, f, target[first + row])
     odds = np.log((in_bad + 0.1) / (target.sum() + 1)) - np.log((df - in_bad + 0.1) / ((1 - target).sum() + 1))
-    keep = ((df >= MIN_DOCS) & (np.abs(odds) >= least_odds))[col]
-    row, col = row[keep], col[keep]
+    keep = (df >= MIN_DOCS) & (np.abs(odds) >= least_odds)
+    kept = [(first + row[keep[f]], f[keep[f]]) for first, row, f in _blocks(batches)]
+    row, col = (np.concatenate([k[i] for k in kept]).astype(np.int64) for i in (0, 1))
     bias, gw, gb = 0.0, np.full(1 << BITS, 1e-8), 1e-8
     for _ in range(steps):
         z = np.bincount(row, w[col], len(target)) + bias
@@ -294,10 +312,9 @@ class QualityModel:
             return run
 
         empty = np.zeros(0, np.int64)
-        feats = self._features(few.where("toxic = 0").select("human", "text"), sampled(empty))
-        toxic = self._features(few.where("toxic = 1").select("human", "text"), sampled(empty))
-        self.lexicon = learn_lexicon(
-            [f for _, f in feats + toxic], np.repeat([False, True], [len(feats), len(toxic)]))
+        n_other, neg = _seen(self._features(few.where("toxic = 0").select("human", "text"), sampled(empty)))
+        n_toxic, pos = _seen(self._features(few.where("toxic = 1").select("human", "text"), sampled(empty)))
+        self.lexicon = learn_lexicon(n_toxic, pos, n_other, neg)
         lexicon = self.lexicon
 
         def vote(it):
@@ -312,12 +329,11 @@ class QualityModel:
         self.posterior, self.accuracy = expectation_maximisation(pattern, np.array([r["n"] for r in counts]))
         label = dict(zip(pattern.tolist(), self.posterior.tolist(), strict=True))
         rows = self._features(drawn, sampled(lexicon))
-        self.weights, self.bias = fit_scorer([f for _, f in rows], np.array([label[p] for p, _ in rows]))
+        self.weights, self.bias = fit_scorer(rows, np.array([label[p] for b in rows for p in b.column(0).to_pylist()]))
 
     @staticmethod
-    def _features(df: DataFrame, run) -> list[tuple[int, np.ndarray]]:
-        got = df.mapInArrow(run, "pattern long, features binary").collect()
-        return [(r["pattern"], np.frombuffer(r["features"], np.int32).astype(np.int64)) for r in got]
+    def _features(df: DataFrame, run) -> list[pa.RecordBatch]:
+        return df.mapInArrow(run, "pattern long, features binary").toArrow().to_batches()
 
     def score(self, df: DataFrame, out: str = "p_bad") -> DataFrame:
         """``df`` with the scorer's chance that a document is bad, as ``out``."""

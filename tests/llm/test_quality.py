@@ -1,9 +1,12 @@
 """Quality: held-out accuracy on the given labels, EM on drawn votes, edges."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from delaymart.llm import quality
+from delaymart.llm.common import cut
 from tests.llm.conftest import CLASH
 
 SF = "/root/testdata/sf0.01"
@@ -74,3 +77,20 @@ def test_shares_by_definition():
             len(set(ws)) / 15]
     want[0] = 15
     assert np.allclose(got, want)
+
+
+def test_the_fits_do_not_unfold_the_samples_in_the_driver(spark):
+    """Peak of the driver's Python memory for some 15 MB of sampled features."""
+    rng = np.random.default_rng(4)
+    names = np.array([f"{a:x}word{a}" for a in range(100, 40_100)])
+    data = [(i, " ".join(names[rng.integers(0, len(names), 450)]) + ".") for i in range(3000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0).alias("toxic"))
+    cut(docs, "warm").count()
+    tracemalloc.start()
+    try:
+        quality.QualityModel(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60e6, peak
